@@ -5,7 +5,10 @@ from __future__ import annotations
 from .common import read_table
 from .exact_dedup import ORACLE_SQL as EXACT_DEDUP_SQL
 from .exact_dedup import exact_dedup
+from .license_scan import license_scan
+from .license_scan import oracle_sql as license_sql
 from .quality import quality
+from .secret_scan import digests, secret_scan
 from .toxicity import toxicity
 
 
@@ -13,13 +16,21 @@ def op1_toxicity(spark, sf_dir):
     return toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op3_license_scan(spark, sf_dir):
+    return license_scan(read_table(spark, sf_dir, "documents")).drop("places")
+
+
 def op5_quality(spark, sf_dir):
     return quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op8_secret_scan(spark, sf_dir):
+    return digests(secret_scan(read_table(spark, sf_dir, "documents")))
+
+
 def op9_exact_dedup(spark, sf_dir):
     return exact_dedup(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op5_quality, op9_exact_dedup)}
-ORACLES = {"op9_exact_dedup": EXACT_DEDUP_SQL}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op3_license_scan, op5_quality, op8_secret_scan, op9_exact_dedup)}
+ORACLES = {"op3_license_scan": license_sql(), "op9_exact_dedup": EXACT_DEDUP_SQL}
