@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from .common import read_table
+import public_tokenizers
+
+from . import byte_bpe, telephony
+from .common import read_table, written
 from .exact_dedup import ORACLE_SQL as EXACT_DEDUP_SQL
 from .exact_dedup import exact_dedup
 from .license_scan import license_scan
@@ -16,10 +19,19 @@ def op1_toxicity(spark, sf_dir):
     return toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op2_byte_bpe(spark, sf_dir):
+    return byte_bpe.round_trip(spark, read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op3_license_scan(spark, sf_dir):
     return license_scan(read_table(spark, sf_dir, "documents")).drop("places")
 
 
+def op4_telephony(spark, sf_dir):
+    stored = written(telephony.store(read_table(spark, sf_dir, "documents")), "media")
+    return telephony.decode(stored).drop("pcm")
+
+
 def op5_quality(spark, sf_dir):
     return quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -32,5 +44,5 @@ def op9_exact_dedup(spark, sf_dir):
     return exact_dedup(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_license_scan, op5_quality, op8_secret_scan, op9_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_byte_bpe, op3_license_scan, op4_telephony, op5_quality, op8_secret_scan, op9_exact_dedup)}
 ORACLES = {"op3_license_scan": license_sql(), "op9_exact_dedup": EXACT_DEDUP_SQL}
