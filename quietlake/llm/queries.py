@@ -10,9 +10,12 @@ from .exact_dedup import ORACLE_SQL as EXACT_DEDUP_SQL
 from .exact_dedup import exact_dedup
 from .license_scan import license_scan
 from .license_scan import oracle_sql as license_sql
+from .packing import pack_documents
 from .quality import quality
 from .secret_scan import digests, secret_scan
+from .simple8b import write_and_read
 from .toxicity import toxicity
+from .word_tokens import read_model
 
 
 def op1_toxicity(spark, sf_dir):
@@ -36,6 +39,10 @@ def op5_quality(spark, sf_dir):
     return quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op7_packing(spark, sf_dir):
+    return pack_documents(read_table(spark, sf_dir, "documents"), read_model(public_tokenizers.path("word_bpe_49k.json"))).drop("ids")
+
+
 def op8_secret_scan(spark, sf_dir):
     return digests(secret_scan(read_table(spark, sf_dir, "documents")))
 
@@ -44,5 +51,9 @@ def op9_exact_dedup(spark, sf_dir):
     return exact_dedup(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_byte_bpe, op3_license_scan, op4_telephony, op5_quality, op8_secret_scan, op9_exact_dedup)}
+def op10_simple8b(spark, sf_dir):
+    return write_and_read(read_table(spark, sf_dir, "documents"), read_model(public_tokenizers.path("word_bpe_49k.json")))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_byte_bpe, op3_license_scan, op4_telephony, op5_quality, op7_packing, op8_secret_scan, op9_exact_dedup, op10_simple8b)}
 ORACLES = {"op3_license_scan": license_sql(), "op9_exact_dedup": EXACT_DEDUP_SQL}
