@@ -84,13 +84,13 @@ def small_batches(batches, max_bytes: int = 8 << 20):
             yield batch.slice(start, rows)
 
 
-def lookup_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int, hot_share: int = 2000) -> DataFrame:
+def lookup_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int, hot_share: int = 2000, least: int = 1000) -> DataFrame:
     """Left-join per-group values to rows without sending a hot group's rows to one task.
 
     Groups of at least ``total / hot_share`` rows are at most ``hot_share`` in number, so
     that list has a proven bound and is broadcast; all other groups are joined by a shuffle.
     """
-    hot = groups.filter(F.col(size) >= max(1000, total // hot_share))
+    hot = groups.filter(F.col(size) >= max(least, -(-total // hot_share)))
     values = [c for c in groups.columns if c not in keys]
     marked = rows.join(F.broadcast(hot.withColumn("__hot", F.lit(True))), keys, "left")
     done = marked.filter("__hot").drop("__hot")

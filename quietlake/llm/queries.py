@@ -8,6 +8,7 @@ from . import byte_bpe, telephony
 from .common import read_table, written
 from .exact_dedup import ORACLE_SQL as EXACT_DEDUP_SQL
 from .exact_dedup import exact_dedup
+from .jaccard_join import jaccard_components
 from .license_scan import license_scan
 from .license_scan import oracle_sql as license_sql
 from .packing import pack_documents
@@ -39,6 +40,10 @@ def op5_quality(spark, sf_dir):
     return quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op6_jaccard_join(spark, sf_dir):
+    return jaccard_components(read_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op7_packing(spark, sf_dir):
     return pack_documents(read_table(spark, sf_dir, "documents"), read_model(public_tokenizers.path("word_bpe_49k.json"))).drop("ids")
 
@@ -55,5 +60,5 @@ def op10_simple8b(spark, sf_dir):
     return write_and_read(read_table(spark, sf_dir, "documents"), read_model(public_tokenizers.path("word_bpe_49k.json")))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_byte_bpe, op3_license_scan, op4_telephony, op5_quality, op7_packing, op8_secret_scan, op9_exact_dedup, op10_simple8b)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_byte_bpe, op3_license_scan, op4_telephony, op5_quality, op6_jaccard_join, op7_packing, op8_secret_scan, op9_exact_dedup, op10_simple8b)}
 ORACLES = {"op3_license_scan": license_sql(), "op9_exact_dedup": EXACT_DEDUP_SQL}
