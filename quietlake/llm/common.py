@@ -96,3 +96,18 @@ def lookup_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str
     done = marked.filter("__hot").drop("__hot")
     cold = marked.filter("__hot is null").drop("__hot", *values).join(groups, keys, "left")
     return done.unionByName(cold)
+
+
+def with_rows(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The table with a number for every row, which is the same whenever the same files are read, and that column's name."""
+    name = "row"
+    while name in docs.columns:
+        name = f"_{name}"
+    return docs.withColumn(name, F.monotonically_increasing_id()), name
+
+
+def without_rows(docs: DataFrame, row_col: str, dropped: DataFrame, most: int = 4_000_000) -> DataFrame:
+    """``docs`` but the rows whose numbers stand in ``dropped``: by a broadcast of up to ``most`` numbers, else by a shuffle."""
+    dropped = written(dropped, "dropped")
+    side = F.broadcast(dropped) if dropped.count() <= most else dropped
+    return docs.join(side, row_col, "left_anti").drop(row_col)

@@ -38,15 +38,13 @@ def _grouped(keyed: dict, key_type) -> pa.RecordBatch:
 
 def _blocks(size: int):
     def run(batches):
-        uid = task_id() << 40
         for batch in small_batches(batches, 16 << 20):
             keyed: dict[bytes, list] = {}
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for uid, doc_id, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 raw = (text or "").encode().translate(_FOLD)
                 sha, n = hashlib.sha256(raw).hexdigest(), max(1, -(-len(raw) // size))
                 for idx in range(n):
                     keyed.setdefault(raw[idx * size : (idx + 1) * size], []).append((uid, doc_id, sha, n, idx))
-                uid += 1
             yield _grouped(keyed, pa.binary())
 
     return run
@@ -80,10 +78,11 @@ def _named(grouped: DataFrame) -> DataFrame:
     return grouped.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_names, f"{_REF_DDL}, name long")
 
 
-def block_identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 4096) -> DataFrame:
+def block_identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 4096, row_col: str | None = None) -> DataFrame:
     """(uid, doc_id, sha, round, name) per row: equal texts, and only those, share (round, name)."""
     lists = "key binary, uid array<long>, doc_id array<long>, sha array<string>, n array<int>, idx array<int>"
-    rows = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
+    uid = F.col(row_col) if row_col else F.monotonically_increasing_id()
+    rows = docs.select(uid.cast("long"), F.col(id_col).cast("long"), F.col(text_col).cast("string"))
     level, done, k = written(_named(rows.mapInArrow(_blocks(block_bytes), lists)), "names"), [], 0
     while True:
         done.append(level.filter("n = 1").select("uid", "doc_id", "sha", F.lit(k).alias("round"), "name"))
@@ -101,12 +100,12 @@ def block_identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return out
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 4096) -> DataFrame:
-    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256."""
-    rows = block_identities(docs, id_col, text_col, block_bytes).withColumn("rank", F.struct(F.col("doc_id").isNotNull().alias("has"), "doc_id", "uid"))
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 4096, row_col: str | None = None) -> DataFrame:
+    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256, and the row's number (that of ``row_col``, if given)."""
+    rows = block_identities(docs, id_col, text_col, block_bytes, row_col).withColumn("rank", F.struct(F.col("doc_id").isNotNull().alias("has"), "doc_id", "uid"))
     groups = written(rows.groupBy("round", "name").agg(F.max("rank").alias("best"), F.count(F.lit(1)).alias("group_size")), "groups")
     found = lookup_groups(rows, groups, ["round", "name"], "group_size", rows.count())
-    return found.select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("uid") == F.col("best.uid")).alias("kept"), F.col("sha").alias("text_sha256"))
+    return found.select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("uid") == F.col("best.uid")).alias("kept"), F.col("sha").alias("text_sha256"), F.col("uid").alias("row"))
 
 
 ORACLE_SQL = """

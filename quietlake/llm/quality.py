@@ -138,6 +138,21 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_scores(shared), "doc_id long, score double")
 
 
+def _accepted(model, text_at: int, threshold: float):
+    def run(batches):
+        for batch in small_batches(batches):
+            p = predict(model.value, statistics([t or "" for t in batch.column(text_at).to_pylist()]))
+            yield batch.filter(pa.array(p >= threshold))
+
+    return run
+
+
+def accepted(docs: DataFrame, model: dict, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that score ``threshold`` or more."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return docs.mapInArrow(_accepted(shared, docs.columns.index(text_col), threshold), docs.schema)
+
+
 def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **fit) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of ``docs``."""
     scored = score(docs, train(docs, labels, **fit))

@@ -53,7 +53,7 @@ def op8_secret_scan(spark, sf_dir):
 
 
 def op9_exact_dedup(spark, sf_dir):
-    return exact_dedup(read_table(spark, sf_dir, "documents"))
+    return exact_dedup(read_table(spark, sf_dir, "documents")).drop("row")
 
 
 def op10_simple8b(spark, sf_dir):

@@ -125,7 +125,7 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     random = F.when(F.rlike("__text", F.lit(_TOKEN % shortest)), markov_spans(F.col("__text"), weights, **markov)).otherwise(F.array().cast(_SPANS))
     out = out.withColumn("random", random)
     added = F.filter("random", lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    return out.select("doc_id", "base", F.array_sort(F.concat("base", added)).alias("spans"), F.col("__text").alias("text"), *(F.col(f"__keep_{c}").alias(c) for c in keep if c != text_col))
+    return out.select(*([] if id_col in keep else ["doc_id"]), "base", F.array_sort(F.concat("base", added)).alias("spans"), *(F.col(f"__keep_{c}").alias(c) for c in keep))
 
 
 def joined(spans: Column) -> Column:
@@ -144,6 +144,15 @@ def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
     return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text)))))
 
 
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]", **scan) -> DataFrame:
+    """``docs`` with every span replaced; a column n_chars follows the new text."""
+    scanned = secret_scan(docs, id_col, text_col, keep=tuple(docs.columns), **scan).select(*docs.columns, "spans")
+    out = scanned.withColumn(text_col, F.when(F.col(text_col).isNotNull(), redacted(F.col(text_col), F.col("spans"), mark)))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.size("spans") > 0, F.length(text_col)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
+
+
 def _number(kind: str) -> Column:
     return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
 
