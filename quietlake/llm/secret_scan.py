@@ -112,20 +112,24 @@ def markov_spans(text: Column, weights: list[int], shortest: int = 16, least: in
     return F.transform(kept, lambda x: F.struct(x["s"].alias("start"), F.lit(rank).alias("rank"), F.lit("markov").alias("kind"), (x["s"] + F.length(x["m"])).alias("end"))).cast(_SPANS)
 
 
-def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", weights: list[int] | None = None, keep: tuple[str, ...] = (), **markov) -> DataFrame:
-    """doc_id, base (spans of the patterns), spans (those and the Markov models'), and the columns named in ``keep``.
+def _scanned(docs: DataFrame, id_col: str, text_col: str, weights: list[int] | None, **markov) -> DataFrame:
+    """The input's columns as a struct ``row``, with ``text`` (never null), ``base`` and ``spans``."""
+    weights = weights or train(docs, id_col=id_col, text_col=text_col)
+    out = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("row"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    out = out.withColumn("base", base_spans(F.col("text")))
+    pattern = _TOKEN % markov.get("shortest", 16)
+    out = out.withColumn("random", F.when(F.rlike("text", F.lit(pattern)), markov_spans(F.col("text"), weights, **markov)).otherwise(F.array().cast(_SPANS)))
+    added = F.filter("random", lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
+    return out.select("row", "text", "base", F.array_sort(F.concat("base", added)).alias("spans"))
+
+
+def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", weights: list[int] | None = None, **markov) -> DataFrame:
+    """doc_id, base (spans of the patterns), spans (those and the Markov models').
 
     A Markov span that overlaps one of a pattern isn't listed again.
     """
-    weights = weights or train(docs, id_col=id_col, text_col=text_col)
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    out = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("__text"), *(F.col(c).alias(f"__keep_{c}") for c in keep))
-    out = out.withColumn("base", base_spans(F.col("__text")))
-    shortest = markov.get("shortest", 16)
-    random = F.when(F.rlike("__text", F.lit(_TOKEN % shortest)), markov_spans(F.col("__text"), weights, **markov)).otherwise(F.array().cast(_SPANS))
-    out = out.withColumn("random", random)
-    added = F.filter("random", lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    return out.select(*([] if id_col in keep else ["doc_id"]), "base", F.array_sort(F.concat("base", added)).alias("spans"), *(F.col(f"__keep_{c}").alias(c) for c in keep))
+    found = _scanned(docs.select(id_col, text_col), id_col, text_col, weights, **markov)
+    return found.select(F.col("row")[id_col].cast("long").alias("doc_id"), "base", "spans")
 
 
 def joined(spans: Column) -> Column:
@@ -144,13 +148,14 @@ def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
     return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text)))))
 
 
-def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]", **scan) -> DataFrame:
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]", weights: list[int] | None = None, **markov) -> DataFrame:
     """``docs`` with every span replaced; a column n_chars follows the new text."""
-    scanned = secret_scan(docs, id_col, text_col, keep=tuple(docs.columns), **scan).select(*docs.columns, "spans")
-    out = scanned.withColumn(text_col, F.when(F.col(text_col).isNotNull(), redacted(F.col(text_col), F.col("spans"), mark)))
+    found = _scanned(docs, id_col, text_col, weights, **markov)
+    found = found.withColumn("clean", F.when(F.size("spans") > 0, redacted(F.col("text"), F.col("spans"), mark)))
+    new = {text_col: F.coalesce("clean", F.col("row")[text_col])}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("spans") > 0, F.length(text_col)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.coalesce(F.length("clean"), F.col("row")["n_chars"]).cast(docs.schema["n_chars"].dataType)
+    return found.select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 def _number(kind: str) -> Column:
