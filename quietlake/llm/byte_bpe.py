@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import pack, shuffle_partitions, small_batches, task_id, unpack
 
-MAX_WORDS, MAX_BYTES = 400_000, 24 << 20
+MAX_WORDS, MAX_BYTES, STEP = 250_000, 10 << 20, 500_000
 _WORKER: dict = {}
 
 
@@ -148,20 +148,23 @@ def _reassemble(table: pa.Table) -> pa.Table:
     bucket, payload = table.column("bucket").to_pylist(), table.column("payload").to_pylist()
     of = lambda b: [p for k, p in zip(bucket, payload, strict=True) if k == b]
     texts, planes = unpack(of(-1)), unpack(of(-2))
-    codes = planes.column("low").to_numpy().astype(np.int64) | planes.column("mid").to_numpy().astype(np.int64) << 8 | planes.column("high").to_numpy().astype(np.int64) << 16
+    codes = np.zeros((planes.num_rows, 4), np.uint8)
+    for i, plane in enumerate(("low", "mid", "high")):
+        codes[:, i] = planes.column(plane).to_numpy()
+    codes = codes.reshape(-1).view(np.uint32)
     counts = texts.column("n").to_numpy()
-    ids, offsets = np.zeros(0, np.uint32), np.zeros(len(counts) + 1, np.int64)
+    raw, offsets = b"", np.zeros(len(counts) + 1, np.int64)
     if len(codes):
         words = unpack(of(0))
         lists = words.column("ids").combine_chunks()
         at, where = lists.offsets.to_numpy().astype(np.int64), words.column("code").to_numpy()
         starts, sizes = np.empty(len(where), np.int64), np.empty(len(where), np.int64)
         starts[where], sizes[where] = at[:-1], np.diff(at)
-        ids = _gather(lists.values.to_numpy(), starts[codes], sizes[codes])
-        ends = np.append(0, np.cumsum(sizes[codes]))
-        offsets = ends[np.append(0, np.cumsum(counts))]
-    raw = pa.py_buffer(ids.astype("<u4").tobytes())
-    column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer((offsets * 4).astype(np.int64).tobytes()), raw])
+        flat = lists.values.to_numpy()
+        steps = [codes[i : i + STEP] for i in range(0, len(codes), STEP)]  # bounds what the gathers hold at once
+        raw = b"".join(_gather(flat, starts[c], sizes[c]).astype("<u4").tobytes() for c in steps)
+        offsets = np.append(0, np.cumsum(sizes[codes]))[np.append(0, np.cumsum(counts))]
+    column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer((offsets * 4).astype(np.int64).tobytes()), pa.py_buffer(raw)])
     return pa.table({"doc_id": texts.column("doc_id").combine_chunks(), "ids": column.cast(pa.binary())})
 
 
