@@ -41,7 +41,7 @@ SQL = {
     "agg_pricing": "select l_returnflag, l_linestatus, cast(sum(l_quantity) as bigint) as quantity, cast(round(sum(l_extendedprice), 0) as bigint) as price, round(avg(l_discount), 4) as discount, count(1) as lines from lineitem group by l_returnflag, l_linestatus",
     "agg_filter": "select o_orderpriority, count(1) filter (where o_totalprice > 100000) as large, count(1) as placed from orders group by o_orderpriority",
     "agg_distinct": "select event_type, count(distinct user_id) as people, count(1) as seen from events group by event_type",
-    "agg_rollup": "select n_regionkey, n_nationkey, count(1) as c from nation join customer on n_nationkey = c_nationkey group by rollup (n_regionkey, n_nationkey)",
+    "agg_rollup": "select n_regionkey as regionkey, n_nationkey as nationkey, count(1) as c from nation join customer on n_nationkey = c_nationkey group by rollup (n_regionkey, n_nationkey)",
     "agg_cube": "select o_orderstatus, o_orderpriority, count(1) as c from orders group by cube (o_orderstatus, o_orderpriority)",
     "agg_grouping_sets": "select l_returnflag, l_linestatus, count(1) as c from lineitem group by grouping sets ((l_returnflag, l_linestatus), (l_returnflag), ())",
     "agg_percentile": "select p_brand, round(percentile_cont(0.5) within group (order by p_retailprice), 4) as median from part group by p_brand",
