@@ -3,53 +3,77 @@
 That tokenizer drops white space before it splits, so no token and no normalisation reaches
 across a blank or a line feed: a text's ids are the ids of its pieces, one after another.
 Each worker keeps the ids of the pieces that it has met, up to a bound, and has the library
-encode the others only.
+encode the others only. A piece of Latin letters, with one full stop or comma after them at
+most, is normalised here (lower case, bytes as the model spells them) and goes straight to the
+library's BPE model; every other piece goes through the whole tokenizer.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+import re
+from array import array
 
 import numpy as np
 from tokenizers import Tokenizer
 
-MAX_CACHED = 600_000
+MAX_CACHED = 1_000_000
+#: Letters that composition leaves as they are, in Latin-1 and Latin Extended-A and -B, but for the dotted I, which two characters lower.
+_WORD = re.compile("([a-zß-öø-įı-ɏ]+)([.,]?)")
+_BEYOND = re.compile("[^\x00-įı-ɏ]")
+
+
+def _spelling() -> dict[int, str]:
+    """How byte-level models spell bytes: printable Latin-1 as it is, every other byte, in order, from U+0100 on."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in plain)}
+
+
+_SPELLING = _spelling()
 _WORKER: dict = {}
 
 
-def gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The slices flat[start : start + size], one after another."""
-    ends = np.cumsum(sizes)
-    total = int(ends[-1]) if len(ends) else 0
-    return flat[np.repeat(starts - (ends - sizes), sizes) + np.arange(total)] if total else flat[:0]
+class _Pieces(dict):
+    """Ids of pieces, as bytes of 32-bit integers; a missing one is encoded."""
+
+    def __init__(self, model: str):
+        super().__init__()
+        self.tokenizer, self.words = Tokenizer.from_str(model), {}
+        self.tokenize = self.tokenizer.model.tokenize
+
+    def word(self, word: str) -> bytes:
+        ids = self.words.get(word)
+        if ids is None:
+            low = word.lower()
+            spelt = low if low.isascii() else low.encode().decode("latin-1").translate(_SPELLING)
+            ids = self.words[word] = array("I", [t.id for t in self.tokenize(spelt)]).tobytes()
+        return ids
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= MAX_CACHED:
+            self.clear()
+            self.words.clear()
+        found = _WORD.fullmatch(piece)
+        if found is None:
+            ids = array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
+        else:
+            word, stop = found.groups()
+            ids = self.word(word) + self.word(stop) if stop else self.word(word)
+        self[piece] = ids
+        return ids
 
 
 def encode_texts(model: str, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """All texts' ids (uint32), one after another, and how many each text has. ``model``: the tokenizer file's JSON."""
     if _WORKER.get("model") != model:
-        _WORKER.update(model=model, tokenizer=Tokenizer.from_str(model), cache={})
-    tokenizer, cache = _WORKER["tokenizer"], _WORKER["cache"]
-    number: defaultdict = defaultdict()
-    number.default_factory = number.__len__
-    codes = []
+        _WORKER.update(model=model, pieces=_Pieces(model))
+    ids = _WORKER["pieces"].__getitem__
+    encoded = []
     for text in texts:
-        pieces = text.replace("\n", " ").split(" ") if text else []
-        codes.append(np.fromiter(map(number.__getitem__, pieces), np.int64, len(pieces)))
-    missing = [p for p in number if p not in cache]
-    if len(cache) + len(missing) > MAX_CACHED:
-        cache.clear()
-        missing = list(number)
-    for start in range(0, len(missing), 10_000):
-        part = missing[start : start + 10_000]
-        for piece, found in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-            cache[piece] = np.array(found.ids, np.uint32).tobytes()
-    raw = [cache[p] for p in number]
-    flat, sizes = np.frombuffer(b"".join(raw), np.uint32), np.array([len(r) // 4 for r in raw], np.int64)
-    starts = np.cumsum(sizes) - sizes
-    every = np.concatenate(codes) if codes else np.zeros(0, np.int64)
-    counts = np.add.reduceat(np.append(sizes[every], 0), np.append(0, np.cumsum([len(c) for c in codes])[:-1]).astype(np.int64)) if len(codes) else np.zeros(0, np.int64)
-    counts[[len(c) == 0 for c in codes]] = 0
-    return gather(flat, starts[every], sizes[every]), counts
+        text = text or ""
+        if "<|" not in text and not _BEYOND.search(text):  # else lowering first might change a special token or a composition
+            text = text.lower()
+        encoded.append(b"".join(map(ids, text.replace("\n", " ").split(" "))))
+    return np.frombuffer(b"".join(encoded), np.uint32), np.array([len(e) // 4 for e in encoded], np.int64)
 
 
 def with_end(ids: np.ndarray, counts: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
