@@ -63,6 +63,13 @@ def delimiter_of(text: str, suffix: str = ".csv") -> str:
         return "\t" if suffix == ".tsv" else ","
 
 
+def _allow(spark: SparkSession, encoding: str) -> str:
+    """Java's name of an encoding; others than UTF-8 need Spark's older, wider list of them."""
+    if JAVA_NAMES[encoding] != "UTF-8":
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    return JAVA_NAMES[encoding]
+
+
 def read_delimited(spark: SparkSession, path: str, suffix: str | None = None) -> tuple[DataFrame, str]:
     """(table of texts, delimiter): encoding and delimiter are found from the file's start; missing cells are empty."""
     head = head_bytes(spark, path)
@@ -74,7 +81,7 @@ def read_delimited(spark: SparkSession, path: str, suffix: str | None = None) ->
         return spark.createDataFrame([], "value string").drop("value"), sep
     names = [h if header.index(h) == i else f"{h}_{i}" for i, h in enumerate(header)]
     schema = ", ".join(f"`{n.replace('`', '``')}` string" for n in names)
-    table = spark.read.schema(schema).csv(path, sep=sep, header=True, encoding=JAVA_NAMES[encoding], multiLine=True, escape='"', mode="PERMISSIVE", enforceSchema=True)
+    table = spark.read.schema(schema).csv(path, sep=sep, header=True, encoding=_allow(spark, encoding), multiLine=True, escape='"', mode="PERMISSIVE", enforceSchema=True)
     return table.na.fill(""), sep
 
 
@@ -96,7 +103,7 @@ def load(spark: SparkSession, path: str, **options) -> DataFrame:
 
 def head_lines(spark: SparkSession, path: str, n: int) -> list[str]:
     """The first lines of a text file; between 1 and 200."""
-    encoding = JAVA_NAMES[encoding_of(head_bytes(spark, path))]
+    encoding = _allow(spark, encoding_of(head_bytes(spark, path)))
     lines = spark.read.text(path) if encoding == "UTF-8" else spark.read.option("encoding", encoding).option("sep", "\1").schema("value string").csv(path)
     rows = lines.withColumn("at", F.monotonically_increasing_id()).orderBy("at").limit(max(1, min(int(n), 200))).collect()
     return [(r["value"] or "").removeprefix("﻿") for r in rows]

@@ -1,0 +1,111 @@
+import pytest
+from pyspark.sql import functions as F
+
+from quietlake.functions import text
+from quietlake.functions.pii_rules import blob_hits, withhold_blobs
+from quietlake.operators import masking
+from quietlake.operators.masking import apply_dictionary, argument_verdicts, build_dictionary, dictionary_entries, mask, person_rows, unmask
+
+KEY = b"k" * 32
+PERSONS = [
+    ("P1", ["高橋 美咲", "たかはし みさき", "Takahashi Misaki"], ["misaki@corp.invalid"], ["090-1111-2222"], ["PT-000123"]),
+    ("P2", ["齋藤 一郎"], [], [], []),
+    ("P3", ["林"], [], [], []),
+]
+SCHEMA = "id string, names array<string>, emails array<string>, phones array<string>, ids array<string>"
+
+
+@pytest.fixture(scope="module")
+def entries(spark):
+    return dictionary_entries(spark.createDataFrame(PERSONS, SCHEMA).coalesce(1)).persist()
+
+
+def run(spark, entries, *texts, site="data", vault=None, **rules):
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    done, new = mask(df, "k", "t", entries, site=site, vault=vault, key=KEY, **rules)
+    return [r["text"] for r in done.orderBy("key").collect()], [r["hits"] for r in done.orderBy("key").collect()], new
+
+
+def test_forms(spark):
+    row = spark.sql("select ' ﾀｶﾊｼ　髙橋 ' as v, 'ＡＢ１２３４５６７' as n").select(text.light(F.col("v")), text.canon(F.col("v")), text.digits(F.col("n")), text.value_forms(F.col("n")), text.egress_forms(F.lit("さとう 花子"))).first()
+    assert row[0] == " タカハシ 高橋 " and row[1] == "タカハシ高橋" and row[2] == "1234567"
+    assert set(row[3]) == {"AB1234567", "ab1234567", "1234567"}
+    assert {"さとう 花子", "さとう花子", "サトウ花子"} <= set(row[4])
+
+
+def test_short_names_are_no_entries(entries):
+    got = {r["form"]: r["person"] for r in entries.collect()}
+    assert "林" not in got and got["高橋美咲"] == "P1" and got["斎藤 一郎"] == "P2" and got["タカハシ ミサキ"] == "P1" and got["09011112222"] == "P1"
+
+
+def test_known_persons(spark, entries):
+    texts, hits, _ = run(spark, entries, "髙橋 美咲 (Takahashi misaki, タカハシ ミサキ) tel 09011112222 PT-000123", "斉藤 一郎さん", "林さん", site="prompt")
+    assert texts[0] == "[P1_NAME] ([P1_NAME], [P1_NAME]) tel [P1_PHONE] [P1_ID]"
+    assert texts[1] == "[P2_NAME]さん" and texts[2] == "林さん" and hits[0]["DICT_NAME"] == 3
+
+
+def test_rules_need_their_context(spark):
+    told = "生年月日 1990年1月2日、住所 東京都港区芝公園四丁目2番8号、電話 03-1234-5678、x@corp.co.jp、マイナンバー 1234 5678 9012、〒105-0011 昭和50年3月4日生まれ"
+    texts, hits, _ = run(spark, None, told, "日付 2024-01-02 aws account 123456789012 105-0011", "a@example.com b@x.test c@y.invalid d@mail5.example.com")
+    assert {"DOB", "ADDRESS", "PHONE", "EMAIL", "MYNUMBER", "ZIP"} <= set(hits[0]) and hits[0]["DOB"] == 2
+    assert not {"MYNUMBER", "DOB", "ZIP"} & set(hits[1]) and hits[2] == {"EMAIL": 1}
+
+
+def test_sites(spark, entries):
+    line = "u = '高橋 美咲' # PT-999999 03-1234-5678 東京都港区芝公園四丁目2番8号"
+    texts, hits, _ = run(spark, entries, line, site="code", patient_id=r"PT-\d{6}")
+    assert "[P1_NAME]" in texts[0] and "[PATIENT_ID_1]" in texts[0] and "03-1234-5678" in texts[0] and "東京都" in texts[0]
+    assert run(spark, entries, line, site="safe")[:2] == ([line], [{}])
+
+
+def test_tokens_are_stable_and_map_back(spark, entries):
+    first = ["mail a@b.co.jp and c@d.co.jp", "again a@b.co.jp [EMAIL_9] [X] 高橋 美咲", "", None]
+    texts, _, new = run(spark, entries, *first)
+    assert texts[0] == "mail [EMAIL_1] and [EMAIL_2]" and texts[1] == "again [EMAIL_1] [EMAIL_9] [X] [P1_NAME]" and texts[2:] == ["", None]
+    vault = new.union(person_rows(entries, KEY)).persist()
+    later, _, more = run(spark, entries, "c@d.co.jp e@f.co.jp", vault=vault)
+    assert later == ["[EMAIL_2] [EMAIL_3]"] and more.count() == 1
+    masked = spark.createDataFrame(list(enumerate(texts[:2])), "k int, t string")
+    back = [r["text"] for r in unmask(masked, "k", "t", vault, KEY).orderBy("key").collect()]
+    assert back[0] == first[0] and back[1].startswith("again a@b.co.jp [EMAIL_9] [X] ") and "P1" not in back[1]
+    assert b"a@b.co.jp" not in b"".join(bytes(r["value_enc"]) for r in vault.collect())
+    with pytest.raises(PermissionError):
+        unmask(masked, "k", "t", vault, KEY, caller="model")
+
+
+def test_overlaps_and_tokens_inside(spark):
+    texts, hits, _ = run(spark, None, "〒105-0011住所 03-1234-5678", "[P1_NAME] x@y.co.jp")
+    assert texts[1] == "[P1_NAME] [EMAIL_1]" and hits[0]["PHONE"] == 1
+
+
+def test_longest_form_first_even_into_tokens(spark):
+    entries = spark.createDataFrame([("abcdef", "P1", "NAME"), ("abc", "P2", "NAME"), ("NAME", "P3", "ID")], "form string, person string, kind string")
+    df = spark.createDataFrame([(0, "ABCDEF abc")], "key int, text string")
+    for limit in (100, 1):
+        assert apply_dictionary(df, entries, limit=limit).first()["text"] == "[P1_[P3_ID]] [P2_NAME]"
+
+
+def test_dictionary_positions(spark):
+    rows = spark.createDataFrame([(1, "a1", "佐藤 花"), (2, None, " "), (3, "a3", "鈴木 蓮")], "o int, uid string, n string")
+    got = [(r["id"], r["names"], r["ids"]) for r in build_dictionary(rows, "o", "uid", names=["n"]).orderBy("position").collect()]
+    assert got == [("P1", ["佐藤 花"], ["a1"]), ("P3", ["鈴木 蓮"], ["a3"])]
+
+
+def test_argument_verdicts(spark, entries):
+    args = spark.createDataFrame([(0, '{"q": "高橋 美咲"}'), (1, '{"q": "x@y.co.jp"}')], "k int, t string")
+    got = [(r["deny"], r["kinds"]) for r in argument_verdicts(args, "k", "t", entries, key=KEY).orderBy("key").collect()]
+    assert got == [(True, ["DICT_NAME"]), (False, [])]
+
+
+def test_numbers_over_many_ranges(spark):
+    values = spark.range(500).select(F.concat(F.lit("v"), "id").alias("value"), F.when(F.col("id") % 3 == 0, "A").otherwise("B").alias("kind"), F.col("id").alias("ord"))
+    got = masking.number_tokens(values, None).orderBy("ord").collect()
+    seen = {}
+    for r in got:
+        seen[r["kind"]] = seen.get(r["kind"], 0) + 1
+        assert r["token"] == f"[{r['kind']}_{seen[r['kind']]}]"
+
+
+def test_blobs(spark):
+    row = spark.createDataFrame([("x " + "Ab1+" * 15 + " y", "c2hvcnQ=")], "a string, b string").select(blob_hits(F.col("a")), withhold_blobs(F.col("a")), blob_hits(F.col("b"))).first()
+    assert tuple(row) == (1, "x [ENCODED_BLOB_WITHHELD] y", 0)
