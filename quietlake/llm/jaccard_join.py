@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import LOWER, UPPER, lookup_groups, pack, shuffle_partitions, small_batches, unpack, written
 
 _FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
-_MIX, _FLUSH, _SEGMENTS = np.uint64(0x9E3779B97F4A7C15), 3_000_000, 8
+_MIX, _FLUSH, _SEGMENTS = np.uint64(0x9E3779B97F4A7C15), 1_500_000, 8
 
 
 class _Words(dict):
@@ -88,7 +88,7 @@ def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
 
 def _packed(bucket: np.ndarray, owner: np.ndarray, sets: dict, columns: dict):
     """Rows (bucket, payload): values in order of bucket and owner, as lists per owner, with what ``sets`` has of it."""
-    order = np.lexsort((owner, bucket))
+    order = np.argsort(bucket.astype(np.uint16 if len(bucket) and bucket.max() < 1 << 16 else np.int64), kind="stable")  # owners come in order
     bucket, owner = bucket[order], owner[order]
     new = np.flatnonzero(np.append(True, (bucket[1:] != bucket[:-1]) | (owner[1:] != owner[:-1]))) if len(owner) else np.zeros(0, np.int64)
     sizes, heads = np.diff(np.append(new, len(owner))), bucket[new]
@@ -285,8 +285,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("row"))
     classes = sets.filter("n > 0").groupBy("a", "b").agg(F.min(rank).alias("best"), F.count(F.lit(1)).alias("members")).withColumn("v", _vertex("a", "b"))
     classes = written(classes.join(groups, "v", "left"), "classes")
-    best = classes.filter("component is not null").groupBy("component").agg(F.min("best").alias("least"))
-    named = written(classes.join(best, "component", "left").select("a", "b", "members", F.coalesce("least", "best").alias("least")), "named")
+    grouped = classes.filter("component is not null")
+    best = written(grouped.groupBy("component").agg(F.min("best").alias("least"), F.count(F.lit(1)).alias("classes")), "best")
+    together = lookup_groups(grouped, best, ["component"], "classes", grouped.count(), least=64)
+    named = together.select("a", "b", "members", "least").union(classes.filter("component is null").select("a", "b", "members", "best"))
+    named = written(named, "named")
     found = lookup_groups(sets.filter("n > 0"), named, ["a", "b"], "members", sets.count(), least=64)
     alone = sets.filter("n = 0").select("row", "doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("first"))
     return found.select("row", "doc_id", F.col("n").alias("n_shingles"), F.col("least.doc_id").alias("component_id"), (F.col("row") == F.col("least.row")).alias("first")).union(alone)
