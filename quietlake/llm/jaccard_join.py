@@ -36,12 +36,12 @@ from pyspark.sql import functions as F
 from .common import LOWER, UPPER, lookup_groups, pack, shuffle_partitions, small_batches, unpack, written
 
 _FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
-_MIX, _FLUSH, _SEGMENTS = np.uint64(0x9E3779B97F4A7C15), 1_500_000, 8
+_MIX, _FLUSH, _SEGMENTS = np.uint64(0x9E3779B97F4A7C15), 1_000_000, 8
 
 
 class _Words(dict):
     def __missing__(self, word):
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word)
         return value
@@ -211,8 +211,9 @@ def candidate_sets(docs: DataFrame, text_col: str, k: int, percent: int) -> Data
     """(v, n, own, prefix, segments) of the classes that may have a partner."""
     parts = shuffle_partitions(docs.sparkSession)
     schema = "bucket int, payload binary"
-    fragments = docs.select(F.col(text_col).cast("string")).mapInArrow(_fragments(k, 2 * parts), schema).repartition(parts, "bucket")
-    shared = fragments.mapInArrow(_shared(2 * parts), schema).repartition(parts, "bucket")
+    # buckets are partitions: no task gets several by chance
+    fragments = docs.select(F.col(text_col).cast("string")).mapInArrow(_fragments(k, parts), schema).repartitionById(parts, "bucket")
+    shared = fragments.mapInArrow(_shared(parts), schema).repartitionById(parts, "bucket")
     found = shared.mapInArrow(_candidates(percent), "a long, b long, n long, own long, prefix array<long>, segments array<array<long>>")
     return written(found.select(_vertex("a", "b").alias("v"), "n", "own", "prefix", "segments"), "candidates")
 
