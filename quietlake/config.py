@@ -67,7 +67,7 @@ class Settings:
         "inbox": ("paths", "pii_inbox"), "safe_dir": ("paths", "safe_dir"), "analysis_dir": ("paths", "analysis_dir"), "jdbc_url": ("db", "url"), "db_schema": ("db", "schema"),
         "max_rows": ("limits", "max_rows"), "max_output_chars": ("limits", "max_output_chars"), "small_cell": ("limits", "small_cell"), "result_bytes": ("limits", "py_result_bytes"),
         "string_max": ("limits", "py_string_max"), "timeout_s": ("limits", "py_timeout_s"), "pii_parts": ("pii_columns", "patterns"), "key_file": ("pseudo", "key_file"),
-        "patient_id_regex": ("pii_guard", "patient_id_regex"), "allow_email_domains": ("pii_guard", "allow_email_domains"),
+        "patient_id_regex": ("masking", "patient_id_regex"), "allow_email_domains": ("masking", "allow_email_domains"),
     }
 
     @classmethod

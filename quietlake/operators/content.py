@@ -15,8 +15,8 @@ ENGINE_OWNED = ["thinking", "redacted_thinking", "tool_use", "server_tool_use"]
 CODE_TOOLS = ["Read", "Edit", "Write", "MultiEdit", "NotebookEdit", "Grep", "Glob", "LS"]
 PROMPT_DOORS, ATTACHMENT_DOORS = ["prompt", "command", "delivery"], ["attachment", "hook-context", "note"]
 ENVELOPE = ["tool", "tool_use_id", "consent", "agentId"]
-BLOCKED = "[pii-guard] 個人情報の検査ができなかったため、この内容は伏せました。デーモンの状態は /pii で確認できます。"
-DROPPED = "[pii-guard] 伏せ字にできない画像・文書を除外しました。"
+BLOCKED = "[quietlake] 個人情報の検査に失敗したため、内容を伏せています。"
+DROPPED = "[quietlake] 検査できない画像や文書は取り除きました。"
 
 
 def site_of(door: Column, kind: Column, tool: Column, safe_prefixes=(), bash_site: str = "data") -> Column:

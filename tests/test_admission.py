@@ -13,7 +13,8 @@ REJECTED = [
 ESCAPES = [
     "select count(1) from parquet.`/etc/x`", "select reflect('java.lang.System','getProperty','user.home')", "select java_method('java.lang.System','getenv')", "select transform(a) using 'cat' as (b string) from t",
     "select struct(*) from t", "select identifier('a') from t", "select a from other", "select a from t where exists (select 1 from other)", "select /* /* */ a from t */ 1", "select a from t where (", "select a from default.t",
-    "with t2 as (select a from other) select a from t2",
+    "with t2 as (select a from other) select a from t2", "select system.builtin.reflect('java.lang.System','getProperty','user.home') from t", "select `java_method` ('java.lang.System','getenv') from t",
+    "select a from other where ', other as (' = a", "select a from other where r'\\' || ', other as (' = a", "select uuid() from t", "select to_avro(a) from t",
 ]
 
 

@@ -78,7 +78,7 @@ def test_synth(spark):
 
 
 def test_settings(tmp_path):
-    (tmp_path / "c.toml").write_text('[limits]\nmax_rows = 7\n[pii_columns]\npatterns = ["foo"]\n[pii_guard]\npatient_id_regex = "PT-[0-9]+"\n')
+    (tmp_path / "c.toml").write_text('[limits]\nmax_rows = 7\n[pii_columns]\npatterns = ["foo"]\n[masking]\npatient_id_regex = "PT-[0-9]+"\n')
     s = Settings.load(tmp_path / "c.toml")
     assert (s.max_rows, s.small_cell, s.patient_id_regex) == (7, 11, "PT-[0-9]+") and s.is_pii("a foo") and not s.is_pii("name")
     assert Settings.load(tmp_path / "none.toml") == Settings()
