@@ -4,8 +4,9 @@ Training takes at most ``per_class`` labelled rows of either class (the document
 the fit). A first pass counts, per hashed n-gram, in how many rows of either class it stands;
 the log of the ratio of the smoothed shares is its scale. The ``n_features`` n-grams whose
 counts differ most clearly (by the likelihood ratio statistic) carry on to a logistic
-regression over presence times scale. Scoring is one pass over the documents without any
-shuffle; the model is a table of at most ``n_features`` numbers, which is broadcast.
+regression over presence times scale, in which either class weighs one half. Scoring is one
+pass over the documents without any shuffle; the model is a table of at most ``n_features``
+numbers, which is broadcast.
 
 Edge cases: null text counts as empty and scores the model's bias; a null doc_id is scored
 and is never learnt from; repeated rows are scored each; with labels of one class only, or
@@ -89,14 +90,15 @@ def _rows(buckets):
 
 
 def fit_logistic(indptr, indices, scale, y, l2: float = 1e-3, steps: int = 200, rate: float = 0.1):
-    """Weights over presence times ``scale``, by Adam on the mean logistic loss with a ridge."""
+    """Weights over presence times ``scale``, by Adam on the mean logistic loss with a ridge; either class weighs one half."""
     row = np.repeat(np.arange(len(y)), np.diff(indptr))
+    weight = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
     x = scale[indices]
     w, bias = np.zeros(len(scale)), 0.0
     m, v = np.zeros(len(scale) + 1), np.zeros(len(scale) + 1)
     for t in range(1, steps + 1):
         z = np.bincount(row, w[indices] * x, len(y)) + bias
-        d = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(y)
+        d = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * weight
         g = np.append(np.bincount(indices, d[row] * x, len(scale)) + l2 * w, d.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
