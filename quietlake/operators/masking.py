@@ -24,6 +24,8 @@ SKIPPED_SITES = ("safe", "engine")
 CODE_KINDS = ("PATIENT_ID", "EMAIL")
 UNMASK_CALLERS = ("ui.render", "support-intake", "slack-safe", "cli")
 TOKEN = r"\[(?:P\d+_[A-Z_]+|[A-Z_]+_\d+)\]"
+#: After a token: not in a key of a JSON object, whose closing quote a colon follows.
+_NO_KEY = r"(?!(?:[^\"\\]++|\\.)*+\"\s*:)"
 DICTIONARY_SCHEMA = "generated string, persons array<struct<id:string,names:array<string>,emails:array<string>,phones:array<string>,ids:array<string>>>"
 VAULT_SCHEMA = "mac string, token string, kind string, value_enc binary, ord bigint"
 #: How many forms one broadcast holds; longer dictionaries are applied slice by slice.
@@ -200,13 +202,21 @@ def token_values(vault: DataFrame, key: bytes) -> DataFrame:
     return vault.groupBy("token").agg(F.min_by("value_enc", "ord").alias("enc")).select("token", F.aes_decrypt("enc", secret).cast("string").alias("value"))
 
 
-def unmask(texts: DataFrame, key_col: str, text_col: str, vault: DataFrame, key: bytes, caller: str = "cli") -> DataFrame:
-    """(key, text) with tokens replaced by their values; unknown tokens stay. Other callers than UNMASK_CALLERS are refused."""
+def unmask(texts: DataFrame, key_col: str, text_col: str, vault: DataFrame, key: bytes, caller: str = "cli", json: bool = False) -> DataFrame:
+    """(key, text) with tokens replaced by their values; unknown tokens stay. Other callers than UNMASK_CALLERS are refused.
+
+    With ``json``, texts are JSON: tokens in string values at any depth are replaced, with the
+    escapes that the values need there, and keys stay as they are.
+    """
     if caller not in UNMASK_CALLERS:
         raise PermissionError("unmask is for display and local services only")
+    token, values = TOKEN + _NO_KEY if json else TOKEN, token_values(vault, key)
+    if json:
+        escaped = F.to_json(F.array("value"))
+        values = values.withColumn("value", F.substring(escaped, F.lit(3), F.length(escaped) - 4))  # within ["..."]
     rows = texts.select(F.col(key_col).alias("key"), F.col(text_col).alias("text"))
-    parts = rows.select("key", F.posexplode(F.arrays_zip(F.split("text", TOKEN, -1).alias("gap"), F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)).alias("token"))).alias("nth", "part")).select("key", "nth", "part.gap", "part.token")
-    filled = parts.join(token_values(vault, key), "token", "left").withColumn("piece", F.concat("gap", F.coalesce("value", "token", F.lit(""))))
+    parts = rows.select("key", F.posexplode(F.arrays_zip(F.split("text", token, -1).alias("gap"), F.regexp_extract_all("text", F.lit(token), F.lit(0)).alias("token"))).alias("nth", "part")).select("key", "nth", "part.gap", "part.token")
+    filled = parts.join(values, "token", "left").withColumn("piece", F.concat("gap", F.coalesce("value", "token", F.lit(""))))
     whole = filled.groupBy("key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "piece"))), lambda x: x["piece"]), "").alias("text"))  # a text's own parts
     return rows.select("key").join(whole, "key", "left")
 

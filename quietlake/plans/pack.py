@@ -15,6 +15,7 @@ from ..operators import content, deidentify, egress, masking, synth
 from ..operators.profile import profile
 from ..operators.suppress import suppress_small_cells
 from ..session import ship
+from ..sources import files as source_files
 
 #: A key for tests and benchmarks; real ones come from a key file.
 KEY = b"0123456789abcdef" * 4
@@ -33,7 +34,7 @@ SQL = {
     "join_right": "select p.p_partkey as partkey, count(l.l_orderkey) as lines from lineitem l right join part p on p.p_partkey = l.l_partkey group by p.p_partkey",
     "join_full": "select coalesce(c.c_nationkey, s.s_nationkey) as nationkey, c.customers, s.suppliers from (select c_nationkey, count(1) as customers from customer group by c_nationkey) c full join (select s_nationkey, count(1) as suppliers from supplier group by s_nationkey) s on c.c_nationkey = s.s_nationkey",
     "join_semi": "select c.c_custkey as custkey, c.c_mktsegment as segment from customer c where exists (select 1 from orders o where o.o_custkey = c.c_custkey and o.o_totalprice > 200000)",
-    "join_anti": "select c.c_custkey as custkey from customer c where not exists (select 1 from orders o where o.o_custkey = c.c_custkey)",
+    "join_anti": "select c.c_custkey as custkey from customer c where not exists (select 1 from orders o where o.o_custkey = c.c_custkey and o.o_totalprice > 450000)",
     "join_theta": "select a.n_nationkey as a, b.n_nationkey as b from nation a join nation b on a.n_regionkey = b.n_regionkey and a.n_nationkey < b.n_nationkey",
     "join_cross": "select r.r_name as region, n.n_nationkey as nationkey from region r cross join nation n",
     "join_lateral": "select n.n_name as nation, t.top_price from nation n, lateral (select max(s.s_acctbal) as top_price from supplier s where s.s_nationkey = n.n_nationkey) t",
@@ -47,10 +48,10 @@ SQL = {
     "agg_percentile": "select p_brand, round(percentile_cont(0.5) within group (order by p_retailprice), 4) as median from part group by p_brand",
     "agg_having": "select o_custkey as custkey, count(1) as placed from orders group by o_custkey having count(1) >= 12",
     "agg_string": "select n_regionkey as regionkey, string_agg(n_name, ',') within group (order by n_name) as nations from nation group by n_regionkey",
-    "window_rank": "select s_suppkey as suppkey, s_nationkey as nationkey, row_number() over (partition by s_nationkey order by s_acctbal desc, s_suppkey) as place, dense_rank() over (partition by s_nationkey order by s_acctbal desc) as level from supplier",
+    "window_rank": "select s_suppkey as suppkey, s_nationkey as nationkey, cast(row_number() over (partition by s_nationkey order by s_acctbal desc, s_suppkey) as bigint) as place, cast(dense_rank() over (partition by s_nationkey order by s_acctbal desc) as bigint) as level from supplier",
     "window_lag": "select o_orderkey as orderkey, lag(o_orderkey) over (partition by o_custkey order by o_orderdate, o_orderkey) as before, lead(o_orderkey) over (partition by o_custkey order by o_orderdate, o_orderkey) as after from orders",
     "window_running": "select event_id as eid, cast(sum(event_id) over (partition by user_id order by ts, event_id rows between 2 preceding and current row) as bigint) as near3, count(1) over (partition by user_id order by ts, event_id) as nth from events",
-    "window_ntile": "select p_partkey as partkey, ntile(4) over (partition by p_brand order by p_retailprice, p_partkey) as quarter from part",
+    "window_ntile": "select p_partkey as partkey, cast(ntile(4) over (partition by p_brand order by p_retailprice, p_partkey) as bigint) as quarter from part",
     "window_first": "select distinct c_nationkey as nationkey, first_value(c_custkey) over (partition by c_nationkey order by c_acctbal desc, c_custkey) as richest from customer",
     "set_union": "select c_nationkey as nationkey from customer union select s_nationkey from supplier",
     "set_union_all": "select k, count(1) as c from (select c_nationkey as k from customer union all select s_nationkey from supplier) u group by k",
@@ -60,8 +61,8 @@ SQL = {
     "topk_orders": "select o_orderkey as orderkey, o_custkey as custkey from orders order by o_totalprice desc, o_orderkey limit 25",
     "cte_recursive": "with recursive t(x) as (select 1 union all select x + 1 from t where x < 40) select count(1) as c, cast(sum(x) as bigint) as s from t",
     "subquery_scalar": "select c_custkey as custkey from customer where c_acctbal > (select avg(s_acctbal) from supplier)",
-    "scalar_strings": "select p_partkey as partkey, upper(p_brand) as brand, length(p_name) as size_of, substr(p_type, 1, 5) as kind, replace(p_name, ' ', '_') as slug from part",
-    "scalar_dates": "select o_orderkey as orderkey, extract(year from o_orderdate) as y, extract(month from o_orderdate) as m, cast(date_trunc('week', o_orderdate) as date) as week from orders",
+    "scalar_strings": "select p_partkey as partkey, upper(p_brand) as brand, cast(length(p_name) as bigint) as size_of, substr(p_type, 1, 5) as kind, replace(p_name, ' ', '_') as slug from part",
+    "scalar_dates": "select o_orderkey as orderkey, cast(extract(year from o_orderdate) as bigint) as y, cast(extract(month from o_orderdate) as bigint) as m, cast(date_trunc('week', o_orderdate) as date) as week from orders",
     "scalar_case": "select l_linestatus, case when l_quantity < 10 then 'few' when l_quantity < 30 then 'some' else 'many' end as amount, count(1) as c from lineitem group by 1, 2",
 }
 
@@ -307,9 +308,56 @@ def unmask_round_trip(spark, sf_dir):
 
 
 def conversation_findings(spark, sf_dir):
-    turns = table(spark, sf_dir, "conversations").select(F.format_string("%s/%08d", F.col("conv_id").cast("string"), F.col("turn")).alias("turn_id"), F.col("conv_id").cast("string").alias("file"), "text")
-    masked, _ = masking.mask(turns, "turn_id", "text", site="prompt", key=KEY)
-    return content.findings(turns.select(F.col("turn_id").alias("key"), "file").join(masked, "key"))
+    turns = table(spark, sf_dir, "conversations").select(F.format_string("turn/%s/%08d", F.col("conv_id").cast("string"), F.col("turn")).alias("id"), F.lit("conversations").alias("file"), "text")
+    texts = turns.unionByName(table(spark, sf_dir, "documents").select(F.format_string("doc/%s", F.col("doc_id").cast("string")).alias("id"), F.col("source").alias("file"), "text"))
+    masked, _ = masking.mask(texts, "id", "text", site="prompt", key=KEY)
+    return content.findings(texts.select(F.col("id").alias("key"), "file").join(masked, "key"))
+
+
+def json_unmasked(spark, sf_dir):
+    """Documents with addresses, masked inside of JSON and mapped back there; the key that looks like a token stays."""
+    d = table(spark, sf_dir, "documents")
+    masked, vault = masking.mask(d, "doc_id", "text", site="code", key=KEY)
+    held = masked.filter(F.element_at("hits", F.lit("EMAIL")) > 0)
+    props = held.select("key", F.concat(F.lit('{"[EMAIL_1]": ["x", {"body": '), F.substring_index(F.to_json(F.struct("text")), '{"text":', -1)).alias("props")).withColumn("props", F.concat("props", F.lit("]}")))
+    back = masking.unmask(props, "key", "props", vault, KEY, json=True)
+    return back.join(d.select(F.col("doc_id").alias("key"), F.col("text").alias("raw")), "key").select(F.col("key").alias("doc_id"), (F.get_json_object("text", "$['[EMAIL_1]'][1].body") == F.col("raw")).alias("same"))
+
+
+JSON_UNMASKED = f"SELECT doc_id, true AS same FROM ({EMAIL_HITS})"
+
+
+def block_policies(spark, sf_dir):
+    """Turns as content blocks: their texts replaced, media dropped, and what a failed inspection leaves."""
+    turns = table(spark, sf_dir, "conversations")
+    blocks = F.to_json(F.array(F.struct(F.lit("text").alias("type"), F.col("text").alias("text")), F.struct(F.lit("image").alias("type"), F.lit("0").alias("text")), F.struct(F.lit("thinking").alias("type"), F.col("role").alias("text"))))
+    made = turns.select("conv_id", "turn", blocks.alias("content")).withColumn("texts", content.block_texts(F.col("content")))
+    done = made.withColumn("written", content.apply_texts(F.col("content"), F.transform("texts", lambda t: F.concat(F.lit("> "), t)))).withColumn("blocked", content.blocked_content(F.col("content")))
+    return done.select("conv_id", "turn", F.size("texts").cast("bigint").alias("texts"), F.col("written.dropped").cast("bigint").alias("dropped"), F.md5(F.get_json_object("written.content", "$[0].text")).alias("digest"), (F.get_json_object("blocked", "$[0].text") == content.BLOCKED).alias("blocked"))
+
+
+BLOCK_POLICIES = "SELECT conv_id, turn, 1::BIGINT AS texts, 1::BIGINT AS dropped, md5('> ' || text) AS digest, true AS blocked FROM conversations"
+
+
+def transcripts(spark, sf_dir):
+    """Turns as transcript lines, read back as the texts that a reader would see; every other line has blocks."""
+    turns = table(spark, sf_dir, "conversations")
+    plain = F.to_json(F.struct(F.struct(F.col("text").alias("content")).alias("message")))
+    nested = F.to_json(F.struct(F.struct(F.array(F.struct(F.lit("text").alias("type"), F.col("text").alias("text"))).alias("content")).alias("message")))
+    lines = turns.select(F.col("conv_id").cast("string").alias("file"), F.when(F.col("turn") % 2 == 0, plain).otherwise(nested).alias("value"))
+    return source_files.transcript_texts(lines).groupBy("file").agg(F.count(F.lit(1)).alias("texts_seen"), F.sum(F.length("text")).alias("chars"))
+
+
+TRANSCRIPTS = "SELECT conv_id::VARCHAR AS file, count(*) AS texts_seen, sum(length(text))::BIGINT AS chars FROM conversations WHERE text <> '' GROUP BY 1"
+
+
+def dictionary_positions(spark, sf_dir):
+    """Persons of the customer table by position, and how many forms each is known under."""
+    persons = masking.build_dictionary(table(spark, sf_dir, "customer"), "c_custkey", "c_custkey", names=["c_name"])
+    return persons.select("id", F.element_at("ids", 1).alias("source_id"), F.element_at("names", 1).alias("person"))
+
+
+DICTIONARY_POSITIONS = "SELECT 'P' || row_number() OVER (ORDER BY c_custkey) AS id, c_custkey::VARCHAR AS source_id, c_name AS person FROM customer"
 
 
 def argument_checks(spark, sf_dir):
@@ -345,8 +393,13 @@ OWN = {
     "unmask_round_trip": (unmask_round_trip, "SELECT doc_id, true AS same FROM documents"),
     "text_scan_findings": (conversation_findings, None),
     "argument_checks": (argument_checks, None),
+    "unmask_json": (json_unmasked, JSON_UNMASKED),
+    "block_policies": (block_policies, BLOCK_POLICIES),
+    "transcript_texts": (transcripts, TRANSCRIPTS),
+    "dictionary_positions": (dictionary_positions, DICTIONARY_POSITIONS),
 }
 
+
 def queries() -> dict[str, Callable]:
     return {f"sql_{name}": _run(sql) for name, sql in SQL.items()} | {name: f for name, (f, _) in OWN.items()}
 

@@ -69,6 +69,9 @@ def test_tokens_are_stable_and_map_back(spark, entries):
     back = [r["text"] for r in unmask(masked, "k", "t", vault, KEY).orderBy("key").collect()]
     assert back[0] == first[0] and back[1].startswith("again a@b.co.jp [EMAIL_9] [X] ") and "P1" not in back[1]
     assert b"a@b.co.jp" not in b"".join(bytes(r["value_enc"]) for r in vault.collect())
+    given = ['{"[EMAIL_1]": {"a": ["to [EMAIL_1] \\"[EMAIL_9]\\": x", 1]}, "b" : "[EMAIL_2]"}', None, "[]"]
+    deep = unmask(spark.createDataFrame(list(enumerate(given)), "k int, t string"), "k", "t", vault, KEY, json=True).orderBy("key").collect()
+    assert [r["text"] for r in deep] == ['{"[EMAIL_1]": {"a": ["to a@b.co.jp \\"[EMAIL_9]\\": x", 1]}, "b" : "c@d.co.jp"}', None, "[]"]
     with pytest.raises(PermissionError):
         unmask(masked, "k", "t", vault, KEY, caller="model")
 
