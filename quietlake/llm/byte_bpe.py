@@ -205,7 +205,7 @@ def _decode(table):
 def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     """(doc_id, ids, decoded): the bytes of all tokens, in order."""
     table = encoded.sparkSession.sparkContext.broadcast(token_table(ranks))
-    return encoded.select("doc_id", "ids").mapInArrow(_decode(table), "doc_id long, ids binary, decoded binary")
+    return encoded.select(F.col("doc_id").cast("long"), F.col("ids").cast("binary")).mapInArrow(_decode(table), "doc_id long, ids binary, decoded binary")
 
 
 def digests(decoded: DataFrame) -> DataFrame:

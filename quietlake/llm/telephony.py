@@ -162,4 +162,4 @@ def _decode(pcm_rate: int, with_pcm: bool):
 def decode(media: DataFrame, pcm_rate: int = 16000, with_pcm: bool = False) -> DataFrame:
     """Digests and features of (doc_id, n_bytes, media); ``pcm`` is a 16-bit WAV file at ``pcm_rate``, or null unless asked for."""
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm binary"
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(_decode(pcm_rate, with_pcm), schema)
+    return media.select(F.col("doc_id").cast("long"), F.col("n_bytes").cast("long"), "media").mapInArrow(_decode(pcm_rate, with_pcm), schema)
