@@ -3,13 +3,14 @@
 Encoding: texts are split into pre-tokens, block by block; a block (a bounded run of rows of
 one input partition) keeps its distinct words and, per text, the words' numbers by position.
 The words are shuffled by a hash of their spelling, so that every distinct word of the
-corpus is encoded once, in one task; the ids go back to the blocks by a second shuffle, and
-there each text is put together by position with array gathers. Decoding joins ids with the
+corpus is encoded once, in one task, and texts by their block; the ids go back to the blocks
+by a second shuffle, and there each text is put together by position with array gathers. Decoding joins ids with the
 table of token bytes, which has a fixed size and is broadcast.
 
 Scale: a word travels once per block however often it stands there, so the most frequent
 words cost no more than the others, and texts travel as numbers in frequency order, packed.
-Both passes over a block are deterministic, so lost tasks are simply run again.
+Words and texts come from one pass and one exchange, which both sides read, so the numbers
+of blocks and words don't depend on how another scan would be cut into tasks.
 
 Edge cases: null text counts as empty and has no ids; a null id is kept; repeated rows are
 encoded each; an empty table gives an empty result; texts are read whole; an id that the
@@ -24,12 +25,13 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pack, shuffle_partitions, small_batches, task_id, unpack
+from .common import pack, shuffle_partitions, small_batches, task_id, unpack, written
 
 MAX_WORDS, MAX_BYTES, STEP = 250_000, 10 << 20, 500_000
 _WORKER: dict = {}
@@ -77,32 +79,27 @@ def _blocks(batches, pattern: str):
 
 
 def _row(*values) -> pa.RecordBatch:
-    types = [pa.int32(), pa.int64(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], names=["bucket", "block", "payload"])
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], names=["place", "bucket", "block", "payload"])
 
 
-def _word_rows(pattern: str, buckets: int):
+def _block_rows(pattern: str, buckets: int):
+    """Each block's words, placed by their bucket, and its texts, placed by the block."""
+
     def run(batches):
         for number, block in _blocks(batches, pattern):
-            words, _ = block.by_frequency()
+            words, codes = block.by_frequency()
+            planes = codes.view(np.uint8).reshape(-1, 4)
+            texts = pack(doc_id=pa.array(block.ids, pa.int64()), n=np.array([len(c) for c in block.codes], np.int64))
+            yield _row(number, -1, number, texts)
+            yield _row(number, -2, number, pack(low=planes[:, 0].copy(), mid=planes[:, 1].copy(), high=planes[:, 2].copy()))
             raw = [w.encode() for w in words]
             bucket = np.fromiter((zlib.crc32(w) % buckets for w in raw), np.int32, len(raw))
             order = np.argsort(bucket, kind="stable")
             for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
                 if len(part):
-                    yield _row(int(bucket[part[0]]), number, pack(code=part.astype(np.uint32), word=pa.array([raw[i] for i in part], pa.binary())))
-
-    return run
-
-
-def _text_rows(pattern: str):
-    def run(batches):
-        for number, block in _blocks(batches, pattern):
-            _, codes = block.by_frequency()
-            planes = codes.view(np.uint8).reshape(-1, 4)
-            texts = pack(doc_id=pa.array(block.ids, pa.int64()), n=np.array([len(c) for c in block.codes], np.int64))
-            yield _row(-1, number, texts)
-            yield _row(-2, number, pack(low=planes[:, 0].copy(), mid=planes[:, 1].copy(), high=planes[:, 2].copy()))
+                    at = int(bucket[part[0]])
+                    yield _row(at, at, number, pack(code=part.astype(np.uint32), word=pa.array([raw[i] for i in part], pa.binary())))
 
     return run
 
@@ -118,14 +115,15 @@ def _encode_words(ranks, pattern: str):
     def run(batches):
         piece, known = _encoding(ranks.value, pattern)._core_bpe.encode_single_piece, {}
         for batch in batches:
-            for block, payload in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            batch = batch.filter(pc.greater_equal(batch.column(1), 0))
+            for block, payload in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 table = unpack([payload])
                 words = table.column("word").to_pylist()
                 for w in words:
                     if w not in known:
                         known[w] = piece(w)
                 ids = [known[w] for w in words]
-                yield _row(0, block, _ids_payload(table.column("code"), ids))
+                yield _row(block, 0, block, _ids_payload(table.column("code"), ids))
 
     return run
 
@@ -143,11 +141,12 @@ def _gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarr
     return flat[np.repeat(starts - (ends - sizes), sizes) + np.arange(total)] if total else flat[:0]
 
 
-def _reassemble(table: pa.Table) -> pa.Table:
-    """One block's rows: its texts as word numbers, and its words' ids."""
-    bucket, payload = table.column("bucket").to_pylist(), table.column("payload").to_pylist()
-    of = lambda b: [p for k, p in zip(bucket, payload, strict=True) if k == b]
-    texts, planes = unpack(of(-1)), unpack(of(-2))
+def _reassemble(placed: pa.Table, known: pa.Table) -> pa.Table:
+    """One block's texts as word numbers, with its words' ids; words that are placed alike don't count."""
+    of = lambda b: placed.filter(pc.equal(placed.column("bucket"), b)).column("payload").to_pylist()
+    if not (own := of(-1)):
+        return pa.table({"doc_id": pa.array([], pa.int64()), "ids": pa.array([], pa.binary())})
+    texts, planes = unpack(own), unpack(of(-2))
     codes = np.zeros((planes.num_rows, 4), np.uint8)
     for i, plane in enumerate(("low", "mid", "high")):
         codes[:, i] = planes.column(plane).to_numpy()
@@ -155,7 +154,7 @@ def _reassemble(table: pa.Table) -> pa.Table:
     counts = texts.column("n").to_numpy()
     raw, offsets = b"", np.zeros(len(counts) + 1, np.int64)
     if len(codes):
-        words = unpack(of(0))
+        words = unpack(known.column("payload").to_pylist())
         lists = words.column("ids").combine_chunks()
         at, where = lists.offsets.to_numpy().astype(np.int64), words.column("code").to_numpy()
         starts, sizes = np.empty(len(where), np.int64), np.empty(len(where), np.int64)
@@ -168,17 +167,28 @@ def _reassemble(table: pa.Table) -> pa.Table:
     return pa.table({"doc_id": texts.column("doc_id").combine_chunks(), "ids": column.cast(pa.binary())})
 
 
+def _shares_exchange(df: DataFrame) -> bool:
+    """Whether Spark reuses an exchange over ``df`` where it is used twice: it has to see that both are the same, which it doesn't for cached tables."""
+    sides = df.unionAll(df)._jdf.queryExecution().sparkPlan().children()
+    leaves = sides.apply(0).collectLeaves()
+    files = all(leaves.apply(i).getClass().getSimpleName() == "FileSourceScanExec" for i in range(leaves.size()))
+    return files and sides.apply(0).sameResult(sides.apply(1)) and df.sparkSession.conf.get("spark.sql.exchange.reuse") == "true"
+
+
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids): ids as little-endian unsigned 32-bit integers, one after another."""
     spark = docs.sparkSession
     n = shuffle_partitions(spark)
     rows = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
-    schema = "bucket int, block long, payload binary"
+    schema = "place long, bucket int, block long, payload binary"
     shared = spark.sparkContext.broadcast(ranks)  # the vocabulary has a fixed size
-    words = rows.mapInArrow(_word_rows(pattern, 4 * n), schema).repartition(n, "bucket")
-    known = words.mapInArrow(_encode_words(shared, pattern), schema)
-    texts = rows.mapInArrow(_text_rows(pattern), schema)
-    return texts.unionAll(known).groupBy("block").applyInArrow(_reassemble, "doc_id long, ids binary")
+    blocks = rows.mapInArrow(_block_rows(pattern, 4 * n), schema)
+    if not _shares_exchange(blocks):
+        blocks = written(blocks, "blocks")  # else the two uses below would be two passes
+    # both sides take all rows of this one exchange; a filter would be pushed below it and make it two
+    placed = blocks.repartition(n, "place")
+    known = placed.mapInArrow(_encode_words(shared, pattern), schema)
+    return placed.groupBy("place").cogroup(known.groupBy("place")).applyInArrow(_reassemble, "doc_id long, ids binary")
 
 
 def token_table(ranks: dict[bytes, int]) -> tuple[bytes, np.ndarray]:

@@ -65,6 +65,28 @@ def test_byte_bpe_over_many_blocks(odd, monkeypatch):
     assert [b.ids for _, b in block([batch], public_tokenizers.PATTERN)] == [[1], [2, 3]]
 
 
+def test_byte_bpe_passes_over_the_texts_once(spark, odd, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    odd.write.parquet(str(tmp_path / "docs"))
+    stored = spark.read.parquet(str(tmp_path / "docs"))
+    for docs, reuse, shared in ((stored, "true", True), (stored, "false", False), (odd, "true", False)):
+        spark.conf.set("spark.sql.exchange.reuse", reuse)
+        rows = docs.select("doc_id", "text").mapInArrow(counted, "doc_id long, text string")
+        try:
+            before = seen.value
+            assert byte_bpe._shares_exchange(rows) == shared
+            got = byte_bpe.decode(byte_bpe.encode(rows, RANKS, public_tokenizers.PATTERN), RANKS).collect()
+        finally:
+            spark.conf.unset("spark.sql.exchange.reuse")
+        assert seen.value - before == len(ROWS) and sorted(bytes(r["decoded"]) for r in got) == sorted((t or "").encode() for _, t, *_ in ROWS)
+
+
 def test_license_scan(spark, odd, empty):
     rows = license_scan.license_scan(odd).collect()
     assert _ids(rows) == EVERY and all(r["n_base"] == 0 and r["first_word"] is None and r["score"] == 0 and r["labels"] == "" for r in rows)
