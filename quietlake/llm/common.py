@@ -99,11 +99,14 @@ def lookup_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str
 
 
 def with_rows(docs: DataFrame) -> tuple[DataFrame, str]:
-    """The table with a number for every row, which is the same whenever the same files are read, and that column's name."""
+    """The table with a number for every row, and that column's name.
+
+    Numbers depend on how a scan is cut into tasks, which changes with the executors, so they are stored with the rows.
+    """
     name = "row"
     while name in docs.columns:
         name = f"_{name}"
-    return docs.withColumn(name, F.monotonically_increasing_id()), name
+    return written(docs.withColumn(name, F.monotonically_increasing_id()), "rows"), name
 
 
 def without_rows(docs: DataFrame, row_col: str, dropped: DataFrame, most: int = 4_000_000) -> DataFrame:

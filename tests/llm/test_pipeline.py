@@ -5,7 +5,7 @@ import re
 
 import corpus_pipeline
 from quietlake.llm import quality
-from quietlake.llm.common import read_table
+from quietlake.llm.common import read_table, with_rows, without_rows
 
 
 def _rows(df):
@@ -60,3 +60,20 @@ def test_stages_against_brute_force(spark, sf, tmp_path):
             assert r["text"] == state["jaccard_join"][i]["text"]
     assert {r["doc_id"] for r in docs.collect()} == state["secret_scan"].keys()
     assert corpus_pipeline.run(spark, sf).count() == docs.count()
+
+
+def test_row_numbers_outlast_another_cut_of_the_files(spark, tmp_path):
+    spark.range(80).selectExpr("id as doc_id", "concat('one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen ', array_join(transform(sequence(1, 90), i -> concat('w', id % 40, 'x', i)), ' ')) as text").repartition(8).write.parquet(str(tmp_path / "docs"))
+    cut = "spark.sql.files.minPartitionNum"  # stands for the number of cores, which changes with the executors
+    spark.conf.set(cut, 8)
+    try:
+        numbered, row = with_rows(spark.read.parquet(str(tmp_path / "docs")))
+        kept = without_rows(numbered, row, numbered.filter("doc_id < 40").select(row))
+        copies = corpus_pipeline.exact(spark, spark.read.parquet(str(tmp_path / "docs")), "")
+        near = corpus_pipeline.near(spark, spark.read.parquet(str(tmp_path / "docs")), "")
+        spark.conf.set(cut, 1)
+        assert sorted(r["doc_id"] for r in kept.collect()) == list(range(40, 80))
+        assert sorted(r["doc_id"] for r in copies.collect()) == list(range(40, 80))
+        assert sorted(r["doc_id"] for r in near.collect()) == list(range(40))
+    finally:
+        spark.conf.unset(cut)
