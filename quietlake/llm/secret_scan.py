@@ -119,14 +119,16 @@ def _scanned(docs: DataFrame, id_col: str, text_col: str, weights: list[int] | N
     out = out.withColumn("base", base_spans(F.col("text")))
     pattern = _TOKEN % markov.get("shortest", 16)
     out = out.withColumn("random", F.when(F.rlike("text", F.lit(pattern)), markov_spans(F.col("text"), weights, **markov)).otherwise(F.array().cast(_SPANS)))
-    added = F.filter("random", lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
+    # base spans come by start, so this is how far they cover a span from its start without a gap
+    covered = lambda m: F.aggregate("base", m["start"], lambda at, b: F.when(b["start"] <= at, F.greatest(at, b["end"])).otherwise(at))
+    added = F.filter("random", lambda m: covered(m) < m["end"])
     return out.select("row", "text", "base", F.array_sort(F.concat("base", added)).alias("spans"))
 
 
 def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", weights: list[int] | None = None, **markov) -> DataFrame:
     """doc_id, base (spans of the patterns), spans (those and the Markov models').
 
-    A Markov span that overlaps one of a pattern isn't listed again.
+    A Markov span that the patterns' spans cover completely isn't listed again.
     """
     found = _scanned(docs.select(id_col, text_col), id_col, text_col, weights, **markov)
     return found.select(F.col("row")[id_col].cast("long").alias("doc_id"), "base", "spans")

@@ -213,6 +213,17 @@ def test_secret_scan(spark, odd, empty):
     assert kept.columns == odd.columns and kept.count() == len(ROWS) and kept.filter("text is null").count() == 2
 
 
+def test_secret_scan_keeps_models_spans_that_go_beyond_a_pattern(spark):
+    key, secret, digest = "AKIA" + "Q7XZ" * 4, "wJalrXUtnFEMIK7MDENGbPxRfiCYzEXAMPLEKEYq", "0123456789abcdef01234567"
+    texts = [f"x {key}/{secret} y", f"x {digest}.{secret} y", f"x {key} y", f"x token={secret} y", f"x {secret}/{key} y"]
+    weights = [3000] * len(secret_scan.ALPHABET) ** 2  # all runs look random
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: [(s["kind"], texts[r["doc_id"]][s["start"] : s["end"]]) for s in r["spans"]] for r in secret_scan.secret_scan(df, weights=weights).collect()}
+    assert got[0] == [("access", key), ("markov", f"{key}/{secret}")] and got[1] == [("hex", digest), ("markov", f"{digest}.{secret}")]
+    assert got[2] == [("access", key)] and got[3] == [("assign", f"token={secret}")] and got[4] == [("markov", f"{secret}/{key}"), ("access", key)]
+    assert {r["text"] for r in secret_scan.redact(df, weights=weights).collect()} == {"x [SECRET] y"}
+
+
 def test_many_spans_have_right_places(spark):
     text = " ".join(f"é{i} token={i:06d}" for i in range(700))
     spans = secret_scan.secret_scan(spark.createDataFrame([(1, text)], "doc_id long, text string"), weights=[0] * len(secret_scan.ALPHABET) ** 2).first()["base"]
