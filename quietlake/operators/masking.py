@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -117,14 +118,11 @@ def apply_dictionary(texts: DataFrame, entries: DataFrame, vault: DataFrame | No
         known = known.withColumn("mac", _mac(F.col("form"), key)).join(vault.select("mac", F.col("token").alias("old")), "mac", "left").withColumn("token", F.coalesce("old", "token"))
     known = known.select("form", "kind", "token", F.length("form").alias("size"))
     out = texts.withColumn("hits", F.array().cast("array<string>"))
-    total = known.count()
-    bounds = [None] if total <= limit else [r["size"] for r in known.groupBy("size").count().orderBy(F.desc("size")).collect()]  # one row per length
-    for size in bounds:
-        part = known if size is None else known.filter(F.col("size") == size)
-        rows = [(r["form"], r["kind"], r["token"]) for r in part.orderBy(F.desc("size"), "form").toLocalIterator()]
-        for start in range(0, len(rows), limit):
-            shared = spark.sparkContext.broadcast(rows[start : start + limit])
-            out = out.withColumn("done", _replacer(shared)(F.col("text"))).select("key", F.col("done.text").alias("text"), F.concat("hits", "done.hits").alias("hits"))
+    # one slice at a time is on the driver
+    rows = ((r["form"], r["kind"], r["token"]) for r in known.orderBy(F.desc("size"), "form").toLocalIterator())
+    while part := list(islice(rows, limit)):
+        shared = spark.sparkContext.broadcast(part)
+        out = out.withColumn("done", _replacer(shared)(F.col("text"))).select("key", F.col("done.text").alias("text"), F.concat("hits", "done.hits").alias("hits"))
     return out
 
 

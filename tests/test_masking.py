@@ -112,3 +112,24 @@ def test_numbers_over_many_ranges(spark):
 def test_blobs(spark):
     row = spark.createDataFrame([("x " + "Ab1+" * 15 + " y", "c2hvcnQ=")], "a string, b string").select(blob_hits(F.col("a")), withhold_blobs(F.col("a")), blob_hits(F.col("b"))).first()
     assert tuple(row) == (1, "x [ENCODED_BLOB_WITHHELD] y", 0)
+
+
+def test_driver_holds_one_slice_of_a_dictionary(spark, monkeypatch):
+    entries = spark.range(1000).selectExpr("format_string('Supplier#%09d', id) as form", "concat('P', id) as person", "'NAME' as kind")
+    df = spark.createDataFrame([(1, "Supplier#000000007 Supplier#000000993")], "key int, text string")
+    pulled, sizes, whole = [0], [], type(df).toLocalIterator
+    put = spark.sparkContext.broadcast
+
+    def counted(self, *args, **options):
+        for row in whole(self, *args, **options):
+            pulled[0] += 1
+            yield row
+
+    def broadcast(value):
+        sizes.append(len(value))
+        assert pulled[0] == sum(sizes)
+        return put(value)
+
+    monkeypatch.setattr(type(df), "toLocalIterator", counted)
+    monkeypatch.setattr(spark.sparkContext, "broadcast", broadcast)
+    assert apply_dictionary(df, entries, limit=300).first()["text"] == "[P7_NAME] [P993_NAME]" and sizes == [300, 300, 300, 100]
