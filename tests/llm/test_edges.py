@@ -1,6 +1,10 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns, for every operator and stage."""
 
 import hashlib
+import random
+import re
+import string
+import time
 
 import numpy as np
 import public_tokenizers
@@ -93,7 +97,7 @@ def test_license_scan(spark, odd, empty):
     assert license_scan.license_scan(empty).count() == 0
     text = "x Apache-LICENSE, apache license version 2 0! GNU General Public License CC BY-NC 4.0 mit license"
     r = license_scan.license_scan(spark.createDataFrame([(1, text), (2, "license mit"), (3, "the mit license " * 3000)], "doc_id long, text string")).orderBy("doc_id").collect()
-    assert (r[0]["n_words"], r[0]["n_base"], r[0]["first_word"], r[0]["last_word"], r[0]["base_labels"]) == (17, 5, 1, 15, "apache,cc-by,gpl,mit")
+    assert (r[0]["n_words"], r[0]["n_base"], r[0]["first_word"], r[0]["last_word"], r[0]["base_labels"]) == (19, 5, 1, 17, "apache,cc-by,gpl,mit")
     assert "cc-by-nc" in r[0]["labels"] and r[1]["n_base"] == 0 and r[2]["n_base"] == 3000 and 0 < r[0]["score"] <= 1
 
 
@@ -136,8 +140,6 @@ def test_jaccard(spark, odd, empty):
 
 def test_jaccard_chains_and_stars(spark):
     """Variants of a text, some too far from the others, chains of links, and a hot passage: every link counts."""
-    import random
-
     rng = random.Random(11)
     word = lambda: f"w{rng.randrange(10**9)}"
     base, rows = [word() for _ in range(120)], []
@@ -182,6 +184,19 @@ def test_packing(odd, empty):
     assert max(ends.values()) <= 64 and packing.pack_documents(empty, MODEL).count() == 0
 
 
+def _pairs(sizes, room):
+    """The fewest sequences where no three pieces fit into one (else 0): the longest stands beside the shortest if that fits."""
+    if not sizes or 3 * min(sizes) <= room:
+        return 0
+    order, used = sorted(sizes), 0
+    while order:
+        longest = order.pop()
+        if order and longest + order[0] <= room:
+            order.pop(0)
+        used += 1
+    return used
+
+
 def test_packing_plans_use_every_piece():
     rng = np.random.default_rng(2)
     for sizes in ([64] * 9, [1] * 500, [33] * 100, rng.integers(1, 65, 3000).tolist(), rng.integers(30, 36, 1000).tolist(), []):
@@ -193,7 +208,7 @@ def test_packing_plans_use_every_piece():
             for length, each in content:
                 used[length] = used.get(length, 0) + repeats * each
         assert used == {int(k): int(v) for k, v in histogram.items()}
-        bound = max(-(-sum(sizes) // 64), sum(s > 32 for s in sizes))
+        bound = max(-(-sum(sizes) // 64), sum(s > 32 for s in sizes), _pairs(sizes, 64))
         assert sum(r for r, _ in plan) <= 1.03 * bound + 1
 
 
@@ -230,6 +245,54 @@ def test_many_spans_have_right_places(spark):
     assert len(spans) == 700 and all(text[s["start"] : s["end"]] == f"token={i:06d}" for i, s in enumerate(spans))
 
 
+def test_many_spans_are_quick_to_place_and_replace(spark):
+    text = " ".join(f"é{i} token={i:06d} {'qZ7x' * 5}{i}" for i in range(5000))
+    df, weights = spark.createDataFrame([(1, text)], "doc_id long, text string"), [3000] * len(secret_scan.ALPHABET) ** 2
+    began = time.time()
+    spans = secret_scan.secret_scan(df, weights=weights).first()["spans"]
+    assert time.time() - began < 15 and len(spans) == 10_000
+    assert [text[s["start"] : s["end"]] for s in spans] == [x for i in range(5000) for x in (f"token={i:06d}", f"{'qZ7x' * 5}{i}")]
+    assert secret_scan.redact(df, weights=weights).first()["text"] == " ".join(f"é{i} [SECRET] [SECRET]" for i in range(5000))
+
+
+@pytest.fixture(scope="module")
+def trained(spark):
+    return secret_scan.train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+
+
+def _markov(text, weights, least=2500):
+    """Brute force: maximal runs of 16 or more token characters whose mean weight is high enough."""
+    n, spans = len(secret_scan.ALPHABET), []
+    for m in re.finditer(r"[A-Za-z0-9+/=_.-]+", text):
+        codes = [secret_scan.ALPHABET.index(c) for c in m[0]]
+        if len(codes) >= 16 and sum(weights[a * n + b] for a, b in zip(codes, codes[1:])) >= least * (len(codes) - 1):
+            spans.append(("markov", m.start(), m.end()))
+    return spans
+
+
+def test_markov_spans_against_brute_force(spark, trained):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rng, keys = random.Random(3), string.ascii_letters + string.digits + "+/"
+    made = [(-i, f"é {''.join(rng.choices(keys, k=rng.choice([15, 16, 24, 40])))} x-{'ab.' * 6} {''.join(rng.choices('Zz9', k=18))}") for i in range(1, 200)]
+    found = 0
+    for r in secret_scan.secret_scan(docs.unionByName(spark.createDataFrame(made, "doc_id long, text string")), weights=trained).join(docs.unionByName(spark.createDataFrame(made, "doc_id long, text string")), "doc_id").collect():
+        base = [(s["start"], s["end"]) for s in r["base"]]
+        inside = lambda a, b: all(any(x <= i < y for x, y in base) for i in range(a, b))
+        want = [s for s in _markov(r["text"] or "", trained) if not inside(s[1], s[2])]
+        assert [(s["kind"], s["start"], s["end"]) for s in r["spans"] if s["kind"] == "markov"] == want
+        found += len(want)
+    assert found > 100
+
+
+def test_ordinary_tokens_are_no_secrets(spark, trained):
+    ordinary = ["------------------", "................", "0000000000000000", "1234567890123456", "2024-01-01T00.00.00", "3.14159265358979", "getUserAccountByIdentifier", "MAX_CONNECTION_TIMEOUT", "/usr/local/lib/python/site-packages", "org.apache.spark.sql.catalyst", "__________________"]
+    rng = random.Random(4)
+    keys = ["".join(rng.choices(string.ascii_letters + string.digits, k=20)) for _ in range(200)]
+    df = spark.createDataFrame(list(enumerate([" ".join(ordinary), " ".join(keys)])), "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in secret_scan.secret_scan(df, weights=trained).collect()}
+    assert got[0] == [] and len(got[1]) >= 190
+
+
 def test_simple8b_files(odd, empty):
     files = simple8b.file_rows(odd, MODEL)
     rows = simple8b.read_digests(files).collect()
