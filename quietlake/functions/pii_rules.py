@@ -26,6 +26,14 @@ DOB_CONTEXT = r"生年月日|生まれ|誕生日|DOB|birth"
 CODE_CONTEXT = r"arn:|://|[0-9a-f]{20,}|aws|account"
 WINDOW, CODE_BEFORE, CODE_AFTER = 40, 12, 2
 
+#: What a text must hold for a rule to match at all, and a superset of it that Spark can look for.
+NEEDLES = {
+    "EMAIL": lambda t: "@" in t,
+    "ADDRESS": re.compile("[市区町村郡]").search,
+    **dict.fromkeys(("PHONE", "ZIP", "MYNUMBER", "DOB"), re.compile(r"\d").search),
+}
+ANY_NEEDLE = r"[@市区町村郡]|\p{Nd}"
+
 SPANS = "array<struct<kind:string,start:int,end:int,rule:int>>"
 
 
@@ -67,9 +75,14 @@ def find_spans(text: Column, patient_id: str | None = None, allow_emails=(), kin
     @F.pandas_udf(SPANS)
     def spans(texts: pd.Series) -> pd.Series:
         active = [(i, *r) for i, r in enumerate(rules(patient_id, allow_emails)) if kinds is None or r[0] in kinds]
-        return texts.map(lambda t: [{"kind": k, "start": m.start(), "end": m.end(), "rule": i} for i, k, p, test in active for m in p.finditer(t or "") if test(t, m)])
 
-    return spans(text)
+        def of(t: str | None) -> list[dict]:
+            due = [(i, k, p, test) for i, k, p, test in active if k not in NEEDLES or NEEDLES[k](t)] if t else []
+            return [{"kind": k, "start": m.start(), "end": m.end(), "rule": i} for i, k, p, test in due for m in p.finditer(t) if test(t, m)]
+
+        return texts.map(of)
+
+    return spans(text) if patient_id else spans(F.when(F.rlike(text, F.lit(ANY_NEEDLE)), text))
 
 
 def resolve(text: Column, spans: Column) -> Column:

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from ..functions.pii_rules import find_spans, replace, resolve
 from ..functions.pseudonyms import hmac_sha256
 from ..functions.text import light, value_forms
+from ..storage import lookup, written
+from .numbering import numbered
 
 # Kinds by the dictionary's fields, sites by how they are masked, callers that may unmask, tokens.
 KINDS = {"names": "NAME", "emails": "EMAIL", "phones": "PHONE", "ids": "ID"}
@@ -40,13 +42,8 @@ def build_dictionary(rows: DataFrame, order_by: str, id_col: str, names=(), emai
         texts = [F.trim(F.col(c).cast("string")) for c in columns if c in rows.columns]
         return F.filter(F.array(*texts), lambda v: v.isNotNull() & (v != "")) if texts else F.array().cast("array<string>")
 
-    # positions without a single task that sorts all: counts of the ranges before, then places inside each
-    parts = rows.repartitionByRange(max(1, rows.sparkSession.sparkContext.defaultParallelism), order_by).sortWithinPartitions(order_by).withColumn("__at", F.monotonically_increasing_id())
-    parts = parts.withColumn("__part", F.shiftright("__at", 33))
-    sizes = parts.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
-    before = sizes.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    numbered = parts.join(before, "__part").withColumn("__nth", F.col("__before") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) + 1)
-    persons = numbered.select(
+    placed = numbered(rows, [order_by], name="__nth")
+    persons = placed.select(
         F.concat(F.lit("P"), F.col("__nth").cast("string")).alias("id"), values(names).alias("names"), values(emails).alias("emails"), values(phones).alias("phones"), values([id_col, *ids]).alias("ids"), F.col("__nth").alias("position")
     )
     return persons.filter(F.size("names") + F.size("emails") + F.size("phones") + F.size("ids") > 0)
@@ -138,21 +135,15 @@ def _replacer(shared) -> Callable[[Column], Column]:
 def number_tokens(values: DataFrame, vault: DataFrame | None) -> DataFrame:
     """Tokens [KIND_n] for new (value, kind, ord), n by kind in order of ``ord``, from the vault's highest number on.
 
-    A kind may hold most values, so no task sorts a whole kind: ranges of (kind, ord) are
-    numbered on their own, and the counts of the ranges before are added.
+    A kind may hold most values, so no task sorts a whole kind.
     """
-    spark = values.sparkSession
-    ranged = values.repartitionByRange(spark.sparkContext.defaultParallelism, "kind", "ord").sortWithinPartitions("kind", "ord").withColumn("part", F.spark_partition_id())
-    placed = ranged.withColumn("nth", F.row_number().over(Window.partitionBy("part", "kind").orderBy("ord")))
-    counts = placed.groupBy("part", "kind").agg(F.count(F.lit(1)).alias("n"))
-    before = counts.select("part", "kind", F.coalesce(F.sum("n").over(Window.partitionBy("kind").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    placed = placed.join(before, ["part", "kind"])
+    placed = numbered(values, ["ord"], ["kind"])
     if vault is None:
         top = F.lit(0)
     else:
         last = vault.filter(F.rlike("token", F.lit(r"^\[[A-Z_]+_\d+\]$")) & ~F.rlike("token", F.lit(r"^\[P\d+_"))).groupBy("kind").agg(F.max(F.regexp_extract("token", r"_(\d+)\]$", 1).cast("bigint")).alias("top"))
         placed, top = placed.join(last, "kind", "left"), F.coalesce("top", F.lit(0))
-    return placed.select("value", "kind", "ord", F.format_string("[%s_%d]", F.col("kind"), top + F.col("before") + F.col("nth")).alias("token"))
+    return placed.select("value", "kind", "ord", F.format_string("[%s_%d]", F.col("kind"), top + F.col("nth")).alias("token"))
 
 
 def mask(texts: DataFrame, key_col: str, text_col: str, entries: DataFrame | None = None, site: str = "data", vault: DataFrame | None = None, key: bytes = b"", patient_id: str | None = None, allow_emails=()) -> tuple[DataFrame, DataFrame]:
@@ -164,7 +155,8 @@ def mask(texts: DataFrame, key_col: str, text_col: str, entries: DataFrame | Non
     work = rows if site == "code" else rows.withColumn("text", light(F.col("text")))
     work = apply_dictionary(work, entries, vault, key) if entries is not None else work.withColumn("hits", F.array().cast("array<string>"))
     found = find_spans(F.col("text"), patient_id, allow_emails, CODE_KINDS if site == "code" else None)
-    work = work.withColumn("spans", resolve(F.col("text"), found))
+    # texts, tokens and the vault are three uses of the same work, so it is done once
+    work = written(work.withColumn("spans", resolve(F.col("text"), found)), "spans")
     one = work.select("key", F.posexplode("spans").alias("nth", "span")).select("key", "nth", F.col("span.value").alias("value"), F.col("span.kind").alias("kind"), F.col("span.start").alias("start"), F.col("span.end").alias("end"))
     firsts = one.groupBy("value").agg(F.min_by("kind", F.struct("key", "start")).alias("kind"), F.min(F.struct("key", "start")).alias("ord"))
     if vault is not None:
@@ -173,20 +165,22 @@ def mask(texts: DataFrame, key_col: str, text_col: str, entries: DataFrame | Non
         fresh = macs.join(vault.select("mac"), "mac", "left_anti").drop("mac")
     else:
         stored, fresh = None, firsts
-    new = number_tokens(fresh, vault)
+    new = written(number_tokens(fresh, vault), "tokens")
     tokens = new.select("value", "token") if stored is None else new.select("value", "token").union(stored)
-    placed = one.join(tokens, "value").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "end", "token", "kind"))).alias("placed"))  # a text's own spans
-    out = work.join(placed, "key", "left")
+    placed = lookup(one, tokens, "value").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "end", "token", "kind"))).alias("placed"))  # a text's own spans
+    plain = work.filter("size(spans) = 0").withColumn("placed", F.lit(None).cast(placed.schema["placed"].dataType))
+    out = work.filter("size(spans) > 0").join(placed, "key", "left").unionByName(plain)
     kinds = F.concat("hits", F.coalesce(F.transform("placed", lambda s: s["kind"]), F.array().cast("array<string>")))
     counted = F.map_from_entries(F.transform(F.array_distinct(kinds), lambda k: F.struct(k, F.size(F.filter(kinds, lambda x: x == k)).cast("bigint"))))
     done = out.select("key", F.when(F.col("placed").isNull(), F.col("text")).otherwise(replace(F.col("text"), F.col("placed"))).alias("text"), counted.alias("hits"), F.lit(False).alias("tainted"))
-    return done, vault_rows(new, key)
+    top = vault.agg(F.coalesce(F.max("ord"), F.lit(-1))).first()[0] if vault is not None else -1
+    return done, vault_rows(new, key, top + 1)
 
 
-def vault_rows(new: DataFrame, key: bytes) -> DataFrame:
-    """New tokens as rows of the vault: the value's keyed hash, and the value itself encrypted."""
+def vault_rows(new: DataFrame, key: bytes, first: int = 0) -> DataFrame:
+    """New tokens as rows of the vault: the value's keyed hash, and the value itself encrypted; ``ord`` goes on from ``first``."""
     secret = F.substring(F.sha2(F.lit(b"vault:" + key), 256), 1, 32).cast("binary")
-    return new.select(_mac(F.col("value"), key).alias("mac"), "token", "kind", F.aes_encrypt(F.col("value").cast("binary"), secret).alias("value_enc"), F.monotonically_increasing_id().alias("ord"))
+    return new.select(_mac(F.col("value"), key).alias("mac"), "token", "kind", F.aes_encrypt(F.col("value").cast("binary"), secret).alias("value_enc"), (F.monotonically_increasing_id() + first).alias("ord"))
 
 
 def person_rows(entries: DataFrame, key: bytes) -> DataFrame:
@@ -212,11 +206,14 @@ def unmask(texts: DataFrame, key_col: str, text_col: str, vault: DataFrame, key:
     if json:
         escaped = F.to_json(F.array("value"))
         values = values.withColumn("value", F.substring(escaped, F.lit(3), F.length(escaped) - 4))  # within ["..."]
-    rows = texts.select(F.col(key_col).alias("key"), F.col(text_col).alias("text"))
-    parts = rows.select("key", F.posexplode(F.arrays_zip(F.split("text", token, -1).alias("gap"), F.regexp_extract_all("text", F.lit(token), F.lit(0)).alias("token"))).alias("nth", "part")).select("key", "nth", "part.gap", "part.token")
-    filled = parts.join(values, "token", "left").withColumn("piece", F.concat("gap", F.coalesce("value", "token", F.lit(""))))
-    whole = filled.groupBy("key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "piece"))), lambda x: x["piece"]), "").alias("text"))  # a text's own parts
-    return rows.select("key").join(whole, "key", "left")
+    rows = texts.select(F.col(key_col).alias("key"), F.col(text_col).alias("text")).withColumn("__tokens", F.regexp_extract_all("text", F.lit(token), F.lit(0)))
+    # only the texts that hold a token take part: their distinct tokens are looked up, and then come back as one map a text
+    held = rows.filter("size(__tokens) > 0")
+    asked = held.select("key", F.explode(F.array_distinct("__tokens")).alias("token"))
+    known = lookup(asked, values, "token").groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("token", "value"))).alias("__known"))  # a text's own tokens
+    piece = F.zip_with(F.split("text", token, -1), "__tokens", lambda gap, t: F.concat(gap, F.coalesce(F.element_at("__known", t), t, F.lit(""))))
+    filled = held.join(known, "key", "left").select("key", F.when(F.col("__known").isNull(), F.col("text")).otherwise(F.array_join(piece, "")).alias("text"))
+    return rows.filter("text is null or size(__tokens) = 0").select("key", "text").unionByName(filled)
 
 
 def argument_verdicts(args: DataFrame, key_col: str, text_col: str, entries: DataFrame | None = None, **rules) -> DataFrame:

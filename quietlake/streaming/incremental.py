@@ -13,13 +13,14 @@ from ..sources.files import read_dictionary, transcript_texts
 from ..sources.sinks import append_vault
 
 
-def read_vault(spark: SparkSession, path: str) -> DataFrame:
-    """All rows of the vault; of a value that two runs recorded, the first one."""
+def read_vault(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
+    """All rows of the vault, or those of earlier batches than ``before``; of a value that two runs recorded, the first one."""
     try:
-        rows = spark.read.schema(VAULT_SCHEMA).parquet(path)
+        rows = spark.read.schema(VAULT_SCHEMA + ", batch bigint").parquet(path)
     except AnalysisException:
         return spark.createDataFrame([], VAULT_SCHEMA)
-    first = rows.groupBy("mac").agg(F.min_by(F.struct("token", "kind", "value_enc", "ord"), F.struct("ord", "token")).alias("r"))
+    rows = rows if before is None else rows.filter(F.col("batch") < before)
+    first = rows.groupBy("mac").agg(F.min_by(F.struct("token", "kind", "value_enc", "ord"), F.struct("batch", "ord", "token")).alias("r"))
     return first.select("mac", "r.*")
 
 
@@ -51,11 +52,11 @@ def mask_stream(texts: DataFrame, key_col: str, text_col: str, out: str, vault_p
 
     def batch(rows: DataFrame, number: int) -> None:
         inner = rows.sparkSession
-        known = read_vault(inner, vault_path)
+        known = read_vault(inner, vault_path, number)
         entries = dictionary_entries(read_dictionary(inner, dictionary)) if dictionary else None
         done, new = mask(rows, key_col, text_col, entries, vault=known, key=key, **rules)
         done.write.mode("overwrite").parquet(f"{out}/batch={number}")
-        append_vault(new, vault_path)
+        append_vault(new, vault_path, number)
 
     return texts.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -18,6 +18,33 @@ ESCAPES = [
 ]
 
 
+SCOPED = [
+    "select a from hidden_rows", "select a from t where 'x' in (with hidden_rows as (select a from t) select a from hidden_rows) union all select a from hidden_rows",
+    "select a from hidden_rows where 'x' in (with hidden_rows as (select b from t) select b from hidden_rows)",
+    "with u as (with hidden_rows as (select a from t) select a from hidden_rows) select h.a from hidden_rows h join u on u.a = h.a",
+    "with u as (select a from hidden_rows), hidden_rows as (select a from t) select a from u",
+    "with recursive r(n) as (select 1 union all select n + 1 from r where n < 3) select a from hidden_rows where a in (select n from r)",
+    "select (with hidden_rows as (select a from t) select max(a) from hidden_rows) as m, (select max(a) from hidden_rows) as n from t",
+    "select a from t where exists (select 1 from hidden_rows h where h.a = t.a)", "select a from spark_catalog.default.hidden_rows", "select a from global_temp.hidden_view",
+]
+
+
+def test_only_views_are_read_whatever_names_a_scope_has(spark):
+    spark.sql("create table if not exists hidden_rows using parquet as select 1 as a, 'x' as b")
+    spark.range(1).selectExpr("1 as a").createOrReplaceGlobalTempView("hidden_view")
+    try:
+        engine = Engine(spark, {"t": spark.createDataFrame([(1, "x")], "a int, b string")})
+        for sql in SCOPED:
+            assert not engine.sql_run(sql)["ok"], sql
+            with pytest.raises(ValueError):
+                engine.guarded(sql)
+        for sql in ("with u as (select a from t) select a from u", "with recursive r(n) as (select 1 union all select n + 1 from r where n < 3) select n from r", "select a * 2 as x, 2*a as y from t where a in (select a from t)", "with t as (select a + 1 as a from t) select a from t", "select 1 as one"):
+            assert engine.sql_run(sql)["ok"], sql
+    finally:
+        spark.sql("drop table hidden_rows")
+        spark.catalog.dropGlobalTempView("hidden_view")
+
+
 @pytest.mark.parametrize("sql", ALLOWED)
 def test_allowed(sql):
     assert text_reason(sql) is None

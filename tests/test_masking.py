@@ -109,6 +109,31 @@ def test_numbers_over_many_ranges(spark):
         assert r["token"] == f"[{r['kind']}_{seen[r['kind']]}]"
 
 
+def test_numbers_over_sampled_ranges(spark):
+    """So many values that ranges come from a sample: all tokens are right, and map back."""
+    rows = spark.range(50_000).repartition(7).selectExpr("concat('v', id) as value", "if(id % 3 = 0, 'A', 'B') as kind", "struct(format_string('%06d', id) as key, 0 as start) as ord")
+    got = {r["value"]: r["token"] for r in masking.number_tokens(rows, None).collect()}
+    want, seen = {}, {"A": 0, "B": 0}
+    for i in range(50_000):
+        kind = "AB"[i % 3 > 0]
+        seen[kind] += 1
+        want[f"v{i}"] = f"[{kind}_{seen[kind]}]"
+    assert got == want
+    people = spark.range(50_000).repartition(5).selectExpr("id", "concat('name ', id) as n")
+    ids = [(r["id"], r["names"][0]) for r in build_dictionary(people, "id", "id", names=["n"]).collect()]
+    assert sorted(ids) == sorted((f"P{i + 1}", f"name {i}") for i in range(50_000))
+
+
+def test_round_trip_of_many_values_and_a_hot_one(spark):
+    texts = spark.range(20_000).selectExpr("id as k", "concat('a@hot.co.jp ', if(id % 2 = 0, concat('u', id, '@b.co.jp'), '03-1234-5678'), ' x') as t").unionByName(spark.createDataFrame([(-1, None), (-2, ""), (-3, "[EMAIL_999999] [X]")], "k long, t string"))
+    masked, vault = mask(texts, "k", "t", key=KEY)
+    assert masked.count() == 20_003 and masked.filter("text like '%co.jp%' or text like '%03-1234%'").count() == 0
+    back = unmask(masked, "key", "text", vault, KEY).withColumnRenamed("text", "again")
+    wrong = texts.join(back, texts["k"] == back["key"], "left").filter("not (t <=> again)")
+    assert wrong.count() == 0 and back.count() == 20_003
+    assert vault.select("token").distinct().count() == vault.count() == 10_002
+
+
 def test_blobs(spark):
     row = spark.createDataFrame([("x " + "Ab1+" * 15 + " y", "c2hvcnQ=")], "a string, b string").select(blob_hits(F.col("a")), withhold_blobs(F.col("a")), blob_hits(F.col("b"))).first()
     assert tuple(row) == (1, "x [ENCODED_BLOB_WITHHELD] y", 0)
