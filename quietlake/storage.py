@@ -43,7 +43,7 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def spread(df: DataFrame) -> DataFrame:
     """A small table that comes in fewer files than there are cores, dealt to all cores; any other table as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return df.repartition(cores) if size <= cores * SPREAD_BYTES and len(df.inputFiles()) < cores else df
 
 
