@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
+from ..storage import shuffle_partitions, spread, written
+
+__all__ = ["shuffle_partitions", "spread", "written"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -22,29 +22,8 @@ def fold_ascii(text: Column) -> Column:
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where that is unset."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if conf:
-        return conf.rstrip("/")
-    path = "file://" + tempfile.mkdtemp(prefix="spark-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write ``df`` to the shared folder and read it back."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quietlake-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found = ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(found) if name == "documents" else found
 
 
 def held_out(doc_id: Column) -> Column:
@@ -52,11 +31,19 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def training_ids(labels: DataFrame, label: str, per_class: int) -> DataFrame:
-    """At most ``per_class`` labelled ids of either class outside the held-out fold, chosen by a hash of the id."""
-    rows = labels.select("doc_id", F.col(label).cast("int").alias("label")).filter(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & ~held_out(F.col("doc_id")))
-    order = F.xxhash64(F.col("doc_id"))
-    return rows.filter("label = 1").orderBy(order).limit(per_class).union(rows.filter("label = 0").orderBy(order).limit(per_class))
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, per_class: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(text, label): at most ``per_class`` labelled ids of either class outside the held-out fold, chosen by a hash of the id, each with one text.
+
+    An id that is labelled more than once takes the larger label, and one that several rows
+    have the text with the smallest hash, so neither makes the sample longer.
+    """
+    rows = labels.select(F.col("doc_id").alias("id"), F.col(label).cast("int").alias("label")).filter(F.col("id").isNotNull() & F.col("label").isin(0, 1) & ~held_out(F.col("id")))
+    one = rows.groupBy("id").agg(F.max("label").alias("label"))
+    order = [F.xxhash64("id"), F.col("id")]
+    chosen = one.filter("label = 1").orderBy(*order).limit(per_class).union(one.filter("label = 0").orderBy(*order).limit(per_class))
+    # at most 2 * per_class ids, so the broadcast has a fixed bound
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "id")
+    return texts.groupBy("id").agg(F.min_by(F.struct("text", "label"), F.struct(F.xxhash64("text"), "text")).alias("r")).select("id", "r.text", "r.label")
 
 
 def task_id() -> int:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, small_batches, training_ids
+from .common import held_out, small_batches, training_rows
 
 STATS = ["chars", "words", "word_chars", "line_chars", "upper", "lower", "other_letters", "digits", "blanks", "newlines", "stops", "marks", "symbols", "bars", "top_symbol", "distinct_words", "distinct_lines", "upper_starts", "short_words", "long_words"]
 _UPPER, _LOWER, _OTHER, _DIGIT, _BLANK, _NEWLINE, _STOP, _MARK, _SYMBOL, _BAR = range(10)
@@ -112,9 +112,7 @@ def _stats(batches):
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = 6000, **trees) -> dict:
-    ids = training_ids(labels, label, per_class)
-    # at most 2 * per_class ids, so the broadcast has a fixed bound, as has what comes to the driver
-    sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("label", "text")
+    sample = training_rows(docs, labels, label, per_class).select("label", "text")  # 2 * per_class rows at most come to the driver
     got = sample.mapInArrow(_stats, "label int, " + ", ".join(f"{s} float" for s in STATS)).toPandas()
     got = got.sort_values(["label", *STATS], kind="stable")  # the same trees however the rows arrive
     x, y = got[STATS].to_numpy(np.float32), got["label"].to_numpy(float)

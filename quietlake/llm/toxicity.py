@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, small_batches, training_ids, written
+from .common import held_out, small_batches, training_rows, written
 
 BITS = 22
 ORDERS = (4, 5, 6)
@@ -108,9 +108,7 @@ def fit_logistic(indptr, indices, scale, y, l2: float = 1e-3, steps: int = 200,
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = 3000, n_features: int = 4096) -> dict:
     """{'buckets', 'weights', 'bias'}: what score() needs."""
-    ids = training_ids(labels, label, per_class)
-    # at most 2 * per_class ids, so the broadcast has a fixed bound
-    sample = written(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("label", "text"), "toxic-sample")
+    sample = written(training_rows(docs, labels, label, per_class).select("label", "text"), "toxic-sample")
     sizes = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     n_pos, n_neg = sizes.get(1, 0), sizes.get(0, 0)
     if not n_pos or not n_neg:

@@ -1,10 +1,12 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns, for every operator and stage."""
 
 import hashlib
+import math
 import random
 import re
 import string
 import time
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -12,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quietlake.llm import byte_bpe, exact_dedup, jaccard_join, license_scan, packing, quality, secret_scan, simple8b, telephony, toxicity, word_tokens
+from quietlake.llm import byte_bpe, common, exact_dedup, jaccard_join, license_scan, packing, quality, secret_scan, simple8b, telephony, toxicity, word_tokens
 
 from .conftest import SCHEMA, odd_rows
 
@@ -44,6 +46,64 @@ def test_classifiers(odd, empty, marks):
             assert len(run(odd, few).collect()) == len(ROWS)
 
 
+def test_repeated_ids_do_not_lengthen_the_sample(spark):
+    docs = spark.createDataFrame([(1, f"text {i % 3}") for i in range(50)] + [(3, "three"), (4, None), (6, "six")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0)] * 20 + [(1, 1), (3, 1), (4, 0), (6, 0), (None, 1)], "doc_id long, toxic int")
+    fold = {i: zlib.crc32(str(i).encode()) % 3 == 1 for i in (1, 3, 4, 6)}
+    got = sorted((r["id"], r["label"]) for r in common.training_rows(docs, labels, "toxic", 2).collect())
+    assert got == [x for x in [(1, 1), (3, 1), (4, 0), (6, 0)] if not fold[x[0]]]
+    assert len(common.training_rows(docs, labels, "toxic", 1).collect()) <= 2
+
+
+def test_toxicity_scores_against_brute_force(spark, odd, marks):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").unionByName(odd.select("doc_id", "text").filter("n_chars > 0 and doc_id <> 6 and doc_id <> 7"))
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    model = toxicity.train(docs, labels)
+    weight = dict(zip(model["buckets"], model["weights"], strict=True))
+    texts = sorted((r["doc_id"], r["text"] or "") for r in docs.collect() if r["doc_id"] is not None)
+    got = sorted((r["doc_id"], r["score"]) for r in toxicity.score(docs, model).collect() if r["doc_id"] is not None)
+    want = []
+    for i, text in texts:
+        lowered, seen = f" {text.lower()} ", set()
+        for n in toxicity.ORDERS:
+            for at in range(len(lowered) - n + 1):
+                h = 0
+                for c in lowered[at : at + n]:
+                    h = (h * 0x01000193 + ord(c) * 0x9E3779B1) % 2**32
+                seen.add(((h ^ (h >> 15)) * 0x85EBCA6B % 2**32) >> (32 - toxicity.BITS))
+        z = model["bias"] + sum(weight.get(b, 0.0) for b in seen)
+        want.append((i, 1 / (1 + math.exp(-z))))
+    assert [i for i, _ in got] == [i for i, _ in want] and np.allclose([s for _, s in sorted(got)], [s for _, s in sorted(want)], atol=1e-9)
+
+
+def test_quality_scores_against_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = quality.train(docs, spark.read.parquet("/root/testdata/sf0.001/labels.parquet"))
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+
+    def numbers(t):
+        if not t:
+            return [0.0] * len(quality.STATS)
+        kinds = dict.fromkeys(quality.STATS[4:14], 0)
+        for c in t:
+            kind = "upper" if "A" <= c <= "Z" else "lower" if "a" <= c <= "z" else "digits" if "0" <= c <= "9" else "blanks" if c in " \t\r" else "newlines" if c == "\n" else "stops" if c in ".,;:'\"-()" else "marks" if c in "!?" else "bars" if c == "|" else "other_letters" if ord(c) >= 128 else "symbols"
+            kinds[kind] += 1
+        words, lines, n = t.split(), t.split("\n"), len(t)
+        w = max(1, len(words))
+        starts = sum("A" <= c <= "Z" for k, c in enumerate(t) if k == 0 or t[k - 1] in " \n")
+        shares = [kinds[k] / n for k in quality.STATS[4:14]]
+        return [n, len(words), sum(map(len, words)) / w, n / len(lines), *shares, max(map(t.count, "#$%&*@~^")) / n, len(set(words)) / w, len(set(lines)) / len(lines), starts / w, sum(len(x) <= 3 for x in words) / w, sum(len(x) >= 12 for x in words) / w]
+
+    for r in quality.score(docs, model).collect():
+        x, z = np.array(numbers(texts[r["doc_id"]]), np.float32), model["bias"]
+        for feature, cut, leaf in zip(model["feature"], model["cut"], model["leaf"], strict=True):
+            node = 0
+            while node < len(feature):
+                node = 2 * node + (2 if x[feature[node]] > cut[node] else 1)
+            z += leaf[node - len(feature)]
+        assert abs(r["score"] - 1 / (1 + math.exp(-z))) < 1e-9
+
+
 def test_accepted_keeps_all_columns(odd, empty, marks):
     model = quality.train(odd, marks)
     assert quality.accepted(odd, model, 0.0).columns == odd.columns and quality.accepted(odd, model, 0.0).count() == len(ROWS)
