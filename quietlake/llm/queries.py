@@ -33,7 +33,7 @@ def op3_license_scan(spark, sf_dir):
 
 def op4_telephony(spark, sf_dir):
     stored = written(telephony.store(read_table(spark, sf_dir, "documents")), "media")
-    return telephony.decode(stored).drop("pcm")
+    return telephony.decode(stored)  # with the resampled PCM, which is stored where the result is
 
 
 def op5_quality(spark, sf_dir):

@@ -1,16 +1,18 @@
-"""Telephony audio in media columns: mu-law WAV in, features and resampled PCM out.
+"""Telephony audio in media columns: WAV files in, features and resampled PCM out.
 
 ``store`` puts bytes into a WAV container as 8-bit mu-law samples at 8 kHz, without loss.
-``decode`` parses the container that it reads back, expands the samples by the mu-law and
-A-law lookup tables (both built from their rules), reads the same bytes as IMA ADPCM blocks
-and decodes those with numpy across all blocks of a batch, one nibble position at a time,
-and resamples the mu-law expansion to 16-bit PCM, which it can return as a WAV column.
+``decode`` parses the containers that it reads back and goes by their format: mu-law and
+A-law samples are expanded by lookup tables (both built from their rules), IMA ADPCM blocks
+are decoded with numpy across all blocks of a batch, one nibble position at a time. The
+samples are resampled and come out as a column of 16-bit PCM WAV files, to be stored where
+the result is. Bytes of mu-law files are also read as A-law and as ADPCM, for features.
 
 Scale: no shuffle; each batch is cut to a few megabytes, and every row is independent.
 
-Edge cases: null counts as empty; an empty payload is padded to one unit; a null id is
-kept; repeated rows give repeated results; an empty table gives an empty result; bytes that
-are no WAV file, or a WAV file of another format, raise an error that names the id.
+Edge cases: null counts as empty in ``store``; an empty payload is padded to one unit; a
+null id is kept; repeated rows give repeated results; an empty table gives an empty result;
+null media, bytes that are no WAV file, a WAV file of another format and blocks that are cut
+short raise an error that names the id; a file without samples has zeros for features.
 """
 
 from __future__ import annotations
@@ -27,7 +29,8 @@ from pyspark.sql import functions as F
 from .common import small_batches
 
 UNIT, RATE, ADPCM_BLOCK = 576, 8000, 36
-_MULAW, _PCM = 7, 1
+_PCM, _ALAW, _MULAW, _ADPCM = 1, 6, 7, 0x11
+_NAMES = {_ALAW: "alaw", _MULAW: "mulaw", _ADPCM: "adpcm"}
 
 # Fixed values of IMA ADPCM: step sizes, and the change of the step's index by a nibble's lower three bits.
 STEPS = [
@@ -82,27 +85,48 @@ def resample(samples: np.ndarray, source: int, target: int) -> np.ndarray:
     return ((samples[left] * (target - part) + samples[right] * part) // target).astype(np.int16)
 
 
-def wav(data: bytes, form: int, rate: int, bits: int) -> bytes:
-    """A WAV file of one channel; chunks have even lengths."""
-    unit = bits // 8
+def wav(data: bytes, form: int, rate: int, bits: int, block: int | None = None) -> bytes:
+    """A WAV file of one channel; chunks have even lengths. ``block`` is given for blocks of several samples."""
+    unit = block or bits // 8
     fmt = struct.pack("<HHIIHHH", form, 1, rate, rate * unit, unit, bits, 0)
     chunks = b"fmt " + struct.pack("<I", len(fmt)) + fmt + b"fact" + struct.pack("<II", 4, len(data) // unit) + b"data" + struct.pack("<I", len(data)) + data + b"\0" * (len(data) % 2)
     return b"RIFF" + struct.pack("<I", 4 + len(chunks)) + b"WAVE" + chunks
 
 
-def read_wav(raw: bytes, form: int, bits: int) -> bytes:
-    """The data chunk of a WAV file of the given format."""
-    if raw[:4] != b"RIFF" or raw[8:12] != b"WAVE":
+def parse_wav(raw: bytes | None) -> tuple[int, int, int, int, bytes]:
+    """(format, rate, bytes of a block, bits of a sample, data) of a WAV file of one channel."""
+    if raw is None or raw[:4] != b"RIFF" or raw[8:12] != b"WAVE":
         raise ValueError("not a WAV file")
-    at, right = 12, False
+    at, about = 12, None
     while at + 8 <= len(raw):
         name, size = raw[at : at + 4], struct.unpack_from("<I", raw, at + 4)[0]
-        if name == b"fmt ":
-            right = struct.unpack_from("<H", raw, at + 8)[0] == form and struct.unpack_from("<H", raw, at + 22)[0] == bits
-        elif name == b"data" and right:
-            return raw[at + 8 : at + 8 + size]
+        if name == b"fmt " and size >= 16:
+            form, channels, rate, _, block, bits = struct.unpack_from("<HHIIHH", raw, at + 8)
+            if channels != 1:
+                raise ValueError("more than one channel")
+            about = form, rate, block, bits
+        elif name == b"data" and about:
+            return *about, raw[at + 8 : at + 8 + size]
         at += 8 + size + size % 2
-    raise ValueError("no samples of the expected format")
+    raise ValueError("no samples")
+
+
+def _place(data: bytes, form: int, block: int) -> int:
+    """How many samples the data has; an error if they can't be telephony samples."""
+    if form not in _NAMES:
+        raise ValueError(f"samples of format {form}")
+    if form != _ADPCM:
+        return len(data)
+    if block <= 4 or len(data) % block:
+        raise ValueError("blocks that are cut short")
+    return len(data) // block * (2 * (block - 4) + 1)
+
+
+def expand(form: int, block: int, codes: np.ndarray) -> np.ndarray:
+    """Samples of mu-law or A-law codes, or of ADPCM blocks of ``block`` bytes, one after another."""
+    if form == _ADPCM:
+        return decode_adpcm(codes.reshape(-1, block)).reshape(-1).astype(np.int32)
+    return (mulaw_table() if form == _MULAW else alaw_table())[codes]
 
 
 def _store(batches):
@@ -121,37 +145,55 @@ def store(docs: DataFrame, id_col: str = "doc_id", bytes_col: str = "text") -> D
     return rows.mapInArrow(_store, "doc_id long, n_bytes long, media binary")
 
 
-def _decode(pcm_rate: int, with_pcm: bool):
+def _rms(samples: np.ndarray) -> int:
+    return int(np.sqrt((samples.astype(np.float64) ** 2).mean())) if len(samples) else 0
+
+
+def _rows(parsed: list[tuple]) -> list[np.ndarray]:
+    """The samples of every (format, rate, block, bits, data); files of one format are expanded together."""
+    out: list = [None] * len(parsed)
+    for form, block in sorted({(p[0], p[2]) for p in parsed}):
+        own = [i for i, p in enumerate(parsed) if (p[0], p[2]) == (form, block)]
+        samples = expand(form, block, np.frombuffer(b"".join(parsed[i][4] for i in own), np.uint8))
+        ends = np.cumsum([_place(parsed[i][4], form, block) for i in own])
+        for i, part in zip(own, np.split(samples, ends[:-1]), strict=True):
+            out[i] = part
+    return out
+
+
+def _features(form: int, data: bytes, samples: np.ndarray, energy: np.ndarray | None, pcm: bytes) -> str:
+    crossed = int(np.count_nonzero((samples[1:] < 0) != (samples[:-1] < 0)))
+    other = ""
+    if form == _MULAW and energy is not None:
+        per_block = 2 * (ADPCM_BLOCK - 4) + 1
+        adpcm = int(np.sqrt(energy.sum() / (len(energy) * per_block))) if len(energy) else 0
+        other = f"alaw_rms={_rms(alaw_table()[np.frombuffer(data, np.uint8)])};adpcm_rms={adpcm};"
+    return f"{_NAMES[form]}_rms={_rms(samples)};peak={int(np.abs(samples).max(initial=0))};crossings={crossed};{other}pcm_crc32={zlib.crc32(pcm)}"
+
+
+def _decode(pcm_rate: int):
     def run(batches):
-        mulaw, alaw = mulaw_table(), alaw_table()
         for batch in small_batches(batches, 4 << 20):
-            payloads = []
-            for doc_id, raw in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            files, parsed = batch.column(2).to_pylist(), []
+            for doc_id, raw in zip(batch.column(0).to_pylist(), files, strict=True):
                 try:
-                    payloads.append(read_wav(raw, _MULAW, 8))
-                except ValueError as e:
+                    parsed.append(parse_wav(raw))
+                    _place(parsed[-1][4], parsed[-1][0], parsed[-1][2])
+                except (ValueError, struct.error) as e:
                     raise ValueError(f"media of id {doc_id}: {e}") from e
-            sizes = np.array([len(p) for p in payloads], np.int64)
-            starts = np.append(0, np.cumsum(sizes)[:-1])
-            codes = np.frombuffer(b"".join(payloads), np.uint8)
-            linear = mulaw[codes]
-            rms = lambda x, at, n: np.sqrt(np.add.reduceat(x.astype(np.float64) ** 2, at) / n).astype(np.int64)
-            crossed = np.append((linear[1:] < 0) != (linear[:-1] < 0), False)
-            crossed[(starts + sizes - 1)] = False
-            blocks = codes.reshape(-1, ADPCM_BLOCK)
-            energy = (decode_adpcm(blocks).astype(np.float64) ** 2).sum(1)
-            per_block = 2 * (ADPCM_BLOCK - 4) + 1
-            adpcm = np.sqrt(np.add.reduceat(energy, starts // ADPCM_BLOCK) / (sizes // ADPCM_BLOCK * per_block)).astype(np.int64)
-            peak, zero = np.maximum.reduceat(np.abs(linear), starts), np.add.reduceat(crossed.astype(np.int64), starts)
-            loud, other = rms(linear, starts, sizes), rms(alaw[codes], starts, sizes)
-            features, files = [], []
-            for i, (at, n) in enumerate(zip(starts, sizes, strict=True)):
-                pcm = resample(linear[at : at + n], RATE, pcm_rate).tobytes()
-                features.append(f"mulaw_rms={loud[i]};peak={peak[i]};crossings={zero[i]};alaw_rms={other[i]};adpcm_rms={adpcm[i]};pcm_crc32={zlib.crc32(pcm)}")
-                files.append(wav(pcm, _PCM, pcm_rate, 16) if with_pcm else None)
+            # mu-law bytes read as ADPCM blocks, all at once; a rest that is no whole block is left out
+            whole = [p[4][: len(p[4]) // ADPCM_BLOCK * ADPCM_BLOCK] if p[0] == _MULAW else b"" for p in parsed]
+            energy = (decode_adpcm(np.frombuffer(b"".join(whole), np.uint8).reshape(-1, ADPCM_BLOCK)).astype(np.float64) ** 2).sum(1)
+            energies = np.split(energy, np.cumsum([len(w) // ADPCM_BLOCK for w in whole])[:-1])
+            features, pcms = [], []
+            for (form, rate, _block, _bits, data), samples, part in zip(parsed, _rows(parsed), energies, strict=True):
+                pcm = resample(samples, rate, pcm_rate).tobytes()
+                features.append(_features(form, data, samples, part, pcm))
+                pcms.append(wav(pcm, _PCM, pcm_rate, 16))
+            payloads = [p[4] for p in parsed]
             columns = [
-                batch.column(0), batch.column(1), pa.array(sizes), pa.array([hashlib.sha256(p).hexdigest() for p in payloads]), pa.array([zlib.crc32(p[-32:]) for p in payloads], pa.int64()),
-                pa.array([len(m) for m in batch.column(2).to_pylist()], pa.int64()), pa.array([hashlib.sha256(m).hexdigest() for m in batch.column(2).to_pylist()]), pa.array(features), pa.array(files, pa.binary()),
+                batch.column(0), batch.column(1), pa.array([len(p) for p in payloads], pa.int64()), pa.array([hashlib.sha256(p).hexdigest() for p in payloads], pa.string()), pa.array([zlib.crc32(p[-32:]) for p in payloads], pa.int64()),
+                pa.array([len(m) for m in files], pa.int64()), pa.array([hashlib.sha256(m).hexdigest() for m in files], pa.string()), pa.array(features, pa.string()), pa.array(pcms, pa.binary()),
             ]
             names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pcm"]
             yield pa.RecordBatch.from_arrays(columns, names=names)
@@ -159,7 +201,7 @@ def _decode(pcm_rate: int, with_pcm: bool):
     return run
 
 
-def decode(media: DataFrame, pcm_rate: int = 16000, with_pcm: bool = False) -> DataFrame:
-    """Digests and features of (doc_id, n_bytes, media); ``pcm`` is a 16-bit WAV file at ``pcm_rate``, or null unless asked for."""
+def decode(media: DataFrame, pcm_rate: int = 16000) -> DataFrame:
+    """Digests and features of (doc_id, n_bytes, media), and ``pcm``, a 16-bit WAV file at ``pcm_rate``."""
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm binary"
-    return media.select(F.col("doc_id").cast("long"), F.col("n_bytes").cast("long"), "media").mapInArrow(_decode(pcm_rate, with_pcm), schema)
+    return media.select(F.col("doc_id").cast("long"), F.col("n_bytes").cast("long"), "media").mapInArrow(_decode(pcm_rate), schema)

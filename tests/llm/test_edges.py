@@ -163,15 +163,66 @@ def test_license_scan(spark, odd, empty):
 
 def test_telephony(spark, odd, empty):
     stored = telephony.store(odd)
-    rows = telephony.decode(stored, with_pcm=True).collect()
+    rows = telephony.decode(stored).collect()
     assert _ids(rows) == EVERY and all(r["payload_bytes"] % 576 == 0 and r["payload_bytes"] > 0 for r in rows)
-    assert all(telephony.read_wav(bytes(r["pcm"]), 1, 16) and len(telephony.read_wav(bytes(r["pcm"]), 1, 16)) == 4 * r["payload_bytes"] for r in rows)
+    assert all(telephony.parse_wav(bytes(r["pcm"]))[:4] == (1, 16000, 2, 16) and len(telephony.parse_wav(bytes(r["pcm"]))[4]) == 4 * r["payload_bytes"] for r in rows)
     same = [r["feature"] for r in rows if r["doc_id"] == 9]
     assert len(set(same)) == 2 and telephony.decode(telephony.store(empty)).count() == 0
     raw = spark.createDataFrame([(1, bytearray(range(256)) * 9)], "doc_id long, b binary")
     assert telephony.decode(telephony.store(raw, bytes_col="b")).first()["n_bytes"] == 2304
-    with pytest.raises(Exception, match="media of id 5"):
-        telephony.decode(spark.createDataFrame([(5, 1, bytearray(b"RIFFnope"))], "doc_id long, n_bytes long, media binary")).collect()
+    bad = [bytearray(b"RIFFnope"), None, bytearray(telephony.wav(b"1234", 1, 8000, 16)), bytearray(telephony.wav(b"12345", 0x11, 8000, 4, 36)), bytearray(telephony.wav(b"1234", 7, 8000, 8)[:30])]
+    for media in bad:
+        with pytest.raises(Exception, match="media of id 5"):
+            telephony.decode(spark.createDataFrame([(5, 1, media)], "doc_id long, n_bytes long, media binary")).collect()
+
+
+def _adpcm(block: bytes) -> list[int]:
+    """Brute force: one IMA ADPCM block, nibble by nibble."""
+    value, index = int.from_bytes(block[:2], "little", signed=True), min(block[2], 88)
+    out = [value]
+    for byte in block[4:]:
+        for nibble in (byte & 15, byte >> 4):
+            step = telephony.STEPS[index]
+            change = (step >> 3) + (step if nibble & 4 else 0) + (step >> 1 if nibble & 2 else 0) + (step >> 2 if nibble & 1 else 0)
+            value = max(-32768, min(32767, value + (-change if nibble & 8 else change)))
+            index = max(0, min(88, index + telephony.INDEX_CHANGES[nibble & 7]))
+            out.append(value)
+    return out
+
+
+def _ulaw(code: int) -> int:
+    code = ~code & 255
+    size = ((((code & 15) << 3) + 132) << ((code >> 4) & 7)) - 132
+    return -size if code & 128 else size
+
+
+def _alaw(code: int) -> int:
+    code ^= 0x55
+    exponent, size = (code >> 4) & 7, ((code & 15) << 4) + 8
+    size = size if exponent == 0 else (size + 256) << (exponent - 1)
+    return size if code & 128 else -size
+
+
+def test_telephony_features_and_pcm_against_brute_force(spark):
+    rng = random.Random(5)
+    block = 36
+    rms = lambda x: int(math.sqrt(sum(v * v for v in x) / len(x))) if x else 0
+    files = [("mulaw", 7, telephony.wav(rng.randbytes(576 * n), 7, 8000, 8)) for n in (1, 3)] + [("alaw", 6, telephony.wav(rng.randbytes(1001), 6, 8000, 8)), ("adpcm", 0x11, telephony.wav(rng.randbytes(block * 7), 0x11, 8000, 4, block)), ("mulaw", 7, telephony.wav(b"", 7, 8000, 8)), ("mulaw", 7, telephony.wav(rng.randbytes(50), 7, 11025, 8))]
+    df = spark.createDataFrame([(i, 0, bytearray(f)) for i, (*_, f) in enumerate(files)], "doc_id long, n_bytes long, media binary").coalesce(1)
+    for r in telephony.decode(df).collect():
+        name, form, raw = files[r["doc_id"]]
+        _, rate, _, _, data = telephony.parse_wav(raw)
+        samples = [v for i in range(0, len(data), block) for v in _adpcm(data[i : i + block])] if form == 0x11 else [(_ulaw if form == 7 else _alaw)(c) for c in data]
+        pcm = b""
+        for k in range(len(samples) * 16000 // rate):
+            left, part = divmod(k * rate, 16000)
+            right = min(left + 1, len(samples) - 1)
+            pcm += ((samples[left] * (16000 - part) + samples[right] * part) // 16000).to_bytes(2, "little", signed=True)
+        assert bytes(r["pcm"]) == telephony.wav(pcm, 1, 16000, 16)
+        blocks = [v for i in range(0, len(data) // block * block, block) for v in _adpcm(data[i : i + block])]
+        other = f"alaw_rms={rms([_alaw(c) for c in data])};adpcm_rms={rms(blocks)};" if form == 7 else ""
+        crossed = sum((a < 0) != (b < 0) for a, b in zip(samples, samples[1:]))
+        assert r["feature"] == f"{name}_rms={rms(samples)};peak={max(map(abs, samples), default=0)};crossings={crossed};{other}pcm_crc32={zlib.crc32(pcm)}"
 
 
 def test_exact_dedup(odd, empty):
