@@ -56,3 +56,9 @@ def lookup(rows: DataFrame, values: DataFrame, key: str, hot: int = 2000, least:
     often = written(rows.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") >= least).orderBy(F.desc("__n"), key).limit(hot).join(values, key).drop("__n"), "hot")
     cold = rows.join(F.broadcast(often.select(key)), key, "left_anti").join(values, key)
     return rows.join(F.broadcast(often), key).unionByName(cold)
+
+
+def partitions_for(df: DataFrame, task_bytes: int, most: int = 20_000) -> int:
+    """How many tasks share out ``df`` so that each has about ``task_bytes`` of it as stored: spark.sql.shuffle.partitions at least, and ``most`` at most above that."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(shuffle_partitions(df.sparkSession), min(most, -(-size // task_bytes)))
