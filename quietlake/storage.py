@@ -59,6 +59,12 @@ def lookup(rows: DataFrame, values: DataFrame, key: str, hot: int = 2000, least:
 
 
 def partitions_for(df: DataFrame, task_bytes: int, most: int = 20_000) -> int:
-    """How many tasks share out ``df`` so that each has about ``task_bytes`` of it as stored: spark.sql.shuffle.partitions at least, and ``most`` at most above that."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    """How many tasks share out ``df`` so that each has about ``task_bytes`` of its files: spark.sql.shuffle.partitions at least, ``most`` at most above that.
+
+    A table that isn't read from files alone has no size that is known beforehand, and gets the least.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    leaves = [leaves.apply(i) for i in range(leaves.size())]
+    known = all(leaf.getClass().getSimpleName() == "LogicalRelation" for leaf in leaves)
+    size = sum(int(leaf.stats().sizeInBytes()) for leaf in leaves) if known else 0
     return max(shuffle_partitions(df.sparkSession), min(most, -(-size // task_bytes)))
