@@ -31,9 +31,11 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pack, shuffle_partitions, small_batches, task_id, unpack, written
+from .common import pack, partitions_for, shuffle_partitions, small_batches, task_id, unpack, written
 
-MAX_WORDS, MAX_BYTES, STEP = 250_000, 10 << 20, 500_000
+MAX_WORDS, MAX_BYTES, STEP, MAX_KNOWN = 250_000, 10 << 20, 500_000, 1_000_000
+#: Stored bytes of a table for each task that puts texts together: about a block each.
+TASK_BYTES = 4 << 20
 _WORKER: dict = {}
 
 
@@ -119,6 +121,8 @@ def _encode_words(ranks, pattern: str):
             for block, payload in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 table = unpack([payload])
                 words = table.column("word").to_pylist()
+                if len(known) > MAX_KNOWN:  # a block has MAX_WORDS words at most
+                    known.clear()
                 for w in words:
                     if w not in known:
                         known[w] = piece(w)
@@ -178,11 +182,12 @@ def _shares_exchange(df: DataFrame) -> bool:
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids): ids as little-endian unsigned 32-bit integers, one after another."""
     spark = docs.sparkSession
-    n = shuffle_partitions(spark)
+    # tasks grow in number with the texts; the words' buckets don't, as a block's words are cut into that many pieces
+    n, buckets = partitions_for(docs, TASK_BYTES), 4 * shuffle_partitions(spark)
     rows = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
     schema = "place long, bucket int, block long, payload binary"
     shared = spark.sparkContext.broadcast(ranks)  # the vocabulary has a fixed size
-    blocks = rows.mapInArrow(_block_rows(pattern, 4 * n), schema)
+    blocks = rows.mapInArrow(_block_rows(pattern, buckets), schema)
     if not _shares_exchange(blocks):
         blocks = written(blocks, "blocks")  # else the two uses below would be two passes
     # both sides take all rows of this one exchange; a filter would be pushed below it and make it two

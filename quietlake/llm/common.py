@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from ..storage import shuffle_partitions, spread, written
+from ..storage import partitions_for, shuffle_partitions, spread, written
 
-__all__ = ["shuffle_partitions", "spread", "written"]
+__all__ = ["partitions_for", "shuffle_partitions", "spread", "written"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
