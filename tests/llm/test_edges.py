@@ -239,6 +239,20 @@ def test_exact_dedup(odd, empty):
     assert sum(r["kept"] for r in rows) == len(groups) and exact_dedup.exact_dedup(empty).count() == 0
 
 
+def test_exact_dedup_of_hot_texts(spark):
+    """Long lists of references to one block, in the first and in later rounds, travel apart from it."""
+    texts = {i: ["", "Notice ", "long " * 40, f"own {i}"][min(i % 7, 3)] for i in range(6000)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(2)
+    rows = exact_dedup.exact_dedup(docs, block_bytes=16).collect()
+    groups: dict = {}
+    for i, t in texts.items():
+        groups.setdefault(t.lower(), []).append(i)
+    assert len(rows) == 6000 and all((r["keep_id"], r["group_size"], r["kept"]) == (max(g), len(g), r["doc_id"] == max(g)) for r in rows for g in [groups[texts[r["doc_id"]].lower()]])
+    grouped = docs.selectExpr("doc_id as uid", "doc_id", "text").mapInArrow(exact_dedup._blocks(4096), "key binary, ticket long, uid array<long>, doc_id array<long>, sha array<string>, n array<int>, idx array<int>")
+    assert grouped.filter("ticket is not null and key is null and size(uid) >= 256").count() > 0
+    assert grouped.filter("key is not null").selectExpr("max(size(uid))").first()[0] < 256
+
+
 def test_jaccard(spark, odd, empty):
     rows = jaccard_join.jaccard_components(odd).collect()
     assert _ids(rows) == EVERY
