@@ -8,6 +8,7 @@ import string
 import time
 import zlib
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -176,6 +177,25 @@ def test_telephony(spark, odd, empty):
             telephony.decode(spark.createDataFrame([(5, 1, media)], "doc_id long, n_bytes long, media binary")).collect()
 
 
+def test_license_scan_of_whole_notices_against_sql(spark, tmp_path):
+    rng, docs = random.Random(8), []
+    for i, (text, *_) in enumerate(license_scan.TEMPLATES * 3):
+        words = text.split()
+        for _ in range(rng.choice([0, 0, 1, 3])):
+            words[rng.randrange(len(words))] = rng.choice(["x", "license", "the", "cc"])
+        cut = words[rng.choice([0, 0, 2]) :]
+        docs.append((i, rng.choice(["", "// ", "Foo bar. "]) + rng.choice([" ", "\n * ", ", "]).join(w.upper() if rng.random() < 0.2 else w for w in cut)))
+    docs += [(900, " ".join(t for t, *_ in license_scan.TEMPLATES)), (901, "cc by " * 50), (902, ""), (903, None), (904, "GNU general PUBLIC license")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    df.write.parquet(str(tmp_path / "d"))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/d/*.parquet'")
+    want = con.sql(license_scan.oracle_sql())
+    got = license_scan.license_scan(df).select(*want.columns)
+    rows = sorted(tuple(r) for r in got.collect())
+    assert rows == sorted(want.fetchall()) and {x for r in rows for x in r[6].split(",")} >= {"gpl", "lgpl", "agpl", "apache", "mit", "bsd", "isc", "mpl", "epl", "zlib", "bsl", "cc-by-nc", "unlicense"}
+
+
 def _adpcm(block: bytes) -> list[int]:
     """Brute force: one IMA ADPCM block, nibble by nibble."""
     value, index = int.from_bytes(block[:2], "little", signed=True), min(block[2], 88)
