@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import json
+import sys
 import threading
 from collections.abc import Callable
 from pathlib import Path
@@ -212,7 +213,9 @@ def main(argv: list[str] | None = None) -> int:
     for name in ("pseudo", "year", "keep", "drop"):
         one.add_argument(f"--{name}", action="append", default=[])
     one = tools.add_parser("dictionary")
-    one.add_argument("source")
+    one.add_argument("source", help="a delimited file, or a database's JDBC address if --query is given")
+    one.add_argument("--query", default=None, help="a SELECT whose rows are the persons")
+    one.add_argument("--order", default=None, help="the query's column that gives the persons' order; else --id")
     one.add_argument("--out", required=True)
     one.add_argument("--id", required=True)
     for name in ("names", "emails", "phones", "ids"):
@@ -233,10 +236,16 @@ def main(argv: list[str] | None = None) -> int:
         safe, plan = safeify(table, load_key(settings.key_file) if args.pseudo else b"", args.pseudo, args.year, args.keep, args.drop, settings.is_pii)
         print(json.dumps(write_safe(safe, plan, args.out, Path(args.source).name), ensure_ascii=False))
     elif args.tool == "dictionary":
-        table, _ = source_files.read_delimited(spark, args.source)
-        persons = build_dictionary(table.withColumn("__order", F.monotonically_increasing_id()), "__order", args.id, args.names, args.emails, args.phones, args.ids)
+        if args.query:
+            table = source_files.jdbc(spark, args.source, args.query).withColumn("__order", F.col(args.order or args.id))
+        else:
+            table = source_files.read_delimited(spark, args.source)[0].withColumn("__order", F.monotonically_increasing_id())
+        persons = build_dictionary(table, "__order", args.id, args.names, args.emails, args.phones, args.ids)
         write_dictionary(persons, args.out, datetime.datetime.now().isoformat(timespec="seconds"))
     else:
+        if "://" not in args.folder and not Path(args.folder).expanduser().is_dir():
+            print(f"no such folder: {args.folder}", file=sys.stderr)
+            return 2
         name = F.col("_metadata.file_path").alias("file")
         lines = source_files.scanned_files(spark, args.folder, args.since, (".jsonl",)).text(args.folder).select("value", name)
         whole = source_files.scanned_files(spark, args.folder, args.since, (".md", ".txt", ".json")).text(args.folder, wholetext=True).select(name, F.col("value").alias("text"))

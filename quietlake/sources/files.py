@@ -7,9 +7,12 @@ import hashlib
 import io
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 # Encodings in the order in which they are tried, delimiters, suffixes.
 ENCODINGS = ["utf-8-sig", "cp932", "euc_jp"]
 DELIMITERS = ",\t;|"
@@ -38,22 +41,47 @@ def list_inbox(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def head_bytes(spark: SparkSession, path: str, n: int = SNIFFED_BYTES) -> bytes:
-    """A file's first bytes, by Spark's own reader."""
-    row = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, n).alias("head")).first()
-    return bytes(row["head"]) if row else b""
+    """A file's first bytes, read from its start only."""
+    file = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = file.getFileSystem(spark._jsc.hadoopConfiguration()).open(file)
+    try:
+        return bytes(stream.readNBytes(n))
+    finally:
+        stream.close()
+
+
+def _decodes(raw: bytes, encoding: str) -> bool:
+    try:
+        raw.decode(encoding)
+    except UnicodeDecodeError:
+        return False
+    return True
+
+
+def encoding_of(raw: bytes) -> str:
+    """The first encoding that the bytes fit as a whole."""
+    return next((name for name in ENCODINGS if _decodes(raw, name)), "utf-8")
+
+
+def _fits(encoding: str):
+    @F.pandas_udf("boolean")
+    def fits(lines: pd.Series) -> pd.Series:
+        return lines.map(lambda line: _decodes(line, encoding))
 
+    return fits
 
-def encoding_of(head: bytes) -> str:
-    """The first encoding that the bytes fit; a character cut at the end doesn't count against one."""
-    for name in ENCODINGS:
-        for cut in range(4):
-            try:
-                head[: len(head) - cut].decode(name)
-                return name
-            except UnicodeDecodeError:
-                if len(head) < SNIFFED_BYTES:
-                    break
-    return "utf-8"
+
+def survey_lines(spark: SparkSession, path: str) -> tuple[str, bool]:
+    """(encoding, whether a cell may hold a line feed), from all lines of a text file.
+
+    The encoding is the first that every line fits; line feeds are the same byte in all of
+    them and no part of another character, so lines can be tested apart from each other.
+    """
+    lines = ship(spark).read.text(path)
+    foreign = lines.filter(~F.rlike("value", F.lit(r"^[\x00-\x7F]*$"))).select(F.col("value").cast("binary").alias("raw"))
+    fits = foreign.agg(*(F.coalesce(F.bool_and(_fits(name)("raw")), F.lit(True)).alias(name) for name in ENCODINGS)).first()
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return next((name for name in ENCODINGS if fits[name]), "utf-8"), not lines.filter(quotes % 2 == 1).isEmpty()
 
 
 def delimiter_of(text: str, suffix: str = ".csv") -> str:
@@ -71,17 +99,19 @@ def _allow(spark: SparkSession, encoding: str) -> str:
 
 
 def read_delimited(spark: SparkSession, path: str, suffix: str | None = None) -> tuple[DataFrame, str]:
-    """(table of texts, delimiter): encoding and delimiter are found from the file's start; missing cells are empty."""
-    head = head_bytes(spark, path)
-    encoding = encoding_of(head)
-    text = head.decode(encoding, errors="replace")
+    """(table of texts, delimiter): the encoding is found from the whole file, the delimiter from its start; missing cells are empty.
+
+    A file is read in parts, unless a cell may hold a line feed.
+    """
+    encoding, joined = survey_lines(spark, path)
+    text = head_bytes(spark, path).decode(encoding, errors="replace")
     sep = delimiter_of(text, suffix or Path(path).suffix.lower())
     header = next(csv.reader(io.StringIO(text), delimiter=sep), [])
     if not header:
         return spark.createDataFrame([], "value string").drop("value"), sep
     names = [h if header.index(h) == i else f"{h}_{i}" for i, h in enumerate(header)]
     schema = ", ".join(f"`{n.replace('`', '``')}` string" for n in names)
-    table = spark.read.schema(schema).csv(path, sep=sep, header=True, encoding=_allow(spark, encoding), multiLine=True, escape='"', mode="PERMISSIVE", enforceSchema=True)
+    table = spark.read.schema(schema).csv(path, sep=sep, header=True, encoding=_allow(spark, encoding), multiLine=joined, escape='"', mode="PERMISSIVE", enforceSchema=True)
     return table.na.fill(""), sep
 
 
@@ -95,23 +125,32 @@ def load(spark: SparkSession, path: str, **options) -> DataFrame:
     if suffix in (".json", ".jsonl"):
         return spark.read.json(path, multiLine=suffix == ".json", **options)
     if suffix in (".xlsx", ".xls"):
-        import pandas as pd  # a workbook is one file that one reader parses; needs an Excel engine
-
+        # a workbook is one file that one reader parses; needs an Excel engine
         return spark.createDataFrame(pd.read_excel(path, **options))
     raise ValueError(f"unsupported input type {suffix}")
 
 
 def head_lines(spark: SparkSession, path: str, n: int) -> list[str]:
-    """The first lines of a text file; between 1 and 200."""
-    encoding = _allow(spark, encoding_of(head_bytes(spark, path)))
-    lines = spark.read.text(path) if encoding == "UTF-8" else spark.read.option("encoding", encoding).option("sep", "\1").schema("value string").csv(path)
-    rows = lines.withColumn("at", F.monotonically_increasing_id()).orderBy("at").limit(max(1, min(int(n), 200))).collect()
-    return [(r["value"] or "").removeprefix("﻿") for r in rows]
-
-
-def jdbc(spark: SparkSession, url: str, query: str, **options) -> DataFrame:
-    """A query of a database, read-only as far as its login is."""
-    return spark.read.format("jdbc").options(url=url, query=query, **options).load()
+    """The first lines of a text file, between 1 and 200; no more of it than they take is read but to find its encoding."""
+    count, size = max(1, min(int(n), 200)), SNIFFED_BYTES
+    encoding, _ = survey_lines(spark, path)
+    while True:
+        head = head_bytes(spark, path, size)
+        if len(head) < size or head.count(b"\n") >= count:
+            break
+        size *= 4
+    lines = head.split(b"\n")
+    lines = lines[:-1] if lines[-1] == b"" else lines
+    return [line.removesuffix(b"\r").decode(encoding, errors="replace").removeprefix("﻿") for line in lines[:count]]
+
+
+def jdbc(spark: SparkSession, url: str, query: str, timeout_s: int = 30, **options) -> DataFrame:
+    """A query of a database, as a subquery, so nothing but a SELECT can run, and for ``timeout_s`` seconds at most.
+
+    ``options`` are Spark's: with partitionColumn, lowerBound, upperBound and numPartitions
+    the table is read in parts; ``sessionInitStatement`` can make the session read-only where the database has such a mode.
+    """
+    return spark.read.format("jdbc").options(url=url, dbtable=f"({query.strip().rstrip(';')}) quietlake_rows", queryTimeout=timeout_s, **options).load()
 
 
 def read_dictionary(spark: SparkSession, path: str) -> DataFrame:

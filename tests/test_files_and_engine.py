@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quietlake.config import Settings
-from quietlake.engine import Engine
+from quietlake.engine import Engine, main
 from quietlake.operators import content
 from quietlake.operators.egress import cap_output, contained, plain, protected_forms
 from quietlake.operators.masking import dictionary_entries
@@ -143,6 +143,42 @@ def test_sinks(spark, tmp_path):
     assert files.read_dictionary(spark, str(tmp_path / "none.json")).count() == 0
 
 
+def test_encoding_is_that_of_the_whole_file(spark, tmp_path):
+    for name, coding in (("a", "cp932"), ("b", "euc_jp"), ("c", "utf-8")):
+        # the name's last bytes in EUC-JP are none of cp932
+        name_ = "高橋" + b"\xeb\xa1".decode("euc_jp")
+        body = "id,n\n" + "".join(f"{i},abc\n" for i in range(30_000)) + "30000,髙橋 美咲\n" * (coding != "euc_jp") + f"30001,{name_}\n"
+        (tmp_path / f"{name}.csv").write_bytes(body.encode(coding))
+        table, _ = files.read_delimited(spark, str(tmp_path / f"{name}.csv"))
+        assert table.filter(F.col("n") == name_).count() == 1 and table.count() >= 30_001
+        assert files.survey_lines(spark, str(tmp_path / f"{name}.csv")) == ({"cp932": "cp932", "euc_jp": "euc_jp", "utf-8": "utf-8-sig"}[coding], False)
+    (tmp_path / "q.csv").write_text('a,b\n1,"x\ny"\n2,z\n')
+    assert files.survey_lines(spark, str(tmp_path / "q.csv"))[1]
+    assert sorted(r["b"] for r in files.read_delimited(spark, str(tmp_path / "q.csv"))[0].collect()) == ["x\ny", "z"]
+    assert files.head_lines(spark, str(tmp_path / "a.csv"), 2) == ["id,n", "0,abc"] and len(files.head_lines(spark, str(tmp_path / "a.csv"), 999)) == 200
+    assert files.head_bytes(spark, str(tmp_path / "q.csv"), 3) == b"a,b"
+
+
+def test_database_and_its_dictionary(spark, tmp_path, monkeypatch):
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    rows = spark.createDataFrame([(3, "鈴木 凛"), (1, "佐藤 蓮"), (2, " ")], "ID int, NM string")
+    rows.write.format("jdbc").options(url=url, dbtable="people", driver="org.apache.derby.iapi.jdbc.AutoloadedDriver").save()
+    read = lambda q: files.jdbc(spark, url, q)
+    assert sorted(r["ID"] for r in read("select ID from people where ID > 1;").collect()) == [2, 3]
+    for change in ("delete from people", "drop table people", "insert into people values (4, 'x')"):
+        with pytest.raises(Exception):
+            read(change).collect()
+    assert read("select ID from people").count() == 3
+    monkeypatch.setattr(spark, "stop", lambda: None)
+    query = "select ID, NM from people"
+    assert main(["dictionary", url, "--query", query, "--id", "ID", "--names", "NM", "--out", str(tmp_path / "d.json")]) == 0
+    assert [(r["id"], r["names"], r["ids"]) for r in files.read_dictionary(spark, str(tmp_path / "d.json")).collect()] == [("P1", ["佐藤 蓮"], ["1"]), ("P2", [], ["2"]), ("P3", ["鈴木 凛"], ["3"])]
+    assert main(["scan", str(tmp_path / "nowhere")]) == 2
+    (tmp_path / "s").mkdir()
+    (tmp_path / "s" / "a.md").write_text("write to x@y.co.jp")
+    assert main(["scan", str(tmp_path / "s"), "--dictionary", str(tmp_path / "d.json")]) == 1
+
+
 def test_loading(spark, tmp_path):
     (tmp_path / "a.tsv").write_text("x\ty\n1\t2\n")
     (tmp_path / "a.jsonl").write_text('{"x": 1}\n{"x": 2}\n')
