@@ -240,13 +240,13 @@ FOLDED = f"SELECT doc_id, md5(translate(translate('髙﨑ひらがな' || text,
 
 
 def egress_containment(spark, sf_dir):
-    """Documents that contain a benchmark passage's first sentence as a protected value."""
-    values = table(spark, sf_dir, "benchmark").select(F.substring_index("text", ".", 1).alias("value"))
+    """Documents that contain sentences of benchmark passages as protected values."""
+    values = table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", r"\.")).alias("value"))
     forms = values.select(F.lower(F.regexp_replace("value", r"\s+", "")).alias("form")).filter(F.length("form") >= 3).distinct()
     return egress.contained(table(spark, sf_dir, "documents").withColumn("squeezed", F.lower(F.regexp_replace("text", r"\s+", ""))), forms, "doc_id", "squeezed").select(F.col("key").cast("bigint").alias("doc_id"), F.col("hits").cast("bigint").alias("hits"))
 
 
-EGRESS = r"""WITH f AS (SELECT DISTINCT lower(regexp_replace(split_part(text, '.', 1), '\s+', '', 'g')) AS form FROM benchmark), d AS (SELECT doc_id, lower(regexp_replace(text, '\s+', '', 'g')) AS t FROM documents)
+EGRESS = r"""WITH f AS (SELECT DISTINCT lower(regexp_replace(unnest(string_split(text, '.')), '\s+', '', 'g')) AS form FROM benchmark), d AS (SELECT doc_id, lower(regexp_replace(text, '\s+', '', 'g')) AS t FROM documents)
 SELECT doc_id, count(*) AS hits FROM d JOIN f ON length(form) >= 3 AND contains(t, form) GROUP BY doc_id"""
 
 
@@ -318,16 +318,16 @@ def conversation_findings(spark, sf_dir):
 
 
 def json_unmasked(spark, sf_dir):
-    """Documents with addresses, masked inside of JSON and mapped back there; the key that looks like a token stays."""
+    """Documents masked inside of JSON and mapped back there; the key that looks like a token stays."""
     d = table(spark, sf_dir, "documents")
     masked, vault = masking.mask(d, "doc_id", "text", site="code", key=KEY)
-    held = masked.filter(F.element_at("hits", F.lit("EMAIL")) > 0)
+    held = masked.withColumn("text", F.coalesce("text", F.lit("")))
     props = held.select("key", F.concat(F.lit('{"[EMAIL_1]": ["x", {"body": '), F.substring_index(F.to_json(F.struct("text")), '{"text":', -1)).alias("props")).withColumn("props", F.concat("props", F.lit("]}")))
     back = masking.unmask(props, "key", "props", vault, KEY, json=True)
-    return back.join(d.select(F.col("doc_id").alias("key"), F.col("text").alias("raw")), "key").select(F.col("key").alias("doc_id"), (F.get_json_object("text", "$['[EMAIL_1]'][1].body") == F.col("raw")).alias("same"))
+    return back.join(d.select(F.col("doc_id").alias("key"), F.col("text").alias("raw")), "key").select(F.col("key").alias("doc_id"), (F.get_json_object("text", "$['[EMAIL_1]'][1].body") == F.coalesce("raw", F.lit(""))).alias("same"))
 
 
-JSON_UNMASKED = f"SELECT doc_id, true AS same FROM ({EMAIL_HITS})"
+JSON_UNMASKED = "SELECT doc_id, true AS same FROM documents"
 
 
 def block_policies(spark, sf_dir):
@@ -369,6 +369,62 @@ def argument_checks(spark, sf_dir):
     return verdicts.select(F.col("key").alias("turn_id"), "deny", F.array_join("kinds", ",").alias("kinds"))
 
 
+def _values(rows: list[tuple], names: str) -> str:
+    """Rows as SQL, which every engine spells alike."""
+    word = lambda v: "NULL" if v is None else str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(word, r)) + ')' for r in rows)}) v({names})"
+
+
+#: Texts with what the rules must find in them, by reading the rules: kinds with their numbers of hits.
+RULE_CASES = [
+    (1, "生年月日 1990年1月2日", "DOB:1"), (2, "日付 2024-01-02", ""), (3, "昭和50年3月4日生まれ、生年月日は 1975/3/4", "DOB:2"), (4, "電話 03-1234-5678", "PHONE:1"), (5, "090-1111-2222 と 0120-444-444", "PHONE:2"),
+    (6, "+81 90-1234-5678", "PHONE:1"), (7, "〒105-0011", "ZIP:1"), (8, "住所 105-0011", "ZIP:1"), (9, "番号 105-0011", ""), (10, "マイナンバー 1234 5678 9012", "MYNUMBER:1"), (11, "aws account 123456789012 個人番号", ""),
+    (12, "東京都港区芝公園四丁目2番8号", "ADDRESS:1"), (13, "x@corp.co.jp y@example.com z@a.test w@b.invalid", "EMAIL:1"), (14, "", ""), (15, None, ""), (16, "03-1234-567", ""), (17, "０３－１２３４－５６７８", "PHONE:1"),
+    (18, "患者 PT-123456 と PT-12345", "PATIENT_ID:1"), (19, "個人番号 1234-5678-9012 生まれ 平成2年1月3日", "DOB:1,MYNUMBER:1"), (20, "[P1_NAME] [EMAIL_3]", ""),
+]
+
+
+def rule_cases(spark, sf_dir):
+    texts = ship(spark).createDataFrame([r[:2] for r in RULE_CASES], "case_id int, text string")
+    masked, _ = masking.mask(texts, "case_id", "text", key=KEY, patient_id=r"PT-\d{6}(?!\d)")
+    return masked.select(F.col("key").alias("case_id"), F.array_join(F.array_sort(F.transform(F.map_entries("hits"), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string")))), ",").alias("kinds"))
+
+
+_PERSONS = "id string, names array<string>, emails array<string>, phones array<string>, ids array<string>"
+VAULT_FIRST = [(1, "mail a@b.co.jp and c@d.co.jp", "mail [EMAIL_1] and [EMAIL_2]"), (2, "again a@b.co.jp, tel 03-1234-5678", "again [EMAIL_1], tel [PHONE_1]"), (3, "髙橋 美咲 x", "[P1_NAME] x")]
+VAULT_LATER = [(4, "c@d.co.jp e@f.co.jp a@b.co.jp", "[EMAIL_2] [EMAIL_3] [EMAIL_1]"), (5, "tel 03-1234-5678, 03-8765-4321", "tel [PHONE_1], [PHONE_2]"), (6, "タカハシミサキ、高橋美咲", "[P1_NAME]、[P1_NAME]"), (7, None, None)]
+
+
+def vault_cases(spark, sf_dir):
+    """Texts masked in two runs, the second with the first one's vault; and both mapped back."""
+    persons = masking.dictionary_entries(ship(spark).createDataFrame([("P1", ["高橋 美咲", "たかはし みさき"], [], [], [])], _PERSONS))
+    first, vault = masking.mask(spark.createDataFrame([r[:2] for r in VAULT_FIRST], "k int, t string"), "k", "t", persons, key=KEY)
+    later, more = masking.mask(spark.createDataFrame([r[:2] for r in VAULT_LATER], "k int, t string"), "k", "t", persons, key=KEY, vault=vault)
+    both = first.unionByName(later).select("key", "text")
+    back = masking.unmask(both, "key", "text", vault.unionByName(more), KEY).select("key", F.col("text").alias("again"))
+    return both.join(back, "key").select(F.col("key").alias("case_id"), "text", "again")
+
+
+VAULT_CASES = _values([(k, text, raw if raw is None or "P1_NAME" not in text else text) for k, raw, text in VAULT_FIRST + VAULT_LATER], "case_id, text, again")
+
+ARGUMENT_CASES = [(1, '{"q": "高橋 美咲"}', True, "DICT_NAME"), (2, '{"q": "x@y.co.jp"}', False, ""), (3, "マイナンバー 1234 5678 9012", True, "MYNUMBER"), (4, '{"id": "PT-123456", "to": "たかはし みさき"}', True, "DICT_NAME,PATIENT_ID"), (5, "03-1234-5678", False, ""), (6, "", False, "")]
+
+
+def argument_cases(spark, sf_dir):
+    persons = masking.dictionary_entries(ship(spark).createDataFrame([("P1", ["高橋 美咲", "たかはし みさき"], [], [], [])], _PERSONS))
+    verdicts = masking.argument_verdicts(spark.createDataFrame([r[:2] for r in ARGUMENT_CASES], "k int, t string"), "k", "t", persons, key=KEY, patient_id=r"PT-\d{6}")
+    return verdicts.select(F.col("key").alias("case_id"), "deny", F.array_join("kinds", ",").alias("kinds"))
+
+
+def encoded_blobs(spark, sf_dir):
+    """Every document with its own text as a blob, in base64, between other words; texts too short for a blob stay."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("see "), F.translate(F.base64(F.col("text").cast("binary")), "\r\n", ""), F.lit(" and more")).alias("t"))
+    return d.select("doc_id", pii_rules.blob_hits(F.col("t")).cast("bigint").alias("blobs"), pii_rules.withhold_blobs(F.col("t")).alias("shown"))
+
+
+ENCODED_BLOBS = f"SELECT doc_id, (length(b) >= 48)::BIGINT AS blobs, 'see ' || (CASE WHEN length(b) >= 48 THEN '{pii_rules.BLOB_NOTICE}' ELSE b END) || ' and more' AS shown FROM (SELECT doc_id, to_base64(encode(text)) AS b FROM documents)"
+
+
 OWN = {
     "customers_by_nation_segment_suppressed": (customers_suppressed, _suppressed(SEGMENTS_SQL, [("nation", "string"), ("segment", "string"), ("n_customers", "bigint")])),
     "users_safe": (customers_safe, CUSTOMERS_SAFE),
@@ -385,6 +441,10 @@ OWN = {
     "email_masked_docs": (email_masked, EMAIL_MASKED),
     "rule_hits_docs": (rule_hits, None),
     "masked_conversations": (masked_conversations, None),
+    "rule_cases": (rule_cases, _values([(k, kinds) for k, _, kinds in RULE_CASES], "case_id, kinds")),
+    "vault_cases": (vault_cases, VAULT_CASES),
+    "argument_cases": (argument_cases, _values([(k, deny, kinds) for k, _, deny, kinds in ARGUMENT_CASES], "case_id, deny, kinds")),
+    "encoded_blobs": (encoded_blobs, ENCODED_BLOBS),
     "blob_gate": (blob_gate, BLOB_GATE),
     "kana_variant_fold": (folded_documents, FOLDED),
     "egress_containment": (egress_containment, EGRESS),
