@@ -85,17 +85,38 @@ def lookup_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str
     return done.unionByName(cold)
 
 
-def with_rows(docs: DataFrame) -> tuple[DataFrame, str]:
+def _fresh(docs: DataFrame, name: str) -> str:
+    while name in docs.columns:
+        name = f"_{name}"
+    return name
+
+
+def with_rows(docs: DataFrame, most_files: int = 1_000_000) -> tuple[DataFrame, str]:
     """The table with a number for every row, and that column's name.
 
-    Numbers depend on how a scan is cut into tasks, which changes with the executors, so they are stored with the rows.
+    Numbers must not depend on how a scan is cut into tasks, which changes with the
+    executors. Rows of a Parquet table have the number of their file, of which there are
+    ``most_files`` at most (their names, about 100 bytes each, are broadcast), and their place
+    in it. Any other table is stored together with its numbers.
     """
-    name = "row"
-    while name in docs.columns:
-        name = f"_{name}"
+    name = _fresh(docs, "row")
+    if files := _file_numbers(docs, most_files):
+        file, place = _fresh(docs, "file"), _fresh(docs, "place")
+        numbers = docs.sparkSession.createDataFrame(list(enumerate(files)), f"{name} long, {file} string")
+        placed = docs.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(place)).join(F.broadcast(numbers), file)
+        return placed.select(*docs.columns, F.shiftleft(name, 40).bitwiseOR(F.col(place)).alias(name)), name
     return written(docs.withColumn(name, F.monotonically_increasing_id()), "rows"), name
 
 
+def _file_numbers(docs: DataFrame, most: int) -> list[str] | None:
+    """The names of a plain Parquet table's files, in order; None for any other table, and for more than ``most``."""
+    plan = docs._jdf.queryExecution().analyzed()
+    if plan.getClass().getSimpleName() != "LogicalRelation" or "parquet" not in plan.relation().fileFormat().toString().lower() or "_metadata" in docs.columns:
+        return None
+    names = docs.select("_metadata.file_path").distinct().limit(most + 1).collect()
+    return sorted(r["file_path"] for r in names) if len(names) <= most else None
+
+
 def without_rows(docs: DataFrame, row_col: str, dropped: DataFrame, most: int = 4_000_000) -> DataFrame:
     """``docs`` but the rows whose numbers stand in ``dropped``: by a broadcast of up to ``most`` numbers, else by a shuffle."""
     dropped = written(dropped, "dropped")
