@@ -64,11 +64,15 @@ def unpack(payloads) -> pa.Table:
 
 
 def small_batches(batches, max_bytes: int = 8 << 20):
-    """Cut Arrow batches so that each piece holds about ``max_bytes``; a single longer row stays whole."""
+    """Cut Arrow batches so that each piece holds about ``max_bytes``; a single longer row stays whole.
+
+    At the end of a task's batches the worker, which lives on, hands its free memory back.
+    """
     for batch in batches:
         rows = max(1, int(batch.num_rows * max_bytes / max(1, batch.nbytes)))
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
+    pa.default_memory_pool().release_unused()
 
 
 def lookup_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int, hot_share: int = 2000, least: int = 1000) -> DataFrame:

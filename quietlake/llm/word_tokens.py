@@ -16,7 +16,7 @@ from array import array
 import numpy as np
 from tokenizers import Tokenizer
 
-MAX_CACHED = 1_000_000
+MAX_CACHED = 300_000
 #: Letters that composition leaves as they are, in Latin-1 and Latin Extended-A and -B, but for the dotted I, which two characters lower.
 _WORD = re.compile("([a-zß-öø-įı-ɏ]+)([.,]?)")
 _BEYOND = re.compile("[^\x00-įı-ɏ]")
