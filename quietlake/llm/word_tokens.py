@@ -22,13 +22,13 @@ _WORD = re.compile("([a-zß-öø-įı-ɏ]+)([.,]?)")
 _BEYOND = re.compile("[^\x00-įı-ɏ]")
 
 
-def _spelling() -> dict[int, str]:
+def spelling() -> dict[int, str]:
     """How byte-level models spell bytes: printable Latin-1 as it is, every other byte, in order, from U+0100 on."""
     plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in plain)}
 
 
-_SPELLING = _spelling()
+_SPELLING = spelling()
 _WORKER: dict = {}
 
 
