@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import byte_bpe, telephony, token_alignment
+from . import byte_bpe, sanitisation, telephony, token_alignment
 from .common import read_table, written
 from .exact_dedup import ORACLE_SQL as EXACT_DEDUP_SQL
 from .exact_dedup import exact_dedup
@@ -66,11 +66,15 @@ def op11_lexical_search(spark, sf_dir):
     return lexical_search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op12_sanitisation(spark, sf_dir):
+    return sanitisation.digests(sanitisation.Scan(spark.read.parquet(f"{sf_dir}/documents.parquet")).spans())
+
+
 def op13_token_alignment(spark, sf_dir):
     first = token_alignment.byte_level_model(public_tokenizers.path("byte_bpe_50k.json"))
     second = token_alignment.piece_model(public_tokenizers.path("piece_bpe_32k.model"))
     return token_alignment.token_alignment(spark, read_table(spark, sf_dir, "documents"), first, second, public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_byte_bpe, op3_license_scan, op4_telephony, op5_quality, op6_jaccard_join, op7_packing, op8_secret_scan, op9_exact_dedup, op10_simple8b, op11_lexical_search, op13_token_alignment)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_byte_bpe, op3_license_scan, op4_telephony, op5_quality, op6_jaccard_join, op7_packing, op8_secret_scan, op9_exact_dedup, op10_simple8b, op11_lexical_search, op12_sanitisation, op13_token_alignment)}
 ORACLES = {"op3_license_scan": license_sql(), "op9_exact_dedup": EXACT_DEDUP_SQL, "op11_lexical_search": SEARCH_SQL}
