@@ -22,6 +22,7 @@ from .operators.suppress import suppress_small_cells
 from .operators.synth import synth_rows
 from .session import ship
 from .sources import files as source_files
+from .storage import written
 
 
 def _tool(method: Callable) -> Callable:
@@ -193,16 +194,35 @@ def open_engine(spark: SparkSession, views: dict[str, DataFrame], config: str |
     return Engine(spark, views, settings, dictionary_entries(persons) if persons is not None else None)
 
 
+def _scan_folder(spark: SparkSession, settings: Settings, folder: str, since: str | None, dictionary: str | None) -> int:
+    """Counts by file and kind on standard output; 1 if there are any, 0 if not, 2 without such a folder."""
+    from .operators.content import findings
+    from .sources.sinks import report
+
+    if "://" not in folder and not Path(folder).expanduser().is_dir():
+        print(f"no such folder: {folder}", file=sys.stderr)
+        return 2
+    name = F.col("_metadata.file_path").alias("file")
+    lines = source_files.scanned_files(spark, folder, since, (".jsonl",)).text(folder).select("value", name)
+    whole = source_files.scanned_files(spark, folder, since, (".md", ".txt", ".json")).text(folder, wholetext=True).select(name, F.col("value").alias("text"))
+    # stored with their keys: a second pass might number them otherwise
+    texts = written(source_files.transcript_texts(lines).unionByName(whole).withColumn("key", F.monotonically_increasing_id()), "scanned")
+    entries = dictionary_entries(source_files.read_dictionary(spark, dictionary)) if dictionary else None
+    masked, _ = mask(texts, "key", "text", entries, site="prompt", patient_id=settings.patient_id_regex, allow_emails=settings.allow_email_domains)
+    by_file, code = report(findings(texts.select("key", "file").join(masked, "key")))
+    print(json.dumps(by_file, ensure_ascii=False))
+    return code
+
+
 def main(argv: list[str] | None = None) -> int:
     """python -m quietlake.engine: safeify, dictionary or scan from a shell."""
     import argparse
     import datetime
 
     from .functions.pseudonyms import create_key, load_key
-    from .operators.content import findings
     from .operators.deidentify import safeify
     from .operators.masking import build_dictionary
-    from .sources.sinks import report, write_dictionary, write_safe
+    from .sources.sinks import write_dictionary, write_safe
 
     parser = argparse.ArgumentParser(prog="quietlake")
     parser.add_argument("--config", default=None)
@@ -239,22 +259,15 @@ def main(argv: list[str] | None = None) -> int:
         if args.query:
             table = source_files.jdbc(spark, args.source, args.query).withColumn("__order", F.col(args.order or args.id))
         else:
-            table = source_files.read_delimited(spark, args.source)[0].withColumn("__order", F.monotonically_increasing_id())
+            table = source_files.read_delimited(spark, args.source, place="__order")[0]
         persons = build_dictionary(table, "__order", args.id, args.names, args.emails, args.phones, args.ids)
         write_dictionary(persons, args.out, datetime.datetime.now().isoformat(timespec="seconds"))
     else:
-        if "://" not in args.folder and not Path(args.folder).expanduser().is_dir():
-            print(f"no such folder: {args.folder}", file=sys.stderr)
+        try:
+            return _scan_folder(spark, settings, args.folder, args.since, args.dictionary)
+        except Exception as e:  # noqa: BLE001  a scan that couldn't look must not look like one that found nothing
+            print(f"scan failed: {error_class(e)}", file=sys.stderr)
             return 2
-        name = F.col("_metadata.file_path").alias("file")
-        lines = source_files.scanned_files(spark, args.folder, args.since, (".jsonl",)).text(args.folder).select("value", name)
-        whole = source_files.scanned_files(spark, args.folder, args.since, (".md", ".txt", ".json")).text(args.folder, wholetext=True).select(name, F.col("value").alias("text"))
-        texts = source_files.transcript_texts(lines).unionByName(whole).withColumn("key", F.monotonically_increasing_id()).persist()
-        entries = dictionary_entries(source_files.read_dictionary(spark, args.dictionary)) if args.dictionary else None
-        masked, _ = mask(texts, "key", "text", entries, site="prompt", patient_id=settings.patient_id_regex, allow_emails=settings.allow_email_domains)
-        by_file, code = report(findings(texts.select("key", "file").join(masked, "key")))
-        print(json.dumps(by_file, ensure_ascii=False))
-        return code
     return 0
 
 

@@ -13,10 +13,15 @@ from pyspark.sql import functions as F
 LENGTH = 16
 
 
+def _pads(key: bytes) -> tuple[bytes, bytes]:
+    """The inner and the outer block of HMAC-SHA256."""
+    block = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    return bytes(b ^ 0x36 for b in block), bytes(b ^ 0x5C for b in block)
+
+
 def hmac_sha256(value: Column, key: bytes) -> Column:
     """Lowercase hex of HMAC-SHA256 of a value's text, from two nested sha2 calls."""
-    block = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
-    inner, outer = (F.unhex(F.lit(bytes(b ^ pad for b in block).hex())) for pad in (0x36, 0x5C))
+    inner, outer = (F.unhex(F.lit(pad.hex())) for pad in _pads(key))
     return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, value.cast("string").cast("binary")), 256))), 256)
 
 
@@ -27,18 +32,17 @@ def pseudo_id(value: Column, key: bytes) -> Column:
 
 def duckdb_pseudo_id(value: str, key: bytes) -> str:
     """The same in DuckDB SQL."""
-    block = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
-    inner, outer = (bytes(b ^ pad for b in block).hex() for pad in (0x36, 0x5C))
+    inner, outer = (pad.hex() for pad in _pads(key))
     return f"substr(sha256(unhex('{outer}') || unhex(sha256(unhex('{inner}') || encode({value}::VARCHAR)))), 1, {LENGTH})"
 
 
 def register(spark: SparkSession, key: bytes, name: str = "pseudo_id") -> None:
-    """A SQL function of the same meaning, in a session that may see the key."""
-    import hmac
-
-    from pyspark.sql.functions import pandas_udf
-
-    spark.udf.register(name, pandas_udf(lambda s: s.map(lambda v: None if v is None else hmac.new(key, str(v).encode(), "sha256").hexdigest()[:LENGTH]), "string"))
+    """A SQL function of the same meaning, for a session that may see the key: its definition holds it."""
+    if not name.isidentifier():
+        raise ValueError("a function's name is letters, digits and underscores")
+    inner, outer = (pad.hex() for pad in _pads(key))
+    body = f"substr(sha2(concat(unhex('{outer}'), unhex(sha2(concat(unhex('{inner}'), cast(v AS BINARY)), 256))), 256), 1, {LENGTH})"
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(v STRING) RETURNS STRING RETURN {body}")
 
 
 def create_key(path: str | Path) -> Path:

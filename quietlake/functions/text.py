@@ -17,6 +17,13 @@ HIRAGANA = "".join(map(chr, range(0x3041, 0x3097)))
 KATAKANA = "".join(chr(ord(c) + 0x60) for c in HIRAGANA)
 #: What Python's str.isspace, and thus \s, calls white space.
 _BLANKS = r"[\s\x1c-\x1f\x85   -     　]+"
+#: The same, character by character.
+WHITE_SPACE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+
+
+def strip(text: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 @F.pandas_udf(T.StringType())
@@ -59,13 +66,13 @@ def _forms(raw: Column, base: Column, number: Column, with_raw: bool) -> Column:
 
 def value_forms(value: Column) -> Column:
     """Forms of a dictionary's value inside of light text."""
-    base = light(F.btrim(value, F.lit(" \t\n\r\f\v　 ")))
+    base = light(strip(value))
     return _forms(value, base, digits(base), with_raw=False)
 
 
 def egress_forms(value: Column) -> Column:
     """Forms that a protected value may take on its way out; kanji variants stay as they are."""
-    raw = F.btrim(value, F.lit(" \t\n\r\f\v　 "))
+    raw = strip(value)
     base = nfkc(raw)
     return _forms(raw, base, F.regexp_replace(base, r"(?U)\D", ""), with_raw=True)
 

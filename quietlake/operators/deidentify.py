@@ -9,18 +9,19 @@ from pyspark.sql import functions as F
 
 from ..config import is_pii_column
 from ..functions.pseudonyms import pseudo_id
+from ..functions.text import strip
 
 _YEAR = r"^(\d{4})[-/.]\d{1,2}[-/.]\d{1,2}"
 
 
 def year_of(value: Column) -> Column:
     """The year at the start of a date's text, else the empty text."""
-    return F.coalesce(F.regexp_extract(F.trim(value), _YEAR, 1), F.lit(""))
+    return F.coalesce(F.regexp_extract(strip(value), _YEAR, 1), F.lit(""))
 
 
 def safe_pseudo(value: Column, key: bytes) -> Column:
     """The pseudonym of a value as it is; blanks stay empty."""
-    return F.when(F.trim(value) != "", pseudo_id(value, key)).otherwise("")
+    return F.when(strip(value) != "", pseudo_id(value, key)).otherwise("")
 
 
 def plan_columns(names: list[str], pseudo=(), year=(), keep=(), drop=(), is_pii: Callable[[str], bool] = is_pii_column) -> list[tuple[str, str]]:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.pii_rules import find_spans, replace, resolve
 from ..functions.pseudonyms import hmac_sha256
-from ..functions.text import light, value_forms
+from ..functions.text import light, strip, value_forms
 from ..storage import lookup, written
 from .numbering import numbered
 
@@ -39,7 +39,7 @@ def build_dictionary(rows: DataFrame, order_by: str, id_col: str, names=(), emai
     """(id, names, emails, phones, ids): persons P1, P2, ... by position; a row without any value uses up its number."""
 
     def values(columns) -> Column:
-        texts = [F.trim(F.col(c).cast("string")) for c in columns if c in rows.columns]
+        texts = [strip(F.col(c).cast("string")) for c in columns if c in rows.columns]
         return F.filter(F.array(*texts), lambda v: v.isNotNull() & (v != "")) if texts else F.array().cast("array<string>")
 
     placed = numbered(rows, [order_by], name="__nth")
@@ -52,9 +52,9 @@ def build_dictionary(rows: DataFrame, order_by: str, id_col: str, names=(), emai
 def dictionary_entries(persons: DataFrame) -> DataFrame:
     """(form, person, kind): what stands for a person in light text; a form of several persons is the first one's."""
     position = F.col("position") if "position" in persons.columns else F.monotonically_increasing_id()
-    named = persons.filter(F.trim(F.coalesce("id", F.lit(""))) != "").withColumn("position", position)
+    named = persons.filter(strip(F.coalesce("id", F.lit(""))) != "").withColumn("position", position)
     fields = F.array(*(F.struct(F.lit(i).alias("field"), F.lit(kind).alias("kind"), F.coalesce(F.col(name), F.array().cast("array<string>")).alias("values")) for i, (name, kind) in enumerate(KINDS.items())))
-    values = named.select("position", F.trim("id").alias("person"), F.inline(fields)).select("position", "person", "field", "kind", F.posexplode("values").alias("nth", "value"))
+    values = named.select("position", strip("id").alias("person"), F.inline(fields)).select("position", "person", "field", "kind", F.posexplode("values").alias("nth", "value"))
     forms = values.select("position", "field", "nth", "person", "kind", F.explode(value_forms(F.col("value"))).alias("form"))
     romaji = (F.col("kind") == "NAME") & F.rlike("form", F.lit(r"^[A-Za-z][A-Za-z .'-]+$"))
     number = F.col("kind").isin("PHONE", "ID") & F.rlike("form", F.lit(r"(?U)^\d+$"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import is_pii_column
+from ..functions.text import strip
 
 # The forms of values, and of those that are personal data.
 INT = r"^[+-]?\d+$"
@@ -25,7 +26,7 @@ def _all(condition: Column) -> Column:
 def column_profile(value: Column, name: str, is_pii: Callable[[str], bool] = is_pii_column) -> Column:
     """One struct per column, from aggregates of all its rows."""
     text = F.coalesce(value.cast("string"), F.lit(""))
-    given = F.when(F.trim(text) != "", F.trim(text))
+    given = F.when(strip(text) != "", strip(text))
     whole, number = F.rlike(given, F.lit(INT)), F.rlike(given, F.lit(INT)) | F.rlike(given, F.lit(FLOAT))
     kind = (
         F.when(F.count(given) == 0, "empty")
@@ -39,7 +40,7 @@ def column_profile(value: Column, name: str, is_pii: Callable[[str], bool] = is_
     needed = F.greatest(F.lit(1), F.floor(filled / 2))
     like = lambda pattern: (filled > 0) & (F.sum(F.rlike(text, F.lit(pattern)).cast("int")) >= needed)
     why = F.lit("column name") if is_pii(name) else F.when(like(EMAIL_LIKE), "email-like values").when(like(PHONE_LIKE), "phone-like values")
-    blanks = F.round(F.sum((F.trim(text) == "").cast("int")) / F.greatest(F.lit(1), F.count(F.lit(1))), 2)
+    blanks = F.round(F.sum((strip(text) == "").cast("int")) / F.greatest(F.lit(1), F.count(F.lit(1))), 2)
     return F.struct(F.lit(name).alias("name"), kind.alias("type"), why.isNotNull().alias("pii"), why.cast("string").alias("why"), F.coalesce(blanks, F.lit(0.0)).alias("null_ratio"))
 
 

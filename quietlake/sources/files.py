@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import csv
 import hashlib
-import io
 from pathlib import Path
 
 import pandas as pd
@@ -12,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
+from .delimited import Quotes, read_records
 
 # Encodings in the order in which they are tried, delimiters, suffixes.
 ENCODINGS = ["utf-8-sig", "cp932", "euc_jp"]
@@ -19,8 +19,9 @@ DELIMITERS = ",\t;|"
 TEXT_SUFFIXES = [".csv", ".tsv", ".txt"]
 LINE_SUFFIXES = [".csv", ".tsv", ".txt", ".log", ".jsonl", ".md"]
 SCANNED_SUFFIXES = [".jsonl", ".md", ".txt", ".json"]
-JAVA_NAMES = {"utf-8-sig": "UTF-8", "cp932": "windows-31j", "euc_jp": "EUC-JP", "utf-8": "UTF-8"}
 SNIFFED_BYTES = 64_000
+#: The longest first record that is taken for a header.
+HEADER_BYTES = 64_000 << 9
 
 
 def file_id(name: str) -> str:
@@ -72,7 +73,7 @@ def _fits(encoding: str):
 
 
 def survey_lines(spark: SparkSession, path: str) -> tuple[str, bool]:
-    """(encoding, whether a cell may hold a line feed), from all lines of a text file.
+    """(encoding, whether any cell may be quoted), from all lines of a text file.
 
     The encoding is the first that every line fits; line feeds are the same byte in all of
     them and no part of another character, so lines can be tested apart from each other.
@@ -80,8 +81,7 @@ def survey_lines(spark: SparkSession, path: str) -> tuple[str, bool]:
     lines = ship(spark).read.text(path)
     foreign = lines.filter(~F.rlike("value", F.lit(r"^[\x00-\x7F]*$"))).select(F.col("value").cast("binary").alias("raw"))
     fits = foreign.agg(*(F.coalesce(F.bool_and(_fits(name)("raw")), F.lit(True)).alias(name) for name in ENCODINGS)).first()
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    return next((name for name in ENCODINGS if fits[name]), "utf-8"), not lines.filter(quotes % 2 == 1).isEmpty()
+    return next((name for name in ENCODINGS if fits[name]), "utf-8"), not lines.filter(F.contains("value", F.lit('"'))).isEmpty()
 
 
 def delimiter_of(text: str, suffix: str = ".csv") -> str:
@@ -91,28 +91,63 @@ def delimiter_of(text: str, suffix: str = ".csv") -> str:
         return "\t" if suffix == ".tsv" else ","
 
 
-def _allow(spark: SparkSession, encoding: str) -> str:
-    """Java's name of an encoding; others than UTF-8 need Spark's older, wider list of them."""
-    if JAVA_NAMES[encoding] != "UTF-8":
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    return JAVA_NAMES[encoding]
+def file_bytes(spark: SparkSession, path: str) -> int:
+    file = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return file.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(file).getLen()
+
 
+def free_names(header: list[str]) -> list[str]:
+    """The header's names, a repeated one with its position, and with underscores where another column is called so."""
+    taken, names = set(header), []
+    for i, name in enumerate(header):
+        if name in header[:i]:
+            name = f"{name}_{i}"
+            while name in taken:
+                name += "_"
+            taken.add(name)
+        names.append(name)
+    return names
 
-def read_delimited(spark: SparkSession, path: str, suffix: str | None = None) -> tuple[DataFrame, str]:
-    """(table of texts, delimiter): the encoding is found from the whole file, the delimiter from its start; missing cells are empty.
 
-    A file is read in parts, unless a cell may hold a line feed.
+def _header(spark: SparkSession, path: str, encoding: str, suffix: str) -> tuple[list[str], str, str]:
+    """(cells of the first record, delimiter, line feed): as much of the file is read as that record takes, and no more than HEADER_BYTES."""
+    size = SNIFFED_BYTES
+    while True:
+        raw = head_bytes(spark, path, size)
+        text = raw.decode(encoding, errors="replace")
+        sep = delimiter_of(text, suffix)
+        feed = "\r" if "\r" in text and "\n" not in text else "\n"
+        quotes, state, lines = Quotes(sep), 0, text.split(feed)
+        # the last line may go on beyond what has been read
+        for n, line in enumerate(lines if len(raw) < size else lines[:-1], 1):
+            state = quotes.after(line, state)
+            if not state:
+                csv.field_size_limit(1 << 40)
+                return next(csv.reader([feed.join(lines[:n])], delimiter=sep), []), sep, feed
+        if len(raw) < size:
+            raise ValueError("the first record has no end")
+        if size >= HEADER_BYTES:
+            raise ValueError(f"the first record is longer than {HEADER_BYTES} bytes")
+        size *= 8
+
+
+def read_delimited(spark: SparkSession, path: str, suffix: str | None = None, place: str | None = None) -> tuple[DataFrame, str]:
+    """(table of texts, delimiter): the encoding is found from the whole file, names and delimiter from its start; missing cells are empty.
+
+    Rows are those of Python's csv. A file without any quote, in UTF-8, is Spark's to read; in
+    any other, cells may hold line feeds. Both are read in parts. ``place`` names a column that
+    gives the rows' order in the file, if asked for.
     """
-    encoding, joined = survey_lines(spark, path)
-    text = head_bytes(spark, path).decode(encoding, errors="replace")
-    sep = delimiter_of(text, suffix or Path(path).suffix.lower())
-    header = next(csv.reader(io.StringIO(text), delimiter=sep), [])
+    encoding, quoted = survey_lines(spark, path)
+    header, sep, feed = _header(spark, path, encoding, suffix or Path(path).suffix.lower())
     if not header:
         return spark.createDataFrame([], "value string").drop("value"), sep
-    names = [h if header.index(h) == i else f"{h}_{i}" for i, h in enumerate(header)]
+    names = free_names(header)
+    if quoted or encoding in ("cp932", "euc_jp") or feed == "\r":
+        return read_records(ship(spark), path, names, sep, "utf-8" if encoding == "utf-8-sig" else encoding, file_bytes(spark, path), feed, place), sep
     schema = ", ".join(f"`{n.replace('`', '``')}` string" for n in names)
-    table = spark.read.schema(schema).csv(path, sep=sep, header=True, encoding=_allow(spark, encoding), multiLine=joined, escape='"', mode="PERMISSIVE", enforceSchema=True)
-    return table.na.fill(""), sep
+    table = spark.read.schema(schema).csv(path, sep=sep, header=True, encoding="UTF-8", mode="PERMISSIVE", enforceSchema=True, maxColumns=len(names) + 20_480).na.fill("")
+    return table.withColumn(place, F.monotonically_increasing_id()) if place else table, sep
 
 
 def load(spark: SparkSession, path: str, **options) -> DataFrame:
@@ -154,13 +189,19 @@ def jdbc(spark: SparkSession, url: str, query: str, timeout_s: int = 30, **optio
 
 
 def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
-    """Persons (id, names, emails, phones, ids) of a dictionary's JSON; none if the file is missing."""
+    """Persons (id, names, emails, phones, ids) of a dictionary's JSON; none if the file is missing.
+
+    A file that is damaged, or has no list of persons, is an error: known persons would pass unmasked.
+    """
     from ..operators.masking import DICTIONARY_SCHEMA
 
     local = path.removeprefix("file://")
     if "://" not in local and not Path(local).expanduser().exists():
         return spark.createDataFrame([], DICTIONARY_SCHEMA).select(F.inline("persons"))
-    rows = spark.read.schema(DICTIONARY_SCHEMA).json(path, multiLine=True)
+    rows = spark.read.schema(DICTIONARY_SCHEMA).json(path, multiLine=True, mode="FAILFAST")
+    whole = rows.agg(F.count(F.lit(1)).alias("files"), F.count_if(F.col("persons").isNull()).alias("empty")).first()  # reads the file to its end
+    if not whole["files"] or whole["empty"]:
+        raise ValueError("the dictionary has no list of persons")
     return rows.select(F.posexplode("persons").alias("position", "p")).select("p.*", "position")
 
 

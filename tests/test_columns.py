@@ -6,7 +6,7 @@ from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from quietlake.config import Settings, is_count_column, is_pii_column
-from quietlake.functions.pseudonyms import create_key, load_key, pseudo_id
+from quietlake.functions.pseudonyms import create_key, load_key, pseudo_id, register
 from quietlake.operators.deidentify import safeify
 from quietlake.operators.profile import profile, row_estimate
 from quietlake.operators.suppress import suppress_small_cells
@@ -82,3 +82,16 @@ def test_settings(tmp_path):
     s = Settings.load(tmp_path / "c.toml")
     assert (s.max_rows, s.small_cell, s.patient_id_regex) == (7, 11, "PT-[0-9]+") and s.is_pii("a foo") and not s.is_pii("name")
     assert Settings.load(tmp_path / "none.toml") == Settings()
+
+
+def test_pseudonyms_in_sql(spark):
+    """One value has one id, whatever its type and whatever stands beside it in the column."""
+    register(spark, b"k" * 32)
+    df = spark.createDataFrame([(12345, "12345", 1.5, "é"), (None, None, None, None), (7, "", -0.25, "a")], "i bigint, s string, d double, u string").withColumn("n", F.col("i").cast("decimal(12,2)"))
+    df.createOrReplaceTempView("values_of_types")
+    got = spark.sql("select pseudo_id(i) i, pseudo_id(s) s, pseudo_id(d) d, pseudo_id(u) u, pseudo_id(n) n from values_of_types").collect()
+    want = df.select(*(pseudo_id(F.col(c), b"k" * 32).alias(c) for c in ("i", "s", "d", "u", "n"))).collect()
+    assert got == want and got[0]["i"] == got[0]["s"] == hmac.new(b"k" * 32, b"12345", "sha256").hexdigest()[:16] and not any(got[1])
+    assert "Python" not in spark.sql("select pseudo_id(i) from values_of_types")._jdf.queryExecution().executedPlan().toString()
+    with pytest.raises(ValueError, match="name"):
+        register(spark, b"k", "x; drop")
