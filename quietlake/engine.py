@@ -152,7 +152,7 @@ class Engine:
         """The first lines of an inbox file, masked."""
         files = self._files()
         if file_id not in files:
-            return {"error": f"unknown file id: {file_id}", "file_ids": sorted(files)}
+            return {"error": f"no file has the id {file_id}", "file_ids": sorted(files)}
         if files[file_id]["ext"] not in source_files.LINE_SUFFIXES:
             return {"error": "only text files can be read masked"}
         lines = source_files.head_lines(self.spark, files[file_id]["path"], limit)
@@ -166,7 +166,7 @@ class Engine:
         """The result of ``fn(inputs)`` if it is small and holds no protected value; row-wise data doesn't pass."""
         files = self._files()
         if unknown := [i for i in inputs or [] if i not in files]:
-            return {"error": f"unknown file id: {unknown[0]}", "file_ids": sorted(files)}
+            return {"error": f"no file has the id {unknown[0]}", "file_ids": sorted(files)}
         data = Inputs(self.spark, {i: files[i]["path"] for i in inputs or []}, self.settings.is_pii)
         try:
             value = fn(data)
@@ -183,7 +183,7 @@ class Engine:
         if data.forms is not None and (hits := text_hits(self.spark, checked, data.forms)):
             return {"error": "result contains protected values", "reason": f"{hits} forms"}
         if self.spark.range(1).select(F.regexp_count(F.lit(text), F.lit(BLOB)).alias("n")).first()["n"]:
-            return {"error": "result contains long encoded blobs and was withheld"}
+            return {"error": "the answer holds encoded data (blobs) and stays here"}
         return {"result": result, "logs": data.logs}
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import re
+from collections.abc import Callable
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
@@ -26,49 +27,93 @@ FUNCTION_GROUPS = [
 #: Spark's own ways out of a query, whether or not they are written as calls.
 ESCAPES = ["reflect", "java_method", "try_reflect", "transform", "identifier", "read_files", "input_file_name", "raise_error", "current_database", "current_catalog", "current_user", "session_user", "version"]
 _ESCAPES = re.compile(rf"(?<![\w.])(?:{'|'.join(ESCAPES)})(?!\w)", re.IGNORECASE)
-_TOKENS = re.compile(r"\w+|\S")
 #: Leaves of an analysed plan that hold no table: constants, generated rows, and references to a query's own subqueries.
 OWN_LEAVES = {"OneRowRelation", "LocalRelation", "Range", "CTERelationRef", "UnionLoopRef"}
+#: Nodes of a parsed plan that name columns, and those whose branches each have to.
+NAMING, BRANCHING = {"Project", "Aggregate"}, {"Union", "Except", "Intersect"}
+_QUOTED = r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|`[^`]*`"""
+_COMMENT = re.compile(rf"(?s)({_QUOTED})|--[^\n]*|/\*.*?\*/")
 
 
 def bare(sql: str) -> str:
-    """The statement without comments, ends and outer blanks."""
-    return re.sub(r"--[^\n]*", " ", re.sub(r"(?s)/\*.*?\*/", " ", sql)).strip().rstrip(";").strip()
+    """The statement without comments, ends and outer blanks; what looks like a comment inside of quotes stays."""
+    return _COMMENT.sub(lambda m: m[1] or " ", sql).strip().rstrip(";").strip()
+
+
+class Statement:
+    """A text as the rules see it: its words, its first word, and its tree, if Spark can parse it."""
+
+    def __init__(self, sql: str, spark: SparkSession | None = None):
+        self.text, self.spark = bare(sql), spark
+        self.head = self.text.split(maxsplit=1)[0].upper() if self.text else ""
+
+    @functools.cached_property
+    def tree(self):
+        try:
+            return self.spark._jsparkSession.sessionState().sqlParser().parsePlan(self.text) if self.spark else None
+        except Exception:  # noqa: BLE001  said so by a later rule
+            return None
+
+    def forbidden(self) -> str | None:
+        """The first word that is on the list; words count wherever they stand, inside of literals too."""
+        words = re.finditer(r"(?<![\w.])\w+", self.text)
+        return next((w for m in words if (w := m[0].lower()) in FORBIDDEN), None)
+
+    def unnamed(self) -> bool:
+        """Whether columns go out that the statement doesn't name: by a star anywhere in its tree, or by a relation that no SELECT stands above."""
+        return bool(re.search(r"\w\.\*", self.text)) or self.tree is not None and _unnamed(self.tree, False)
+
+
+#: (what is wrong, how it is said), in the order in which the first one counts.
+TEXT_RULES: list[tuple[Callable[[Statement], object], str]] = [
+    (lambda s: not s.text, "there is nothing to run"),
+    (lambda s: ";" in s.text, "a semicolon within the statement; send one query at a time"),
+    (lambda s: "\0" in s.text, "a zero character within the statement"),
+    (lambda s: s.head not in ("SELECT", "WITH", "VALUES", "TABLE", "EXPLAIN"), "a query begins with SELECT or WITH, this one with {s.head}"),
+    (lambda s: s.head not in ("SELECT", "WITH"), "{s.head} shows more than named columns; write a SELECT"),
+    (lambda s: s.forbidden(), "this word can't be used: {upper}"),
+    (lambda s: s.unnamed(), "every column has to be named: no star, and no TABLE or FROM without a SELECT"),
+    (lambda s: "$$" in s.text or "$body$" in s.text.lower(), "text between dollar signs can't be read"),
+]
+
+
+def text_reason(sql: str, spark: SparkSession | None = None) -> str | None:
+    """Why the statement is rejected as it is written, or None; stars are looked for in Spark's tree, so only with a session."""
+    statement = Statement(sql, spark)
+    for broken, said in TEXT_RULES:
+        if found := broken(statement):
+            return said.format(s=statement, upper=str(found).upper())
+    return None
 
 
-def _is_star(tokens: list[str], i: int) -> bool:
-    """Whether the asterisk at ``i`` stands for columns: neither between two operands nor in count(*)."""
-    before, after = tokens[:i][-3:], tokens[i + 1 : i + 2]
-    if before[-2:] == ["count", "("] and after == [")"]:
-        return False
-    operand = before and (before[-1] in ")]'\"`" or before[-1][0].isalnum() or before[-1][0] == "_") and before[-1] not in ("select", "distinct", "all")
-    return not operand or not after or after[0] in (",", ")", "from")
+def _named(node) -> str:
+    return node.getClass().getSimpleName()
 
 
-def text_reason(sql: str) -> str | None:
-    """Why the text alone is rejected, or None. Words count wherever they stand, inside of literals too."""
-    text = bare(sql)
-    if not text:
-        return "empty statement"
-    if "\0" in text:
-        return "null byte in statement"
-    found = list(_TOKENS.finditer(text))
-    tokens = [m[0].lower() for m in found]
-    if ";" in tokens:
-        return "only one statement per call"
-    head = text.split(maxsplit=1)[0].upper()
-    if head in ("VALUES", "TABLE", "EXPLAIN"):
-        return f"{head} can't be run; write a SELECT"
-    if head not in ("SELECT", "WITH"):
-        return f"a statement begins with SELECT or WITH, this one with {head}"
-    if "$$" in text or "$body$" in text.lower():
-        return "text between dollar signs can't be read"
-    for i, (token, m) in enumerate(zip(tokens, found, strict=True)):
-        if token in FORBIDDEN and text[m.start() - 1] != ".":
-            return f"word not admitted: {token.upper()}"
-        if token == "*" and _is_star(tokens, i):
-            return "SELECT * is not allowed; name the columns you need"
-    return None
+def _stars(expression) -> bool:
+    """Whether an expression, or a query inside of it, holds a star or a relation without a SELECT."""
+    if _named(expression).startswith(("UnresolvedStar", "UnresolvedRegex", "ResolvedStar")):
+        return True
+    if _is_query(expression) and _unnamed(expression.plan(), False):
+        return True
+    return any(_stars(e) for e in _each(expression.children()))
+
+
+def _is_query(expression) -> bool:
+    return any(m.getName() == "plan" and m.getParameterCount() == 0 for m in expression.getClass().getMethods())
+
+
+def _unnamed(plan, named: bool) -> bool:
+    """Whether a parsed plan has a star, or reaches a relation outside of what names columns."""
+    kind = _named(plan)
+    if any(_stars(e) for e in _each(plan.expressions())):
+        return True
+    if kind == "UnresolvedWith" and any(_unnamed(r._2(), False) for r in _each(plan.cteRelations())):
+        return True
+    children = list(_each(plan.children()))
+    if not children:
+        return not named and kind != "OneRowRelation"
+    return any(_unnamed(c, kind in NAMING or named and kind not in BRANCHING) for c in children)
 
 
 def _without_literals(text: str) -> str:
@@ -85,13 +130,13 @@ def _closed_functions(jvm) -> frozenset[str]:
 def spark_reason(spark: SparkSession, sql: str, views: set[str]) -> str | None:
     """Why Spark's parsed plan is rejected: other relations than the safe views, ways out of SQL, or commands."""
     text = bare(sql)
-    if "/*" in text or "*/" in text:
+    plain = _without_literals(text)
+    if "/*" in plain or "*/" in plain:
         return "unbalanced comment"
     if re.search(r"""(?i)(?<!\w)r['"]""", text):
         return "raw strings are not allowed"
     if found := _ESCAPES.search(text):
         return f"function is not allowed: {found[0].lower()}"
-    plain = _without_literals(text)
     try:
         closed = _closed_functions(spark._jvm)
         plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text).toString()
@@ -131,7 +176,7 @@ def _foreign(plan, views: set[str]) -> bool:
 
 
 def admit(spark: SparkSession, sql: str, views: set[str]) -> str | None:
-    return text_reason(sql) or spark_reason(spark, sql, views)
+    return text_reason(sql, spark) or spark_reason(spark, sql, views)
 
 
 def sandbox(spark: SparkSession, views: dict[str, DataFrame]) -> SparkSession:

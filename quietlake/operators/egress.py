@@ -125,4 +125,4 @@ def cap_output(result: dict, most: int = 40_000) -> dict:
         out |= {name: rows[:kept], f"{name}_dropped": len(rows) - kept}
         if _size(out) <= most:
             return out
-    return {"ok": result.get("ok", True), "truncated": True, "note": f"result exceeded {most} characters and was withheld; narrow the query"}
+    return {"ok": result.get("ok", True), "truncated": True, "note": f"nothing of this answer fits into {most} characters; ask for less"}
