@@ -29,6 +29,7 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 from .common import pack, partitions_for, small_batches, task_id, unpack, written
 from .word_tokens import spelling
 
-MAX_SEGMENTS, MAX_CHARS, SLICE = 200_000, 12 << 20, 1 << 20
+MAX_SEGMENTS, MAX_CHARS, SLICE, SEGMENTS_AT_ONCE = 200_000, 12 << 20, 1 << 20, 40_000
 #: Stored bytes of a table for each task that puts a block's texts together.
 TASK_BYTES = 4 << 20
 #: A single space whose neighbours are no white space, in the widest meaning of that.
@@ -113,34 +114,48 @@ SELECT a.seg, a.id AS a, b.id AS b FROM a ASOF JOIN b ON a.lo >= b.lo
 UNION ALL
 SELECT a.seg, a.id, b.id FROM b ASOF JOIN a ON b.lo > a.lo WHERE b.lo < a.hi;
 CREATE OR REPLACE TEMP TABLE common AS SELECT hi FROM a SEMI JOIN b USING (hi);
-CREATE OR REPLACE TEMP TABLE parts AS
-WITH ga AS (SELECT a.seg, a.id, a.lo, count(common.hi) OVER (ORDER BY a.lo ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS grp FROM a LEFT JOIN common USING (hi)),
-     gb AS (SELECT b.id, b.lo, count(common.hi) OVER (ORDER BY b.lo ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS grp FROM b LEFT JOIN common USING (hi)),
-     sa AS (SELECT grp, any_value(seg) AS seg, string_agg(id::VARCHAR, ',' ORDER BY lo) AS ids FROM ga GROUP BY grp),
-     sb AS (SELECT grp, string_agg(id::VARCHAR, ',' ORDER BY lo) AS ids FROM gb GROUP BY grp)
-SELECT sa.seg, sa.grp, sa.ids || '|' || sb.ids AS part FROM sa JOIN sb USING (grp);
 """
+#: Each token's group: how many common ends lie before it.
+GROUP_SQL = "SELECT t.seg, t.id, count(common.hi) OVER (ORDER BY t.lo ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS grp FROM {} t LEFT JOIN common USING (hi) ORDER BY t.lo"
 
 
-def _intervals(ids: np.ndarray, counts: np.ndarray, sizes: np.ndarray) -> pa.Table:
-    """The tokens of all segments on one axis of bytes."""
+def _intervals(first: int, ids: np.ndarray, counts: np.ndarray, sizes: np.ndarray) -> pa.Table:
+    """The tokens of segments, numbered from ``first`` on, on one axis of bytes."""
     hi = np.cumsum(sizes[ids])
-    return pa.table({"seg": np.repeat(np.arange(len(counts), dtype=np.int32), counts), "id": ids, "lo": hi - sizes[ids], "hi": hi})
+    return pa.table({"seg": np.repeat(np.arange(first, first + len(counts), dtype=np.int32), counts), "id": ids, "lo": hi - sizes[ids], "hi": hi})
 
 
-def _align(tables: list[pa.Table]) -> tuple[pa.Table, pa.Table]:
-    """(seg, n_groups, groups) and (seg, a, b), a row per link, both by segment."""
+def _joined(texts: pa.Array, of: np.ndarray, by: str) -> tuple[pa.Array, np.ndarray]:
+    """Runs of texts of the same number joined, and where each run begins."""
+    at = np.flatnonzero(np.diff(of, prepend=-1))
+    return pc.binary_join(pa.LargeListArray.from_arrays(pa.array(np.append(at, len(of)).astype(np.int64)), texts), by), at
+
+
+def _spelt_groups(first: pa.Table, second: pa.Table) -> pa.Table:
+    """(seg, n_groups, groups): ids of both sides by group, groups by segment."""
+    sides = [_joined(pc.cast(t.column("id").combine_chunks(), pa.string()), t.column("grp").to_numpy(), ",") for t in (first, second)]
+    seg = first.column("seg").to_numpy()[sides[0][1]]
+    groups, at = _joined(pc.binary_join_element_wise(sides[0][0], sides[1][0], "|"), seg, ";")
+    return pa.table({"seg": seg[at], "n_groups": np.diff(np.append(at, len(seg))), "groups": groups})
+
+
+def _align(kept: list, sizes: list[np.ndarray], step: int = SEGMENTS_AT_ONCE) -> tuple[pa.Table, pa.Table]:
+    """(seg, n_groups, groups) and (seg, a, b), a row per link, both by segment; ``step`` segments at a time, so DuckDB's tables stay small."""
     import duckdb
 
-    con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
+    con, groups, links = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""}), [], []
+    ends = [np.append(0, np.cumsum(counts)) for _, counts in kept]
     try:
-        con.register("a", tables[0])
-        con.register("b", tables[1])
-        con.execute(ALIGN_SQL)
-        groups = con.sql("SELECT seg, count(*) AS n_groups, string_agg(part, ';' ORDER BY grp) AS groups FROM parts GROUP BY seg ORDER BY seg").to_arrow_table()
-        return groups, con.sql("SELECT seg, a, b FROM link ORDER BY seg").to_arrow_table()
+        for start in range(0, max(1, len(kept[0][1])), step):
+            for name, (ids, counts), end, size in zip("ab", kept, ends, sizes, strict=True):
+                some = counts[start : start + step]
+                con.register(name, _intervals(start, ids[end[start] : end[start + len(some)]], some, size))
+            con.execute(ALIGN_SQL)
+            groups.append(_spelt_groups(*(con.sql(GROUP_SQL.format(name)).to_arrow_table() for name in "ab")))
+            links.append(con.sql("SELECT seg, a, b FROM link ORDER BY seg").to_arrow_table())
     finally:
         con.close()
+    return pa.concat_tables(groups), pa.concat_tables(links)
 
 
 class _Block:
@@ -192,7 +207,7 @@ def _rows(number: int, block: _Block, tokens: _Tokens):
     encoded = tokens.encode(segments)
     good = np.logical_and(*(tokens.spells(k, *encoded[k], segments) for k in (0, 1)))
     kept = [(ids[np.repeat(good, counts)], np.where(good, counts, 0)) for ids, counts in encoded]
-    groups, links = _align([_intervals(ids, counts, tokens.sizes[k]) for k, (ids, counts) in enumerate(kept)])
+    groups, links = _align(kept, tokens.sizes)
     n_groups, spelt = np.zeros(len(segments), np.int64), [""] * len(segments)
     at = groups.column("seg").to_numpy()
     n_groups[at] = groups.column("n_groups").to_numpy()
