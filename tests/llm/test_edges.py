@@ -472,3 +472,20 @@ def test_stages(spark, sf, tmp_path):
     nothing = spark.createDataFrame([], more.schema)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, nothing, sf).count() == 0
+
+
+def test_license_words_fold_ascii_letters_only(spark):
+    """Letters that Unicode lowers to ASCII ones (the Kelvin sign, the dotted I) make other words, in every indexed word, and lose no place beside them."""
+    idf = dict.fromkeys(license_scan._vocabulary(license_scan.TEMPLATES, license_scan.BASE), 1.0)
+    passages = [license_scan._passage(p, [p], label) for p, label in license_scan.BASE] + [license_scan._passage(*t) for t in license_scan.TEMPLATES]
+    odd = {letter: other for letter, other in (("k", "\u212a"), ("i", "\u0130"), ("s", "\u017f"))}
+    words = [w.replace(a, b) for w in {*license_scan._vocabulary(license_scan.TEMPLATES, license_scan.BASE), *license_scan._index(passages, idf)} for a, b in odd.items() if a in w]
+    docs = [(i, f"MIT License of any {w} under {w.upper()}") for i, w in enumerate(words)] + [(-1, " ".join(words) + " apache\u0130 apache license"), (-2, "m\u0130t license m\u0131t license gnu general public l\u0130cense")]
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", docs)
+    want = con.sql(license_scan.oracle_sql())
+    got = license_scan.license_scan(spark.createDataFrame(docs, "doc_id long, text string")).select(*want.columns)
+    rows = {r["doc_id"]: r for r in got.collect()}
+    assert sorted(map(str, (tuple(r) for r in rows.values()))) == sorted(map(str, want.fetchall()))
+    assert all(rows[i]["n_base"] == 1 for i in range(len(words))) and rows[-2]["n_base"] == 0 and rows[-1]["base_labels"] == "apache"
