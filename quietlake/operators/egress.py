@@ -6,14 +6,13 @@ import json
 import math
 
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import is_pii_column
 from ..functions.text import admitted, egress_forms, haystacks
-
-MAX_BROADCAST_FORMS = 500_000
+from ..storage import written
+from .occurrence import occurring
 
 
 def protected_forms(values: DataFrame, column: str = "value") -> DataFrame:
@@ -32,37 +31,14 @@ def taint(df: DataFrame, is_pii=is_pii_column) -> DataFrame:
     return protected_forms(values)
 
 
-def _search(forms):
-    def run(batches):
-        import ahocorasick
-
-        automaton = ahocorasick.Automaton()
-        for number, form in enumerate(forms.value):
-            automaton.add_word(form, number)
-        automaton.make_automaton()
-        for batch in batches:
-            hits = [{number for view in views or () if view for _, number in automaton.iter(view)} if len(automaton) else set() for views in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sorted(h) for h in hits], pa.list_(pa.int64()))], names=["key", "forms"])
-
-    return run
-
-
-def contained(texts: DataFrame, forms: DataFrame, key: str, text: str, limit: int = MAX_BROADCAST_FORMS) -> DataFrame:
+def contained(texts: DataFrame, forms: DataFrame, key: str, text: str, bits: int | None = None) -> DataFrame:
     """(key, hits): how many protected forms each text contains in any view; texts without any are left out.
 
-    Forms go to the executors in slices of at most ``limit``; each slice is one pass over
-    the texts, whose hits are summed, so memory is bounded however many forms there are.
+    One pass over the texts, however many forms there are; see ``occurring``.
     """
-    spark = texts.sparkSession
-    views = texts.select(F.col(key).cast("string").alias("key"), haystacks(F.col(text)).alias("views"))
-    slices = max(1, -(-forms.count() // limit))
-    found = None
-    for i in range(slices):
-        part = forms.filter(F.pmod(F.xxhash64("form"), F.lit(slices)) == i) if slices > 1 else forms
-        shared = spark.sparkContext.broadcast([r["form"] for r in part.toLocalIterator()])
-        hits = views.mapInArrow(_search(shared), "key string, forms array<bigint>").select("key", F.size("forms").alias("hits"))
-        found = hits if found is None else found.unionAll(hits)
-    return found.groupBy("key").agg(F.sum("hits").alias("hits")).filter("hits > 0")
+    views = texts.select(F.col(key).cast("string").alias("key"), F.array_distinct(haystacks(F.col(text))).alias("views"))
+    forms = written(forms.select("form").distinct(), "forms")
+    return occurring(views, forms, bits).groupBy("key").agg(F.count(F.lit(1)).alias("hits"))
 
 
 def text_hits(spark, text: str, forms: DataFrame) -> int:

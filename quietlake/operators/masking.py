@@ -8,18 +8,19 @@ get tokens in order of first appearance, and texts take them by a join.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
-from itertools import islice
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.pii_rules import find_spans, replace, resolve
 from ..functions.pseudonyms import hmac_sha256
 from ..functions.text import light, strip, value_forms
 from ..storage import lookup, written
 from .numbering import numbered
+from .occurrence import occurring
 
 # Kinds by the dictionary's fields, sites by how they are masked, callers that may unmask, tokens.
 KINDS = {"names": "NAME", "emails": "EMAIL", "phones": "PHONE", "ids": "ID"}
@@ -31,7 +32,7 @@ TOKEN = r"\[(?:P\d+_[A-Z_]+|[A-Z_]+_\d+)\]"
 _NO_KEY = r"(?!(?:[^\"\\]++|\\.)*+\"\s*:)"
 DICTIONARY_SCHEMA = "generated string, persons array<struct<id:string,names:array<string>,emails:array<string>,phones:array<string>,ids:array<string>>>"
 VAULT_SCHEMA = "mac string, token string, kind string, value_enc binary, ord bigint"
-#: How many forms one broadcast holds; longer dictionaries are applied slice by slice.
+#: How many forms a broadcast holds; larger dictionaries are joined.
 SLICE = 200_000
 
 
@@ -106,32 +107,84 @@ def apply_dictionary(texts: DataFrame, entries: DataFrame, vault: DataFrame | No
     """``texts`` (key, text) with known values replaced, and ``hits`` by kind.
 
     Tokens are the persons', or those under which the vault already has a value. Forms are
-    applied longest first, in slices of ``limit``, each of which is broadcast.
+    applied longest first, equal lengths by spelling, each to what those before it have left.
+    A dictionary of at most ``limit`` forms is broadcast. A larger one stays a table: each
+    text gets the forms that may count in it by joins, and applies these only.
     """
-    spark = texts.sparkSession
-    token = F.format_string("[%s_%s]", "person", "kind")
-    known = entries.withColumn("token", token)
+    known = entries.withColumn("token", F.format_string("[%s_%s]", "person", "kind"))
     if vault is not None:
         known = known.withColumn("mac", _mac(F.col("form"), key)).join(vault.select("mac", F.col("token").alias("old")), "mac", "left").withColumn("token", F.coalesce("old", "token"))
-    known = known.select("form", "kind", "token", F.length("form").alias("size"))
-    out = texts.withColumn("hits", F.array().cast("array<string>"))
-    # one slice at a time is on the driver
-    rows = ((r["form"], r["kind"], r["token"]) for r in known.orderBy(F.desc("size"), "form").toLocalIterator())
-    while part := list(islice(rows, limit)):
-        shared = spark.sparkContext.broadcast(part)
-        out = out.withColumn("done", _replacer(shared)(F.col("text"))).select("key", F.col("done.text").alias("text"), F.concat("hits", "done.hits").alias("hits"))
-    return out
+    known = written(known.select("form", "kind", "token", F.length("form").alias("size")), "known")
+    if known.limit(limit + 1).count() <= limit:
+        rows = [(r["form"], r["kind"], r["token"]) for r in known.orderBy(F.desc("size"), "form").collect()]
+        shared = texts.sparkSession.sparkContext.broadcast(rows)
+        done = texts.withColumn("done", _replacer(shared)(F.col("text")))
+    else:
+        own = _own_forms(texts, known)
+        done = texts.join(own, texts["key"].cast("string").eqNullSafe(own["of"]), "left").withColumn("done", _own_replacer(F.col("text"), F.col("own")))
+    return done.select("key", F.col("done.text").alias("text"), F.col("done.hits").alias("hits"))
 
 
 def _replacer(shared) -> Callable[[Column], Column]:
     @F.pandas_udf("text string, hits array<string>")
-    def replaced(texts: pd.Series) -> pd.DataFrame:
-        run = _dictionary_replace(shared.value)
-        return pd.DataFrame([run(t) if t else (t, []) for t in texts], columns=["text", "hits"])
+    def replaced(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        run = _dictionary_replace(shared.value)  # once a task
+        for texts in batches:
+            yield pd.DataFrame([run(t) if t else (t, []) for t in texts], columns=["text", "hits"])
 
     return replaced
 
 
+@F.pandas_udf(T.StringType())
+def _low(texts: pd.Series) -> pd.Series:
+    """Lower case as the replacing step sees it."""
+    return texts.str.lower()
+
+
+@F.pandas_udf(T.StringType())
+def _needle(forms: pd.Series) -> pd.Series:
+    """What stands in a text, or in a token that is put into it, wherever the form does: a form with brackets may reach across a token's edge."""
+    return forms.map(lambda f: max(re.split(r"[\[\]]", f), key=len).lower() or f[0])
+
+
+@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("hits", T.ArrayType(T.StringType()))]))
+def _own_replacer(texts: pd.Series, forms: pd.Series) -> pd.DataFrame:
+    def run(text, own):
+        hits: list[str] = []
+        for e in own if text and own is not None else ():
+            if e["form"].lower() in text.lower():
+                text, n = re.subn(re.escape(e["form"]), lambda _m, t=e["token"]: t, text, flags=re.IGNORECASE)
+                hits += [f"DICT_{e['kind']}"] * n
+        return text, hits
+
+    return pd.DataFrame([run(t, own) for t, own in zip(texts, forms, strict=True)], columns=["text", "hits"])
+
+
+def _own_forms(texts: DataFrame, known: DataFrame) -> DataFrame:
+    """(of, own): by each text's key, the forms that can count in it, in order: those that it holds, and those that tokens put into it may hold."""
+    needles = written(known.withColumn("needle", _needle(F.col("form"))), "needles")
+    forms = needles.groupBy("needle").agg(F.collect_list(F.struct((-F.col("size")).alias("less"), "form", "kind", "token")).alias("entries"))  # spellings of one needle
+    forms = written(forms.withColumnRenamed("needle", "form"), "forms")
+    views = lambda key, text: [F.col(key).cast("string").alias("key"), F.array(F.coalesce(_low(F.col(text)), F.lit(""))).alias("views")]
+
+    def held(rows: DataFrame) -> DataFrame:
+        return lookup(occurring(rows, forms), forms, "form").select("key", F.explode("entries").alias("entry"))
+
+    every = fresh = written(held(texts.select(*views("key", "text"))), "own")
+    seen = inside = None
+    while True:
+        tokens = fresh.select(F.col("entry.token").alias("token")).distinct()
+        tokens = written(tokens if seen is None else tokens.join(seen, "token", "left_anti"), "tokens")
+        into = written(held(tokens.select(*views("token", "token"))).select(F.col("key").alias("token"), F.col("entry").alias("more")), "inside")
+        seen, inside = (tokens, into) if seen is None else (seen.unionAll(tokens), inside.unionAll(into))
+        more = fresh.select("key", F.col("entry.token").alias("token")).distinct().join(inside, "token").select("key", F.col("more").alias("entry")).distinct()
+        fresh = written(more.join(every, [more["key"].eqNullSafe(every["key"]), more["entry.form"] == every["entry.form"]], "left_anti"), "own")
+        if fresh.isEmpty():
+            break
+        every = every.unionAll(fresh)
+    return every.distinct().groupBy(F.col("key").alias("of")).agg(F.array_sort(F.collect_list("entry")).alias("own"))  # a text's own forms
+
+
 def number_tokens(values: DataFrame, vault: DataFrame | None) -> DataFrame:
     """Tokens [KIND_n] for new (value, kind, ord), n by kind in order of ``ord``, from the vault's highest number on.
 

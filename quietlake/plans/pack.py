@@ -240,14 +240,23 @@ FOLDED = f"SELECT doc_id, md5(translate(translate('髙﨑ひらがな' || text,
 
 
 def egress_containment(spark, sf_dir):
-    """Documents that contain sentences of benchmark passages as protected values."""
+    """Documents that contain sentences of benchmark passages, as protected values in all their forms."""
     values = table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", r"\.")).alias("value"))
-    forms = values.select(F.lower(F.regexp_replace("value", r"\s+", "")).alias("form")).filter(F.length("form") >= 3).distinct()
-    return egress.contained(table(spark, sf_dir, "documents").withColumn("squeezed", F.lower(F.regexp_replace("text", r"\s+", ""))), forms, "doc_id", "squeezed").select(F.col("key").cast("bigint").alias("doc_id"), F.col("hits").cast("bigint").alias("hits"))
+    found = egress.contained(table(spark, sf_dir, "documents"), egress.protected_forms(values), "doc_id", "text")
+    return found.select(F.col("key").cast("bigint").alias("doc_id"), F.col("hits").cast("bigint").alias("hits"))
 
 
-EGRESS = r"""WITH f AS (SELECT DISTINCT lower(regexp_replace(unnest(string_split(text, '.')), '\s+', '', 'g')) AS form FROM benchmark), d AS (SELECT doc_id, lower(regexp_replace(text, '\s+', '', 'g')) AS t FROM documents)
-SELECT doc_id, count(*) AS hits FROM d JOIN f ON length(form) >= 3 AND contains(t, form) GROUP BY doc_id"""
+def _views(x: str, digits: bool) -> str:
+    """The forms of a text in DuckDB, which has no NFKC; the given texts are in that form already."""
+    kana, squeezed = f"translate({x}, '{text.HIRAGANA}', '{text.KATAKANA}')", lambda v: f"regexp_replace({v}, '\\s+', '', 'g')"
+    plain = [x, f"lower({x})", kana, f"lower({kana})"]
+    return ", ".join([*plain, *map(squeezed, plain if not digits else [x, kana]), f"regexp_replace({x}, '[^0-9]', '', 'g')"])
+
+
+EGRESS = f"""WITH v AS (SELECT trim(unnest(string_split(text, '.')), E' \\t\\n\\r\\f\\v') AS value FROM benchmark),
+f AS (SELECT DISTINCT form FROM (SELECT unnest([{_views("value", False)}]) AS form FROM v) WHERE length(form) >= CASE WHEN regexp_matches(form, '^[0-9]+$') THEN 7 ELSE 3 END),
+d AS (SELECT doc_id, unnest(list_distinct([{_views("text", True)}])) AS view FROM documents)
+SELECT doc_id, count(DISTINCT form) AS hits FROM d JOIN f ON contains(view, form) GROUP BY doc_id"""
 
 
 def dictionary_detect(spark, sf_dir):

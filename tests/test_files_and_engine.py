@@ -1,11 +1,14 @@
 import json
+import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from quietlake.config import Settings
 from quietlake.engine import Engine, main
-from quietlake.operators import content
+from quietlake.operators import content, occurrence
 from quietlake.operators.egress import cap_output, contained, plain, protected_forms
 from quietlake.operators.masking import dictionary_entries
 from quietlake.sources import files, sinks
@@ -75,8 +78,37 @@ def test_containment(spark):
     forms = protected_forms(values)
     assert {"ab", "123456"}.isdisjoint(r["form"] for r in forms.collect())
     texts = spark.createDataFrame([(1, "高橋　美咲です"), (2, "harmless"), (3, "a 0901111 and 2222 b"), (4, ""), (5, None)], "k int, t string")
-    for limit in (1000, 2):
-        assert {r["key"] for r in contained(texts, forms, "k", "t", limit).collect()} == {"1", "3"}
+    for bits in (None, 8, 1 << 15):  # filters that let everything pass change nothing
+        assert {r["key"] for r in contained(texts, forms, "k", "t", bits).collect()} == {"1", "3"}
+    assert contained(texts, forms.limit(0), "k", "t").count() == 0 and contained(texts.limit(0), forms, "k", "t").count() == 0
+
+
+def test_occurrences_against_a_search(spark, monkeypatch):
+    """Every form of every length, at the edges of steps too, and once however often it stands there."""
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choices("abé日\U0001f600 ", k=n))
+    texts = [(str(i), word(rng.choice([0, 3, 40, 200, 700]))) for i in range(60)]
+    forms = {t[a : a + n] for _, t in texts for n in (1, 2, 3, 7, 8, 9, 15, 16, 17, 31, 32, 33, 90) for a in rng.sample(range(max(1, len(t))), min(2, max(1, len(t))))} - {""}
+    forms |= {word(n) for n in range(1, 60)}
+    want = {(k, f) for k, t in texts for f in forms if f in t}
+    frame = spark.createDataFrame([(k, [t, t[:50]]) for k, t in texts], "key string, views array<string>")
+    got = occurrence.occurring(frame, spark.createDataFrame([(f,) for f in forms], "form string"))
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    # the same in one process with steps that are shorter than the forms, and filters that hold what they have to and little more
+    monkeypatch.setattr(occurrence, "STEP", 64)
+    filters = [np.zeros(1 << 16, np.uint8) for _ in range(2)]
+    for batch in occurrence._form_slots(1 << 19)([pa.RecordBatch.from_pydict({"form": sorted(forms)})]):
+        for which, slot in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            filters[which][slot >> 3] |= 1 << (slot & 7)
+    shared = type("Shared", (), {"value": (*filters, sorted({len(f) for f in forms}))})
+    found = {r for b in occurrence._candidates(shared)([pa.RecordBatch.from_pydict({"key": [k for k, _ in texts], "views": [[t] for _, t in texts]})]) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)}
+    assert want <= found and len(found) < 1.2 * len(want)
+
+
+def test_containment_of_forms_that_share_their_beginning(spark):
+    forms = spark.range(20_000).select(F.format_string("Supplier#%09d", "id").alias("form"))
+    texts = spark.createDataFrame([(1, "from Supplier#000000007 and Supplier#000019999, Supplier#000000007"), (2, "Supplier#000020000"), (3, None)], "k int, t string")
+    assert {r["key"]: r["hits"] for r in contained(texts, forms, "k", "t").collect()} == {"1": 2}
 
 
 def test_blocks(spark):

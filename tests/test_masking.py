@@ -1,3 +1,4 @@
+import random
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,7 +85,7 @@ def test_overlaps_and_tokens_inside(spark):
 def test_longest_form_first_even_into_tokens(spark):
     entries = spark.createDataFrame([("abcdef", "P1", "NAME"), ("abc", "P2", "NAME"), ("NAME", "P3", "ID")], "form string, person string, kind string")
     df = spark.createDataFrame([(0, "ABCDEF abc")], "key int, text string")
-    for limit in (100, 1):
+    for limit in (100, 0):
         assert apply_dictionary(df, entries, limit=limit).first()["text"] == "[P1_[P3_ID]] [P2_NAME]"
 
 
@@ -139,22 +140,41 @@ def test_blobs(spark):
     assert tuple(row) == (1, "x [ENCODED_BLOB_WITHHELD] y", 0)
 
 
-def test_driver_holds_one_slice_of_a_dictionary(spark, monkeypatch):
+def test_large_dictionaries_are_nowhere_as_a_whole(spark, monkeypatch):
     entries = spark.range(1000).selectExpr("format_string('Supplier#%09d', id) as form", "concat('P', id) as person", "'NAME' as kind")
-    df = spark.createDataFrame([(1, "Supplier#000000007 Supplier#000000993")], "key int, text string")
-    pulled, sizes, whole = [0], [], type(df).toLocalIterator
-    put = spark.sparkContext.broadcast
-
-    def counted(self, *args, **options):
-        for row in whole(self, *args, **options):
-            pulled[0] += 1
-            yield row
+    df = spark.createDataFrame([(1, "Supplier#000000007 Supplier#000000993"), (None, "supplier#000000008"), (3, None), (4, "")], "key int, text string")
+    shared, put, plans = [], spark.sparkContext.broadcast, []
 
     def broadcast(value):
-        sizes.append(len(value))
-        assert pulled[0] == sum(sizes)
+        shared.append(value)
         return put(value)
 
-    monkeypatch.setattr(type(df), "toLocalIterator", counted)
     monkeypatch.setattr(spark.sparkContext, "broadcast", broadcast)
-    assert apply_dictionary(df, entries, limit=300).first()["text"] == "[P7_NAME] [P993_NAME]" and sizes == [300, 300, 300, 100]
+    done = apply_dictionary(df, entries, limit=300)
+    plans.append(done._jdf.queryExecution().executedPlan().toString())
+    assert {r["key"]: (r["text"], r["hits"]) for r in done.collect()} == {1: ("[P7_NAME] [P993_NAME]", ["DICT_NAME"] * 2), None: ("[P8_NAME]", ["DICT_NAME"]), 3: (None, []), 4: ("", [])}
+    assert shared and all(len(v) == 3 and "Supplier" not in str(v) for v in shared)  # two filters and the forms' lengths
+
+
+def test_joined_dictionary_is_the_sequential_rule(spark):
+    """On real turns, with forms that overlap, differ by case, hold brackets, or stand inside of tokens."""
+    turns = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").selectExpr("concat(conv_id, '/', turn) as key", "text").limit(150).persist()
+    rng = random.Random(9)
+    words = sorted({w for r in turns.collect() for w in (r["text"] or "").split() if len(w) > 2})
+    texts = [r["text"] for r in turns.collect() if r["text"]]
+    forms = {*rng.sample(words, 40), *(t[a : a + rng.choice([3, 5, 9, 14])] for t in rng.sample(texts, 30) for a in (rng.randint(0, 20),)), *(w.upper() for w in rng.sample(words, 10))}
+    forms |= {"NAME", "P1", "p2_name", "_ID]", "[P3", "] the", "E] ", "[P", "ME][", "]", "P4_EMAIL] and", "[[", "ſ", "İ", "no one"}
+    entries = spark.createDataFrame([(f, f"P{i % 9}", ["NAME", "ID", "EMAIL"][i % 3]) for i, f in enumerate(sorted(forms - {""}))], "form string, person string, kind string")
+    more = spark.createDataFrame([("a", "ſ İ K NAME [P3 the"), ("b", "p2_NAME] the [[P1")], "key string, text string")
+    for rows in (turns.unionByName(more),):
+        want = {r["key"]: (r["text"], sorted(r["hits"])) for r in apply_dictionary(rows, entries).collect()}
+        got = {r["key"]: (r["text"], sorted(r["hits"])) for r in apply_dictionary(rows, entries, limit=0).collect()}
+        assert got == want and sum(bool(h) for _, h in want.values()) > 60
+
+
+def test_values_of_the_vault_keep_their_tokens_in_joined_dictionaries(spark):
+    entries = spark.createDataFrame([("alpha", "P1", "NAME"), ("beta", "P2", "NAME")], "form string, person string, kind string")
+    vault = person_rows(spark.createDataFrame([("alpha", "P77", "NAME")], "form string, person string, kind string"), KEY)
+    df = spark.createDataFrame([(1, "alpha beta")], "key int, text string")
+    for limit in (0, 100):
+        assert apply_dictionary(df, entries, vault, KEY, limit=limit).first()["text"] == "[P77_NAME] [P2_NAME]"
