@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +18,9 @@ from ..operators.profile import profile
 from ..operators.suppress import suppress_small_cells
 from ..session import ship
 from ..sources import files as source_files
-from ..storage import spread
+from ..sources import sinks
+from ..storage import shared_dir, spread
+from ..streaming import incremental
 
 #: A key for tests and benchmarks; real ones come from a key file.
 KEY = b"0123456789abcdef" * 4
@@ -62,7 +66,7 @@ SQL = {
     "set_except": "select n_nationkey as nationkey from nation except select s_nationkey from supplier where s_acctbal > 9000",
     "set_intersect_all": "select k, count(1) as c from (select l_linenumber as k from lineitem where l_quantity < 3 intersect all select l_linenumber from lineitem where l_quantity > 48) q group by k",
     "topk_orders": "select o_orderkey as orderkey, o_custkey as custkey from orders order by o_totalprice desc, o_orderkey limit 25",
-    "cte_recursive": "with recursive t(x) as (select 1 union all select x + 1 from t where x < 40) select count(1) as c, cast(sum(x) as bigint) as s from t",
+    "cte_recursive": "with recursive t(k, x) as (select n_nationkey, 0 from nation union all select k, x + 1 from t where x < k) select k as nationkey, count(1) as c, cast(sum(x) as bigint) as s from t group by k",
     "subquery_scalar": "select c_custkey as custkey from customer where c_acctbal > (select avg(s_acctbal) from supplier)",
     "scalar_strings": "select p_partkey as partkey, upper(p_brand) as brand, cast(length(p_name) as bigint) as size_of, substr(p_type, 1, 5) as kind, replace(p_name, ' ', '_') as slug from part",
     "scalar_dates": "select o_orderkey as orderkey, cast(extract(year from o_orderdate) as bigint) as y, cast(extract(month from o_orderdate) as bigint) as m, cast(date_trunc('week', o_orderdate) as date) as week from orders",
@@ -147,11 +151,11 @@ def year_coarsen_orders(spark, sf_dir):
 
 
 def file_ids(spark, sf_dir):
-    names = ship(spark).createDataFrame([(f"{t}.parquet",) for t in TABLES], "name string")
+    names = table(spark, sf_dir, "documents").select(F.concat("source", F.lit("_"), "lang", F.lit(".csv")).alias("name")).distinct()
     return names.select("name", F.substring(F.sha1("name"), 1, 8).alias("file_id"))
 
 
-FILE_IDS = "SELECT name, substr(sha1(name), 1, 8) AS file_id FROM (VALUES " + ", ".join(f"('{t}.parquet')" for t in TABLES) + ") v(name)"
+FILE_IDS = "SELECT DISTINCT source || '_' || lang || '.csv' AS name, substr(sha1(source || '_' || lang || '.csv'), 1, 8) AS file_id FROM documents"
 
 
 def profile_customer(spark, sf_dir):
@@ -260,29 +264,33 @@ SELECT doc_id, count(DISTINCT form) AS hits FROM d JOIN f ON contains(view, form
 
 
 def dictionary_detect(spark, sf_dir):
-    """Supplier names in the comments of a ledger, found through the dictionary."""
-    persons = masking.build_dictionary(table(spark, sf_dir, "supplier"), "s_suppkey", "s_suppkey", names=["s_name"])
-    entries = masking.dictionary_entries(persons).filter("kind = 'NAME'")
-    ledger = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("c")).join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select(F.col("l_suppkey").alias("key"), F.concat(F.lit("delivered by "), F.col("s_name"), F.lit(" on time")).alias("text"))
-    done = masking.apply_dictionary(ledger, entries)
-    return done.select(F.col("key").alias("suppkey"), "text", F.size("hits").cast("bigint").alias("hits"))
+    """Documents that name any of the persons that passages begin with: the first three words of each, in any form."""
+    named = table(spark, sf_dir, "benchmark").select("item_id", F.array_join(F.slice(F.split("text", r"\s+"), 1, 3), " ").alias("name"))
+    entries = masking.dictionary_entries(masking.build_dictionary(named, "item_id", "item_id", names=["name"]).withColumn("ids", F.array().cast("array<string>")))
+    done = masking.apply_dictionary(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), text.light(F.col("text")).alias("text")), entries)
+    return done.select(F.col("key").alias("doc_id"), (F.size("hits") > 0).alias("named"))
 
 
-DICTIONARY = "SELECT DISTINCT s_suppkey AS suppkey, 'delivered by [P' || p || '_NAME] on time' AS text, 1::BIGINT AS hits FROM (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) AS p FROM supplier) JOIN lineitem ON l_suppkey = s_suppkey"
+DICTIONARY = r"""WITH n AS (SELECT array_to_string(list_slice(regexp_split_to_array(text, '\s+'), 1, 3), ' ') AS name FROM benchmark),
+f AS (SELECT DISTINCT lower(unnest([name, regexp_replace(name, '\s+', '', 'g')])) AS form FROM n),
+k AS (SELECT form FROM f WHERE length(CASE WHEN regexp_matches(form, '^[a-z][a-z .''-]+$') THEN replace(form, ' ', '') ELSE form END) >= CASE WHEN regexp_matches(form, '^[a-z][a-z .''-]+$') THEN 5 ELSE 3 END)
+SELECT doc_id, bool_or(form IS NOT NULL) AS named FROM documents LEFT JOIN k ON contains(lower(text), form) GROUP BY doc_id"""
 
-_DOORS = [("prompt", "user", None), ("append", "tool", "Bash"), ("append", "tool", "Read"), ("append", "tool", "mcp__safe__x"), ("note", "user", None), ("compaction", "user", None), ("append", "tool", "Web"), ("attachment", "x", "Read")]
+#: Where a turn might have come from, by its numbers.
+_DOOR = "case (conv_id + turn) % 7 when 0 then 'prompt' when 1 then 'append' when 2 then 'note' when 3 then 'compaction' when 4 then 'attachment' when 5 then 'delivery' else 'hook-context' end"
+_TOOL = "case conv_id % 6 when 0 then 'Bash' when 1 then 'Read' when 2 then 'mcp__safe__x' when 3 then 'Web' when 4 then 'Grep' end"
+_ORIGIN = [f"{_DOOR} as door", "case when turn % 3 = 1 then 'tool' else role end as kind", f"{_TOOL} as tool"]
 
 
 def site_routing(spark, sf_dir):
-    rows = ship(spark).createDataFrame(_DOORS, "door string, kind string, tool string")
-    return rows.select("door", "kind", "tool", content.site_of(F.col("door"), F.col("kind"), F.col("tool"), ["mcp__safe"], "code").alias("site"))
+    """How strictly each turn would be masked."""
+    rows = table(spark, sf_dir, "conversations").selectExpr("conv_id", "turn", *_ORIGIN)
+    return rows.select("conv_id", "turn", content.site_of(F.col("door"), F.col("kind"), F.col("tool"), ["mcp__safe"], "code").alias("site"))
 
 
 SITE_ROUTING = (
-    "SELECT door, kind, tool, CASE WHEN kind = 'tool' THEN CASE WHEN starts_with(tool, 'mcp__safe') THEN 'safe' WHEN tool IN ('Read','Edit','Write','MultiEdit','NotebookEdit','Grep','Glob','LS') THEN 'code' WHEN tool = 'Bash' THEN 'code' ELSE 'data' END "
-    "WHEN door IN ('prompt','command','delivery') THEN 'prompt' WHEN door IN ('attachment','hook-context','note') THEN 'attachment' ELSE 'data' END AS site FROM (VALUES "
-    + ", ".join(f"('{d}', '{k}', {'NULL' if t is None else repr(t)})" for d, k, t in _DOORS)
-    + ") v(door, kind, tool)"
+    "SELECT conv_id, turn, CASE WHEN kind = 'tool' THEN CASE WHEN starts_with(tool, 'mcp__safe') THEN 'safe' WHEN tool IN ('Read','Edit','Write','MultiEdit','NotebookEdit','Grep','Glob','LS') THEN 'code' WHEN tool = 'Bash' THEN 'code' ELSE 'data' END "
+    f"WHEN door IN ('prompt','command','delivery') THEN 'prompt' WHEN door IN ('attachment','hook-context','note') THEN 'attachment' ELSE 'data' END AS site FROM (SELECT conv_id, turn, {', '.join(_ORIGIN)} FROM conversations)"
 )
 
 
@@ -378,51 +386,198 @@ def argument_checks(spark, sf_dir):
     return verdicts.select(F.col("key").alias("turn_id"), "deny", F.array_join("kinds", ",").alias("kinds"))
 
 
-def _values(rows: list[tuple], names: str) -> str:
-    """Rows as SQL, which every engine spells alike."""
-    word = lambda v: "NULL" if v is None else str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
-    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(word, r)) + ')' for r in rows)}) v({names})"
+# ------------------------------------------------------------- cases over given tables: one text for both engines
 
 
-#: Texts with what the rules must find in them, by reading the rules: kinds with their numbers of hits.
-RULE_CASES = [
-    (1, "生年月日 1990年1月2日", "DOB:1"), (2, "日付 2024-01-02", ""), (3, "昭和50年3月4日生まれ、生年月日は 1975/3/4", "DOB:2"), (4, "電話 03-1234-5678", "PHONE:1"), (5, "090-1111-2222 と 0120-444-444", "PHONE:2"),
-    (6, "+81 90-1234-5678", "PHONE:1"), (7, "〒105-0011", "ZIP:1"), (8, "住所 105-0011", "ZIP:1"), (9, "番号 105-0011", ""), (10, "マイナンバー 1234 5678 9012", "MYNUMBER:1"), (11, "aws account 123456789012 個人番号", ""),
-    (12, "東京都港区芝公園四丁目2番8号", "ADDRESS:1"), (13, "x@corp.co.jp y@example.com z@a.test w@b.invalid", "EMAIL:1"), (14, "", ""), (15, None, ""), (16, "03-1234-567", ""), (17, "０３－１２３４－５６７８", "PHONE:1"),
-    (18, "患者 PT-123456 と PT-12345", "PATIENT_ID:1"), (19, "個人番号 1234-5678-9012 生まれ 平成2年1月3日", "DOB:1,MYNUMBER:1"), (20, "[P1_NAME] [EMAIL_3]", ""),
-]
+def _digits(n: str, width: int, times: int) -> str:
+    """Digits that depend on a row's number."""
+    return f"lpad(cast(({n} * {times} + 17) % {10**width} as string), {width}, '0')"
 
 
-def rule_cases(spark, sf_dir):
-    texts = ship(spark).createDataFrame([r[:2] for r in RULE_CASES], "case_id int, text string")
-    masked, _ = masking.mask(texts, "case_id", "text", key=KEY, patient_id=r"PT-\d{6}(?!\d)")
-    return masked.select(F.col("key").alias("case_id"), F.array_join(F.array_sort(F.transform(F.map_entries("hits"), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string")))), ",").alias("kinds"))
+#: (before, value, after, kind) of the texts that rows of customer make, in turn; without a kind the value isn't personal there.
+_FOUR = [_digits("k", 4, t) for t in (7919, 104_729, 1_299_709)]
+_DATE = "cast(k % 12 + 1 as string) || '月' || cast(k % 28 + 1 as string) || '日'"
+RULE_TEXTS = [
+    ("'電話 '", f"'03-' || {_FOUR[0]} || '-' || {_FOUR[1]}", "' まで'", "PHONE"),
+    ("''", f"'〒' || {_digits('k', 3, 31)} || '-' || {_FOUR[0]}", "' 様'", "ZIP"),
+    ("'番号 '", f"{_digits('k', 3, 31)} || '-' || {_FOUR[0]}", "''", None),
+    ("'住所 '", f"{_digits('k', 3, 31)} || '-' || {_FOUR[0]}", "' の方'", "ZIP"),
+    ("'マイナンバー '", f"'1' || {_digits('k', 3, 7)} || ' ' || {_FOUR[1]} || ' ' || {_FOUR[2]}", "''", "MYNUMBER"),
+    ("'識別 '", f"'1' || {_digits('k', 3, 7)} || ' ' || {_FOUR[1]} || ' ' || {_FOUR[2]}", "''", None),
+    ("'aws account '", f"'1' || {_digits('k', 3, 7)} || {_FOUR[1]} || {_FOUR[2]}", "' 個人番号'", None),
+    ("'生年月日 '", f"'19' || {_digits('k', 2, 3)} || '年' || {_DATE}", "''", "DOB"),
+    ("'締切 '", f"'19' || {_digits('k', 2, 3)} || '年' || {_DATE}", "''", None),
+    ("'生まれは '", f"'昭和' || cast(k % 63 + 1 as string) || '年' || {_DATE}", "' です'", "DOB"),
+    ("'患者 '", f"'PT-' || {_digits('k', 6, 7919)}", "' と PT-12345'", "PATIENT_ID"),
+    ("''", "'東京都港区芝公園' || cast(k % 9 + 1 as string) || '丁目' || cast(k % 30 + 1 as string) || '番' || cast(k % 20 + 1 as string) || '号'", "''", "ADDRESS"),
+    ("'to '", "'x' || cast(k % 40 as string) || '@corp.co.jp'", "', y@example.com, z@a.test, w@b.invalid'", "EMAIL"),
+    ("'[P1_NAME] '", "'[EMAIL_' || cast(k as string) || ']'", "''", None),
+    ("'call '", f"'０９０－' || translate({_FOUR[0]} || '－' || {_FOUR[1]}, '0123456789', '０１２３４５６７８９')", "''", "PHONE"),
+    ("''", "''", "''", None),
+]
+
 
+def _case(part: int) -> str:
+    return f"case k % {len(RULE_TEXTS)} " + " ".join(f"when {i} then {repr(r[part]) if part == 3 and r[part] else r[part] or 'null'}" for i, r in enumerate(RULE_TEXTS)) + " end"
 
-_PERSONS = "id string, names array<string>, emails array<string>, phones array<string>, ids array<string>"
-VAULT_FIRST = [(1, "mail a@b.co.jp and c@d.co.jp", "mail [EMAIL_1] and [EMAIL_2]"), (2, "again a@b.co.jp, tel 03-1234-5678", "again [EMAIL_1], tel [PHONE_1]"), (3, "髙橋 美咲 x", "[P1_NAME] x")]
-VAULT_LATER = [(4, "c@d.co.jp e@f.co.jp a@b.co.jp", "[EMAIL_2] [EMAIL_3] [EMAIL_1]"), (5, "tel 03-1234-5678, 03-8765-4321", "tel [PHONE_1], [PHONE_2]"), (6, "タカハシミサキ、高橋美咲", "[P1_NAME]、[P1_NAME]"), (7, None, None)]
 
+_NARROW = "translate({}, '０１２３４５６７８９－', '0123456789-')"
 
-def vault_cases(spark, sf_dir):
-    """Texts masked in two runs, the second with the first one's vault; and both mapped back."""
-    persons = masking.dictionary_entries(ship(spark).createDataFrame([("P1", ["高橋 美咲", "たかはし みさき"], [], [], [])], _PERSONS))
-    first, vault = masking.mask(spark.createDataFrame([r[:2] for r in VAULT_FIRST], "k int, t string"), "k", "t", persons, key=KEY)
-    later, more = masking.mask(spark.createDataFrame([r[:2] for r in VAULT_LATER], "k int, t string"), "k", "t", persons, key=KEY, vault=vault)
+
+def rule_cases(spark, sf_dir):
+    """A text for each customer, of sixteen kinds that the rules tell apart, masked."""
+    rows = table(spark, sf_dir, "customer").selectExpr("c_custkey as k").selectExpr("k", f"{_case(0)} || {_case(1)} || {_case(2)} as t")
+    masked, _ = masking.mask(rows, "k", "t", key=KEY, patient_id=r"PT-\d{6}(?!\d)")
+    kinds = F.array_join(F.array_sort(F.transform(F.map_entries("hits"), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string")))), ",")
+    return masked.select(F.col("key").alias("custkey"), "text", kinds.alias("kinds"))
+
+
+RULE_CASES = f"""WITH r AS (SELECT k, {_case(0)} AS before, {_NARROW.format(_case(1))} AS value, {_case(2)} AS after, {_case(3)} AS kind FROM (SELECT c_custkey AS k FROM customer)),
+n AS (SELECT value, kind, row_number() OVER (PARTITION BY kind ORDER BY min(k)) AS n FROM r WHERE kind IS NOT NULL GROUP BY value, kind)
+SELECT k AS custkey, before || CASE WHEN r.kind IS NULL THEN r.value ELSE '[' || r.kind || '_' || n || ']' END || after AS text, coalesce(r.kind || ':1', '') AS kinds FROM r LEFT JOIN n ON r.value = n.value AND r.kind = n.kind"""
+
+#: Texts of a first run (even customers) and of a second one (odd customers), which knows the first one's vault.
+_RUNS = ["'mail u' || cast(k % 50 as string) || '@corp.co.jp'", "'again u' || cast(k % 90 as string) || '@corp.co.jp, ' || s_name"]
+
+
+def vault_runs(spark, sf_dir):
+    """Two runs over customers, the second with the first one's vault and with suppliers as known persons; both mapped back."""
+    c, suppliers = table(spark, sf_dir, "customer").selectExpr("c_custkey as k", "c_nationkey"), table(spark, sf_dir, "supplier")
+    named = c.join(suppliers.groupBy("s_nationkey").agg(F.min("s_name").alias("s_name")), F.col("c_nationkey") == F.col("s_nationkey"))
+    persons = masking.dictionary_entries(masking.build_dictionary(suppliers, "s_suppkey", "s_suppkey", names=["s_name"])).filter("kind = 'NAME'")
+    runs = [named.filter(f"k % 2 = {i}").selectExpr("k", f"{text} as t") for i, text in enumerate(_RUNS)]
+    first, vault = masking.mask(runs[0], "k", "t", persons, key=KEY)
+    vault = vault.unionByName(masking.person_rows(persons.filter("form like 'Supplier%'"), KEY))  # the spelling to map back to
+    later, more = masking.mask(runs[1], "k", "t", persons, key=KEY, vault=vault)
     both = first.unionByName(later).select("key", "text")
     back = masking.unmask(both, "key", "text", vault.unionByName(more), KEY).select("key", F.col("text").alias("again"))
-    return both.join(back, "key").select(F.col("key").alias("case_id"), "text", "again")
+    return both.join(back, "key").select(F.col("key").alias("custkey"), "text", "again")
 
 
-VAULT_CASES = _values([(k, text, raw if raw is None or "P1_NAME" not in text else text) for k, raw, text in VAULT_FIRST + VAULT_LATER], "case_id, text, again")
+VAULT_RUNS = """WITH s AS (SELECT s_nationkey, min(s_name) AS s_name FROM supplier GROUP BY s_nationkey),
+p AS (SELECT s_name, 'P' || row_number() OVER (ORDER BY s_suppkey) AS person FROM supplier),
+r AS (SELECT c_custkey AS k, c_custkey % 2 AS run, 'u' || CASE WHEN c_custkey % 2 = 0 THEN c_custkey % 50 ELSE c_custkey % 90 END || '@corp.co.jp' AS value, s_name, person FROM customer JOIN s ON c_nationkey = s_nationkey JOIN p USING (s_name)),
+n AS (SELECT value, row_number() OVER (ORDER BY min(run * 1000000000000 + k)) AS n FROM r GROUP BY value)
+SELECT k AS custkey, CASE run WHEN 0 THEN 'mail [EMAIL_' || n || ']' ELSE 'again [EMAIL_' || n || '], [' || person || '_NAME]' END AS text,
+CASE run WHEN 0 THEN 'mail ' || value ELSE 'again ' || value || ', ' || s_name END AS again FROM r JOIN n USING (value)"""
 
-ARGUMENT_CASES = [(1, '{"q": "高橋 美咲"}', True, "DICT_NAME"), (2, '{"q": "x@y.co.jp"}', False, ""), (3, "マイナンバー 1234 5678 9012", True, "MYNUMBER"), (4, '{"id": "PT-123456", "to": "たかはし みさき"}', True, "DICT_NAME,PATIENT_ID"), (5, "03-1234-5678", False, ""), (6, "", False, "")]
+#: Arguments of tool calls that rows of customer make: a supplier who may be known, a patient, an address, a number.
+_ARGS = [
+    "'{\"q\": \"Supplier#' || lpad(cast(k * 7 % 200 as string), 9, '0') || '\"}'",
+    "'{\"to\": \"u' || cast(k as string) || '@corp.co.jp\"}'",
+    f"'個人番号 1' || {_digits('k', 3, 7)} || ' ' || {_FOUR[1]} || ' ' || {_FOUR[2]}",
+    f"'{{\"id\": \"PT-' || {_digits('k', 6, 7919)} || '\", \"by\": \"supplier#' || lpad(cast(k * 7 % 200 as string), 9, '0') || '\"}}'",
+    f"'tel 03-' || {_FOUR[0]} || '-' || {_FOUR[1]}",
+]
+_ARG = f"case k % {len(_ARGS)} " + " ".join(f"when {i} then {a}" for i, a in enumerate(_ARGS)) + " end"
 
 
 def argument_cases(spark, sf_dir):
-    persons = masking.dictionary_entries(ship(spark).createDataFrame([("P1", ["高橋 美咲", "たかはし みさき"], [], [], [])], _PERSONS))
-    verdicts = masking.argument_verdicts(spark.createDataFrame([r[:2] for r in ARGUMENT_CASES], "k int, t string"), "k", "t", persons, key=KEY, patient_id=r"PT-\d{6}")
-    return verdicts.select(F.col("key").alias("case_id"), "deny", F.array_join("kinds", ",").alias("kinds"))
+    """Whether arguments name a known supplier, a patient or an individual number."""
+    persons = masking.dictionary_entries(masking.build_dictionary(table(spark, sf_dir, "supplier"), "s_suppkey", "s_suppkey", names=["s_name"])).filter("form rlike 'upplier'")
+    verdicts = masking.argument_verdicts(table(spark, sf_dir, "customer").selectExpr("c_custkey as k").selectExpr("k", f"{_ARG} as t"), "k", "t", persons, key=KEY, patient_id=r"PT-\d{6}")
+    return verdicts.select(F.col("key").alias("custkey"), "deny", F.array_join("kinds", ",").alias("kinds"))
+
+
+ARGUMENT_CASES = f"""WITH r AS (SELECT c_custkey AS k, s_name IS NOT NULL AND c_custkey % {len(_ARGS)} IN (0, 3) AS known FROM customer LEFT JOIN supplier ON s_name = 'Supplier#' || lpad(cast(c_custkey * 7 % 200 as string), 9, '0')),
+v AS (SELECT k, concat_ws(',', CASE WHEN known THEN 'DICT_NAME' END, CASE k % {len(_ARGS)} WHEN 2 THEN 'MYNUMBER' WHEN 3 THEN 'PATIENT_ID' END) AS kinds FROM r)
+SELECT k AS custkey, kinds <> '' AS deny, kinds FROM v"""
+
+
+def dictionary_forms(spark, sf_dir):
+    """All forms under which customers are known by name, telephone and number, each with its first person."""
+    c = table(spark, sf_dir, "customer").selectExpr("c_custkey as k", "c_name as name", f"'03-' || lpad(cast(c_custkey * 37 % 1000 as string), 4, '0') || '-' || lpad(cast(c_custkey % 700 as string), 4, '0') as phone", "concat('ID ', c_custkey) as number")
+    return masking.dictionary_entries(masking.build_dictionary(c, "k", "number", names=["name"], phones=["phone"]))
+
+
+DICTIONARY_FORMS = """WITH c AS (SELECT row_number() OVER (ORDER BY c_custkey) AS p, c_name AS name, '03-' || lpad(cast(c_custkey * 37 % 1000 as string), 4, '0') || '-' || lpad(cast(c_custkey % 700 as string), 4, '0') AS phone, 'ID ' || c_custkey AS number FROM customer),
+v AS (SELECT p, 0 AS field, 'NAME' AS kind, name AS value FROM c UNION ALL SELECT p, 2, 'PHONE', phone FROM c UNION ALL SELECT p, 3, 'ID', number FROM c),
+f AS (SELECT p, field, kind, unnest([value, lower(value), replace(value, ' ', ''), lower(replace(value, ' ', '')), CASE WHEN length(regexp_replace(value, '[^0-9]', '', 'g')) >= 7 THEN regexp_replace(value, '[^0-9]', '', 'g') ELSE '' END]) AS form FROM v),
+k AS (SELECT * FROM f WHERE length(form) >= CASE WHEN kind IN ('PHONE', 'ID') AND regexp_matches(form, '^[0-9]+$') THEN 7 ELSE 3 END)
+SELECT form, 'P' || min(p) AS person, arg_min(kind, p * 10 + field) AS kind FROM k GROUP BY form"""
+
+
+def tainted_forms(spark, sf_dir):
+    """The protected forms of a table's personal columns, which its column names tell."""
+    return egress.taint(table(spark, sf_dir, "supplier"))
+
+
+TAINTED_FORMS = f"""SELECT DISTINCT form FROM (SELECT unnest([{_views("s_name", False)}]) AS form FROM supplier) WHERE length(form) >= CASE WHEN regexp_matches(form, '^[0-9]+$') THEN 7 ELSE 3 END"""
+
+
+def _folder(spark, name: str) -> str:
+    return f"{shared_dir(spark)}/quietlake-{name}-{uuid.uuid4().hex}"
+
+
+def _parts(spark, folder: str) -> list[str]:
+    """The files that Spark has written into a folder."""
+    return sorted(r["path"] for r in spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select("path").collect())
+
+
+def delimited_read_back(spark, sf_dir):
+    """Turns written as delimited text with line feeds, quotes and delimiters inside of cells, and read back from it."""
+    folder = _folder(spark, "delimited")
+    made = ship(spark).read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", F.concat(F.lit('"'), "text", F.lit('",\n'), "role").alias("text"))
+    made.write.option("header", "true").option("escape", '"').option("quoteAll", "true").csv(folder)
+    read = [source_files.read_delimited(spark, path)[0] for path in _parts(spark, folder)]
+    return reduce(DataFrame.unionByName, read).select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), F.md5("text").alias("digest"))
+
+
+DELIMITED = """SELECT conv_id, turn, md5('"' || text || E'",\n' || role) AS digest FROM conversations"""
+
+
+def safe_table_read_back(spark, sf_dir):
+    """A safe table written as tab-separated text and loaded again by its suffix."""
+    folder = _folder(spark, "safe") + ".tsv"
+    safe, plan = deidentify.safeify(table(spark, sf_dir, "customer").withColumn("c_since", F.concat(F.lit("19"), F.lpad(F.col("c_nationkey").cast("string"), 2, "0"), F.lit("-02-03"))), KEY, pseudo=["c_custkey"], year=["c_since"], drop=["c_acctbal"])
+    sinks.write_safe(safe, plan, folder, "customer")
+    return source_files.load(spark, folder).select(F.col("c_custkey_pseudo").cast("string").alias("c_custkey_pseudo"), F.col("c_nationkey").cast("bigint").alias("c_nationkey"), "c_mktsegment", F.col("c_since_year").cast("bigint").alias("c_since_year"))
+
+
+SAFE_TABLE = f"SELECT {duckdb_pseudo_id('c_custkey', KEY)} AS c_custkey_pseudo, c_nationkey::BIGINT AS c_nationkey, c_mktsegment, 1900 + c_nationkey::BIGINT AS c_since_year FROM customer"
+
+
+def transcript_stream(spark, sf_dir):
+    """Addresses in transcripts that a stream reads, as findings; turns come as lines of JSON."""
+    source, out, mark = (_folder(spark, n) for n in ("lines", "findings", "mark"))
+    turns = table(spark, sf_dir, "conversations").select("text").unionByName(table(spark, sf_dir, "documents").select("text"))
+    turns.select(F.to_json(F.struct(F.struct(F.col("text").alias("content")).alias("message"))).alias("value")).write.text(source)
+    incremental.scan_stream(spark, source, out, mark, glob="part-*").awaitTermination()
+    return spark.read.parquet(out).filter("kind = 'EMAIL'").groupBy("kind").agg(F.sum("n").alias("hits"))
+
+
+TRANSCRIPT_STREAM = f"SELECT 'EMAIL' AS kind, count(*) AS hits FROM ({_EMAIL_KEPT.replace('FROM documents', 'FROM (SELECT doc_id, text FROM documents UNION ALL SELECT conv_id, text FROM conversations)')})"
+
+
+def masked_stream(spark, sf_dir):
+    """Documents masked as they arrive in two batches; what differs from the light text when they are mapped back, and how many tokens there are."""
+    source, out, vault, mark = (_folder(spark, n) for n in ("arriving", "masked", "vault", "mark"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    for half in (0, 1):
+        docs.filter(F.col("doc_id") % 2 == half).write.mode("append").parquet(source)
+        stream = spark.readStream.schema("doc_id bigint, text string").parquet(source)
+        incremental.mask_stream(stream, "doc_id", "text", out, vault, mark, KEY, site="code").awaitTermination()
+    known = incremental.read_vault(spark, vault)
+    masked = spark.read.parquet(out)
+    back = masking.unmask(masked, "key", "text", known, KEY).join(docs.withColumnRenamed("text", "raw"), F.col("key") == F.col("doc_id"))
+    tokens = masked.select(F.explode(F.regexp_extract_all("text", F.lit(r"\[EMAIL_\d+\]"), F.lit(0))).alias("token")).agg(F.countDistinct("token").alias("tokens"))
+    return back.agg(F.count(F.lit(1)).alias("texts"), F.count_if(F.col("text") == F.col("raw")).alias("same")).crossJoin(tokens)  # one row each
+
+
+MASKED_STREAM = f"SELECT (SELECT count(*) FROM documents) AS texts, (SELECT count(*) FROM documents) AS same, (SELECT count(DISTINCT value) FROM ({_EMAIL_KEPT})) AS tokens"
+
+
+def weekly_events_stream(spark, sf_dir):
+    """Events by week and type as a stream counts them, after its last batch."""
+    out, mark = _folder(spark, "weeks"), _folder(spark, "mark")
+    folder = f"{sf_dir}/events.parquet"
+    events = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(folder).withColumn("occurred_at", F.col("ts").cast("timestamp"))
+    weeks = incremental.weekly_stream(events).select(F.to_date("window.start").alias("week"), "event_type", "n_events")
+    weeks.writeStream.outputMode("complete").foreachBatch(lambda rows, n: rows.write.mode("overwrite").parquet(out)).option("checkpointLocation", mark).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out)
+
+
+WEEKLY_EVENTS = "SELECT date_trunc('week', ts)::DATE AS week, event_type, count(*) AS n_events FROM events GROUP BY 1, 2"
 
 
 def encoded_blobs(spark, sf_dir):
@@ -450,9 +605,16 @@ OWN = {
     "email_masked_docs": (email_masked, EMAIL_MASKED),
     "rule_hits_docs": (rule_hits, None),
     "masked_conversations": (masked_conversations, None),
-    "rule_cases": (rule_cases, _values([(k, kinds) for k, _, kinds in RULE_CASES], "case_id, kinds")),
-    "vault_cases": (vault_cases, VAULT_CASES),
-    "argument_cases": (argument_cases, _values([(k, deny, kinds) for k, _, deny, kinds in ARGUMENT_CASES], "case_id, deny, kinds")),
+    "rule_cases": (rule_cases, RULE_CASES),
+    "vault_runs": (vault_runs, VAULT_RUNS),
+    "argument_cases": (argument_cases, ARGUMENT_CASES),
+    "dictionary_forms": (dictionary_forms, DICTIONARY_FORMS),
+    "tainted_forms": (tainted_forms, TAINTED_FORMS),
+    "delimited_read_back": (delimited_read_back, DELIMITED),
+    "safe_table_read_back": (safe_table_read_back, SAFE_TABLE),
+    "transcript_stream": (transcript_stream, TRANSCRIPT_STREAM),
+    "masked_stream": (masked_stream, MASKED_STREAM),
+    "weekly_events_stream": (weekly_events_stream, WEEKLY_EVENTS),
     "encoded_blobs": (encoded_blobs, ENCODED_BLOBS),
     "blob_gate": (blob_gate, BLOB_GATE),
     "kana_variant_fold": (folded_documents, FOLDED),

@@ -24,12 +24,12 @@ def read_vault(spark: SparkSession, path: str, before: int | None = None) -> Dat
     return first.select("mac", "r.*")
 
 
-def scan_stream(spark: SparkSession, folder: str, out: str, checkpoint: str, dictionary: str | None = None, **rules) -> StreamingQuery:
+def scan_stream(spark: SparkSession, folder: str, out: str, checkpoint: str, dictionary: str | None = None, glob: str = "*.jsonl", **rules) -> StreamingQuery:
     """Count protected values in transcript files that no earlier run has seen; ends when all are done.
 
     Files are tracked exactly once by the checkpoint, and the dictionary is read anew for every batch.
     """
-    lines = spark.readStream.format("text").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").load(folder).select("value", F.col("_metadata.file_path").alias("file"))
+    lines = spark.readStream.format("text").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(folder).select("value", F.col("_metadata.file_path").alias("file"))
 
     def batch(rows: DataFrame, number: int) -> None:
         inner = rows.sparkSession

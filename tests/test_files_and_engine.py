@@ -70,7 +70,7 @@ def test_plain_and_cap():
     assert "[nested too deep]" in json.dumps(plain(deep))
     small = cap_output({"ok": True, "rows": [["x" * 50]] * 2000}, 5000)
     assert small["truncated"] and len(json.dumps(small)) <= 5000 < len(json.dumps(small | {"rows": small["rows"] + [["x" * 50]] * 2})) and small["rows_dropped"] == 2000 - len(small["rows"])
-    assert "withheld" in cap_output({"ok": True, "x": "y" * 10_000}, 5000)["note"]
+    assert "fits" in cap_output({"ok": True, "x": "y" * 10_000}, 5000)["note"]
 
 
 def test_containment(spark):
