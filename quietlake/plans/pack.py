@@ -218,6 +218,10 @@ def rule_hits(spark, sf_dir):
     return masked.select(F.explode("hits").alias("kind", "n")).groupBy("kind").agg(F.sum("n").alias("hits"))
 
 
+#: The given texts hold addresses only: no other rule may find anything in them.
+RULE_HITS = f"SELECT 'EMAIL' AS kind, count(*) AS hits FROM ({_EMAIL_KEPT})"
+
+
 def masked_conversations(spark, sf_dir):
     """Conversation turns with suppliers' names, as known persons, and rule hits masked."""
     turns = table(spark, sf_dir, "conversations").select(F.format_string("%s/%08d", F.col("conv_id").cast("string"), F.col("turn")).alias("turn_id"), "text")
@@ -226,6 +230,14 @@ def masked_conversations(spark, sf_dir):
     return masked.select(F.col("key").alias("turn_id"), "text", F.coalesce(F.aggregate(F.map_values("hits"), F.lit(0).cast("bigint"), lambda a, x: a + x), F.lit(0)).alias("hits"))
 
 
+_TURN = "conv_id::VARCHAR || '/' || lpad(turn::VARCHAR, 8, '0')"
+_TURN_EMAILS = _EMAIL_KEPT.replace("doc_id", "turn_id").replace("FROM documents", f"FROM (SELECT {_TURN} AS turn_id, text FROM conversations)")
+MASKED_CONVERSATIONS = f"""WITH t AS (SELECT value, '[EMAIL_' || row_number() OVER (ORDER BY first) || ']' AS token FROM (SELECT value, min((turn_id, nth)) AS first FROM ({_TURN_EMAILS}) GROUP BY value)),
+r AS (SELECT turn_id, list(struct_pack(v := value, t := token) ORDER BY nth) AS found FROM ({_TURN_EMAILS}) JOIN t USING (value) GROUP BY turn_id),
+c AS (SELECT {_TURN} AS turn_id, text FROM conversations)
+SELECT turn_id, CASE WHEN found IS NULL THEN text ELSE list_reduce(list_prepend(text, list_transform(found, lambda f: f.v || chr(1) || f.t)), lambda a, f: replace(a, split_part(f, chr(1), 1), split_part(f, chr(1), 2))) END AS text, coalesce(len(found), 0)::BIGINT AS hits FROM c LEFT JOIN r USING (turn_id)"""
+
+
 def blob_gate(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     return d.select("doc_id", pii_rules.blob_hits(F.col("text")).cast("bigint").alias("blobs"), F.length(pii_rules.withhold_blobs(F.col("text"))).cast("bigint").alias("n_chars"))
@@ -334,6 +346,9 @@ def conversation_findings(spark, sf_dir):
     return content.findings(texts.select(F.col("id").alias("key"), "file").join(masked, "key"))
 
 
+SCAN_FINDINGS = f"""SELECT file, 'EMAIL' AS kind, count(*) AS n FROM ({_EMAIL_KEPT.replace("SELECT doc_id, value", "SELECT file, value").replace("doc_id", "file").replace("FROM documents", "FROM (SELECT source AS file, text FROM documents UNION ALL SELECT 'conversations', text FROM conversations)")}) GROUP BY file"""
+
+
 def json_unmasked(spark, sf_dir):
     """Documents masked inside of JSON and mapped back there; the key that looks like a token stays."""
     d = table(spark, sf_dir, "documents")
@@ -386,6 +401,9 @@ def argument_checks(spark, sf_dir):
     return verdicts.select(F.col("key").alias("turn_id"), "deny", F.array_join("kinds", ",").alias("kinds"))
 
 
+ARGUMENT_CHECKS = f"""SELECT {_TURN} AS turn_id, kinds <> '' AS deny, kinds FROM (SELECT *, CASE WHEN regexp_matches(text, 'マイナンバー|個人番号|(?i:my\\s*number)') AND regexp_matches(text, '[0-9]{{4}}[\\s-]?[0-9]{{4}}[\\s-]?[0-9]{{4}}') THEN 'MYNUMBER' ELSE '' END AS kinds FROM conversations)"""
+
+
 # ------------------------------------------------------------- cases over given tables: one text for both engines
 
 
@@ -569,9 +587,10 @@ MASKED_STREAM = f"SELECT (SELECT count(*) FROM documents) AS texts, (SELECT coun
 
 def weekly_events_stream(spark, sf_dir):
     """Events by week and type as a stream counts them, after its last batch."""
-    out, mark = _folder(spark, "weeks"), _folder(spark, "mark")
-    folder = f"{sf_dir}/events.parquet"
-    events = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(folder).withColumn("occurred_at", F.col("ts").cast("timestamp"))
+    source, out, mark = (_folder(spark, n) for n in ("events", "weeks", "mark"))
+    given = table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("occurred_at"), "event_type", "user_id")
+    given.write.parquet(source)  # a stream's files lie in a folder
+    events = spark.readStream.schema(given.schema).parquet(source)
     weeks = incremental.weekly_stream(events).select(F.to_date("window.start").alias("week"), "event_type", "n_events")
     weeks.writeStream.outputMode("complete").foreachBatch(lambda rows, n: rows.write.mode("overwrite").parquet(out)).option("checkpointLocation", mark).trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(out)
@@ -603,8 +622,8 @@ OWN = {
     "email_domain_counts": (email_domains, EMAIL_DOMAINS),
     "email_tokens": (email_tokens, EMAIL_TOKENS),
     "email_masked_docs": (email_masked, EMAIL_MASKED),
-    "rule_hits_docs": (rule_hits, None),
-    "masked_conversations": (masked_conversations, None),
+    "rule_hits_docs": (rule_hits, RULE_HITS),
+    "masked_conversations": (masked_conversations, MASKED_CONVERSATIONS),
     "rule_cases": (rule_cases, RULE_CASES),
     "vault_runs": (vault_runs, VAULT_RUNS),
     "argument_cases": (argument_cases, ARGUMENT_CASES),
@@ -625,8 +644,8 @@ OWN = {
     "pseudo_ids": (pseudonyms, PSEUDONYMS),
     "synthetic_rows": (synthetic_customers, None),
     "unmask_round_trip": (unmask_round_trip, "SELECT doc_id, true AS same FROM documents"),
-    "text_scan_findings": (conversation_findings, None),
-    "argument_checks": (argument_checks, None),
+    "text_scan_findings": (conversation_findings, SCAN_FINDINGS),
+    "argument_checks": (argument_checks, ARGUMENT_CHECKS),
     "unmask_json": (json_unmasked, JSON_UNMASKED),
     "block_policies": (block_policies, BLOCK_POLICIES),
     "transcript_texts": (transcripts, TRANSCRIPTS),
