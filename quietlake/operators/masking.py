@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from ..functions.pii_rules import find_spans, replace, resolve
 from ..functions.pseudonyms import hmac_sha256
 from ..functions.text import light, strip, value_forms
+from ..sources.vault import VAULT_SCHEMA
 from ..storage import lookup, written
 from .numbering import numbered
 from .occurrence import occurring
@@ -31,7 +32,6 @@ TOKEN = r"\[(?:P\d+_[A-Z_]+|[A-Z_]+_\d+)\]"
 #: After a token: not in a key of a JSON object, whose closing quote a colon follows.
 _NO_KEY = r"(?!(?:[^\"\\]++|\\.)*+\"\s*:)"
 DICTIONARY_SCHEMA = "generated string, persons array<struct<id:string,names:array<string>,emails:array<string>,phones:array<string>,ids:array<string>>>"
-VAULT_SCHEMA = "mac string, token string, kind string, value_enc binary, ord bigint"
 #: How many forms a broadcast holds; larger dictionaries are joined.
 SLICE = 200_000
 

@@ -19,6 +19,7 @@ from ..operators.suppress import suppress_small_cells
 from ..session import ship
 from ..sources import files as source_files
 from ..sources import sinks
+from ..sources.vault import Vault
 from ..storage import shared_dir, spread
 from ..streaming import incremental
 
@@ -575,7 +576,7 @@ def masked_stream(spark, sf_dir):
         docs.filter(F.col("doc_id") % 2 == half).write.mode("append").parquet(source)
         stream = spark.readStream.schema("doc_id bigint, text string").parquet(source)
         incremental.mask_stream(stream, "doc_id", "text", out, vault, mark, KEY, site="code").awaitTermination()
-    known = incremental.read_vault(spark, vault)
+    known = Vault(spark, vault).rows()
     masked = spark.read.parquet(out)
     back = masking.unmask(masked, "key", "text", known, KEY).join(docs.withColumnRenamed("text", "raw"), F.col("key") == F.col("doc_id"))
     tokens = masked.select(F.explode(F.regexp_extract_all("text", F.lit(r"\[EMAIL_\d+\]"), F.lit(0))).alias("token")).agg(F.countDistinct("token").alias("tokens"))

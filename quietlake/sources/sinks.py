@@ -43,11 +43,6 @@ def write_dictionary(persons: DataFrame, out: str, generated: str) -> None:
     os.replace(draft, file)
 
 
-def append_vault(new: DataFrame, path: str, batch: int = -1) -> None:
-    """New rows of the vault in the folder of their batch, which a batch that runs again replaces; -1 is for rows outside of batches, which add up."""
-    new.write.mode("append" if batch < 0 else "overwrite").parquet(f"{path.rstrip('/')}/batch={batch}")
-
-
 def report(found: DataFrame) -> tuple[dict, int]:
     """Counts by file and kind, and the exit code: 1 if anything was found, else 0; the shell tool ends with 2 where it couldn't look."""
     by_file: dict = {}

@@ -2,26 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.content import findings
-from ..operators.masking import VAULT_SCHEMA, dictionary_entries, mask
+from ..operators.masking import dictionary_entries, mask
 from ..sources.files import read_dictionary, transcript_texts
-from ..sources.sinks import append_vault
-
-
-def read_vault(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
-    """All rows of the vault, or those of earlier batches than ``before``; of a value that two runs recorded, the first one."""
-    try:
-        rows = spark.read.schema(VAULT_SCHEMA + ", batch bigint").parquet(path)
-    except AnalysisException:
-        return spark.createDataFrame([], VAULT_SCHEMA)
-    rows = rows if before is None else rows.filter(F.col("batch") < before)
-    first = rows.groupBy("mac").agg(F.min_by(F.struct("token", "kind", "value_enc", "ord"), F.struct("batch", "ord", "token")).alias("r"))
-    return first.select("mac", "r.*")
+from ..sources.vault import Vault
+from ..storage import written
 
 
 def scan_stream(spark: SparkSession, folder: str, out: str, checkpoint: str, dictionary: str | None = None, glob: str = "*.jsonl", **rules) -> StreamingQuery:
@@ -33,30 +22,33 @@ def scan_stream(spark: SparkSession, folder: str, out: str, checkpoint: str, dic
 
     def batch(rows: DataFrame, number: int) -> None:
         inner = rows.sparkSession
-        texts = transcript_texts(rows).withColumn("key", F.monotonically_increasing_id())
+        # stored with their keys: a second pass might number them otherwise
+        texts = written(transcript_texts(rows).withColumn("key", F.monotonically_increasing_id()), "lines")
         entries = dictionary_entries(read_dictionary(inner, dictionary)) if dictionary else None
-        texts = texts.persist()
         masked, _ = mask(texts, "key", "text", entries, site="prompt", **rules)
         found = findings(texts.select("key", "file").join(masked, "key"))
         found.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/batch={number}")
-        texts.unpersist()
 
     return lines.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def mask_stream(texts: DataFrame, key_col: str, text_col: str, out: str, vault_path: str, checkpoint: str, key: bytes, dictionary: str | None = None, **rules) -> StreamingQuery:
+def mask_stream(texts: DataFrame, key_col: str, text_col: str, out: str, vault_path: str, checkpoint: str, key: bytes, dictionary: str | None = None, gather: int = 50, **rules) -> StreamingQuery:
     """Mask a stream of texts; tokens keep their meaning from batch to batch. One query writes a vault.
 
-    A batch that is run again overwrites its own output and its own vault rows.
+    A batch that is run again overwrites its own output and its own vault rows. Every
+    ``gather`` batches the vault's earlier ones are gathered.
     """
 
     def batch(rows: DataFrame, number: int) -> None:
         inner = rows.sparkSession
-        known = read_vault(inner, vault_path, number)
+        vault = Vault(inner, vault_path)
+        if number % gather == gather - 1:
+            vault.compact(number)
+        known = vault.rows(number)
         entries = dictionary_entries(read_dictionary(inner, dictionary)) if dictionary else None
         done, new = mask(rows, key_col, text_col, entries, vault=known, key=key, **rules)
         done.write.mode("overwrite").parquet(f"{out}/batch={number}")
-        append_vault(new, vault_path, number)
+        vault.append(new, number)
 
     return texts.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
