@@ -22,14 +22,15 @@ from .operators.suppress import suppress_small_cells
 from .operators.synth import synth_rows
 from .session import ship
 from .sources import files as source_files
-from .storage import written
+from .storage import scratch, written
 
 
 def _tool(method: Callable) -> Callable:
     @functools.wraps(method)
     def run(self, *args, **kwargs):
         try:
-            out = method(self, *args, **kwargs)
+            with scratch(self.spark):  # masking stores texts on its way
+                out = method(self, *args, **kwargs)
         except Exception as e:  # noqa: BLE001  a message may quote data
             return {"ok": False, "error": f"internal error in {method.__name__}: {error_class(e)}"}
         return cap_output({"ok": True} | out, self.settings.max_output_chars) if "error" not in out else {"ok": False} | out
@@ -260,11 +261,13 @@ def main(argv: list[str] | None = None) -> int:
             table = source_files.jdbc(spark, args.source, args.query).withColumn("__order", F.col(args.order or args.id))
         else:
             table = source_files.read_delimited(spark, args.source, place="__order")[0]
-        persons = build_dictionary(table, "__order", args.id, args.names, args.emails, args.phones, args.ids)
-        write_dictionary(persons, args.out, datetime.datetime.now().isoformat(timespec="seconds"))
+        with scratch(spark):
+            persons = build_dictionary(table, "__order", args.id, args.names, args.emails, args.phones, args.ids)
+            write_dictionary(persons, args.out, datetime.datetime.now().isoformat(timespec="seconds"))
     else:
         try:
-            return _scan_folder(spark, settings, args.folder, args.since, args.dictionary)
+            with scratch(spark):
+                return _scan_folder(spark, settings, args.folder, args.since, args.dictionary)
         except Exception as e:  # noqa: BLE001  a scan that couldn't look must not look like one that found nothing
             print(f"scan failed: {error_class(e)}", file=sys.stderr)
             return 2

@@ -49,10 +49,23 @@ def _texts(blocks) -> list[dict]:
     return found
 
 
+def _blocks(content: str | None) -> list | None:
+    """The blocks, or None if the text isn't a JSON array of objects, nested ones included."""
+
+    def sound(blocks) -> bool:
+        return isinstance(blocks, list) and all(isinstance(b, dict) and (not isinstance(b.get("content"), list) or b.get("type") != "tool_result" or sound(b["content"])) for b in blocks)
+
+    try:
+        blocks = json.loads(content)
+        return blocks if sound(blocks) else None
+    except (ValueError, RecursionError):
+        return None
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def block_texts(contents: pd.Series) -> pd.Series:
-    """All texts that a reader of the blocks (JSON) would see."""
-    return contents.map(lambda c: [b[f] for b, f in _texts(json.loads(c))] if c else [])
+    """All texts that a reader of the blocks (JSON) would see; null where the blocks can't be read."""
+    return contents.map(lambda c: [] if not c else None if (blocks := _blocks(c)) is None else [b[f] for b, f in _texts(blocks)])
 
 
 def _without_media(blocks: list, top: bool = True) -> tuple[list, int]:
@@ -73,7 +86,8 @@ def _without_media(blocks: list, top: bool = True) -> tuple[list, int]:
 def _write_back(content: str, texts, keep_media: bool) -> tuple[str | None, int]:
     if content is None:
         return None, 0
-    blocks = json.loads(content)
+    if (blocks := _blocks(content)) is None:  # nobody can say what it holds
+        return json.dumps([{"type": "text", "text": BLOCKED}], ensure_ascii=False), 0
     for (block, field), text in zip(_texts(blocks), texts, strict=False):
         if text is not None:
             block[field] = text
@@ -82,7 +96,10 @@ def _write_back(content: str, texts, keep_media: bool) -> tuple[str | None, int]
 
 
 def apply_texts(content: Column, texts: Column, images: str = "drop") -> Column:
-    """(content, dropped): the blocks with their texts replaced in order; a missing text leaves the old one; media go unless they pass."""
+    """(content, dropped): the blocks with their texts replaced in order; a missing text leaves the old one; media go unless they pass.
+
+    What isn't a JSON array of blocks is withheld as a whole.
+    """
 
     @F.pandas_udf("content string, dropped int")
     def written(contents: pd.Series, given: pd.Series) -> pd.DataFrame:

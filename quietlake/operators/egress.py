@@ -48,13 +48,20 @@ def text_hits(spark, text: str, forms: DataFrame) -> int:
     return forms.join(F.broadcast(views), F.contains("view", "form"), "left_semi").count()  # eight short texts
 
 
+#: Rows of a table that an analysis may return; more never fit into an answer.
+MOST_ROWS = 10_000
+
+
 def plain(value, longest: int = 64, depth: int = 0):
     """A result as JSON data: rows become dicts, long texts are cut, what JSON lacks becomes null or a notice."""
     inner = lambda v: plain(v, longest, depth + 1)
     if depth > 6:
         return "[nested too deep]"
     if isinstance(value, DataFrame):
-        return inner([r.asDict(recursive=True) for r in value.collect()])
+        rows = value.limit(MOST_ROWS + 1).collect()
+        if len(rows) > MOST_ROWS:
+            raise ValueError(f"a table of more than {MOST_ROWS} rows is no result")
+        return inner([r.asDict(recursive=True) for r in rows])
     if isinstance(value, pd.DataFrame):
         return inner(value.to_dict("records"))
     if isinstance(value, pd.Series):

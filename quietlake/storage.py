@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,10 +30,29 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+#: Folders that the running ``scratch`` blocks of a thread have to take away.
+_OPEN = threading.local()
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """What is written within this block is deleted at its end, however it ends: for jobs that hand out results and not tables."""
+    outer, _OPEN.paths = getattr(_OPEN, "paths", None), []
+    try:
+        yield
+    finally:
+        paths, _OPEN.paths = _OPEN.paths, outer
+        for path in paths:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write ``df`` to the shared folder and read it back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quietlake-{name}-{uuid.uuid4().hex}"
+    if getattr(_OPEN, "paths", None) is not None:
+        _OPEN.paths.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

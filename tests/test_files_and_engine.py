@@ -222,3 +222,39 @@ def test_loading(spark, tmp_path):
     assert files.encoding_of("あ".encode("euc_jp")) in ("cp932", "euc_jp") and files.encoding_of(b"\x81") == "utf-8"
     table, sep = files.read_delimited(spark, str(tmp_path / "a.tsv"))
     assert sep == "\t" and table.collect()[0].asDict() == {"x": "1", "y": "2"}
+
+
+def test_malformed_blocks_are_withheld(spark):
+    deep = cur = []
+    for _ in range(5):
+        cur.append({"type": "tool_result", "content": []})
+        cur = cur[0]["content"]
+    cur.append({"type": "text", "text": "inner"})
+    given = [json.dumps(deep), '[{"type": "text", "text": "secret"', "secret", '{"type": "text", "text": "secret"}', '["secret"]', '[{"type": "tool_result", "content": ["secret"]}]', None, "[]", "[" * 100_000]
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(given)], "k int, c string")
+    rows = df.select("k", content.block_texts(F.col("c")).alias("t"), content.apply_texts(F.col("c"), F.array(F.lit("A")))["content"].alias("w"), content.blocked_content(F.col("c")).alias("x")).orderBy("k").collect()
+    assert rows[0]["t"] == ["inner"] and "inner" not in rows[0]["w"] and '"A"' in rows[0]["w"] and rows[7]["w"] == "[]" and rows[6]["w"] is None
+    for k in (1, 2, 3, 4, 5, 8):
+        assert rows[k]["t"] is None and all("secret" not in rows[k][c] and content.BLOCKED in rows[k][c] for c in "wx"), k
+
+
+def test_no_trace_is_left(engine, spark, tmp_path):
+    """No text that a tool has stored on its way is there after it, nor after one that failed."""
+    from pathlib import Path
+
+    from quietlake.storage import scratch, shared_dir, written
+
+    shared = Path(shared_dir(spark).removeprefix("file://"))
+    before = {p.name for p in shared.glob("quietlake-*")}
+    assert engine.read_masked(files.file_id("customers.csv"), 3)["ok"]
+    (tmp_path / "x").mkdir()
+    (tmp_path / "x" / "a.txt").write_text("to misaki@corp.jp")
+    assert main(["scan", str(tmp_path / "x")]) == 1
+    assert not engine.run_analysis(lambda d: written(spark.range(1), "here").selectExpr("raise_error('x')").collect())["ok"]
+    with scratch(spark), scratch(spark):
+        written(spark.range(1), "inner")
+    assert {p.name for p in shared.glob("quietlake-*")} == before
+
+
+def test_large_tables_are_no_result(engine):
+    assert "error" in engine.run_analysis(lambda d: engine.spark.range(10_001))
