@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 from .delimited import Quotes, read_records
+from .workbooks import read_workbook
 
 # Encodings in the order in which they are tried, delimiters, suffixes.
 ENCODINGS = ["utf-8-sig", "cp932", "euc_jp"]
@@ -159,9 +160,8 @@ def load(spark: SparkSession, path: str, **options) -> DataFrame:
         return spark.read.parquet(path, **options)
     if suffix in (".json", ".jsonl"):
         return spark.read.json(path, multiLine=suffix == ".json", **options)
-    if suffix in (".xlsx", ".xls"):
-        # a workbook is one file that one reader parses; needs an Excel engine
-        return spark.createDataFrame(pd.read_excel(path, **options))
+    if suffix == ".xlsx":
+        return read_workbook(ship(spark), path, **options)
     raise ValueError(f"unsupported input type {suffix}")
 
 
