@@ -4,10 +4,11 @@ Three fixed patterns find secrets by their form. Beside them every long run of t
 characters is scored by two first-order Markov models of its characters, one of random
 strings and one of ordinary tokens; a mean log-likelihood ratio of ``least`` or more a step
 makes it a span. The models are counts of adjacent characters in samples that are labelled
-by how they are made: hex, base64 and base62 keys are random; identifiers, paths and host
-names joined from the words of at most ``sample_docs`` distinct texts (the documented bound
-of the fit, the patterns' matches taken out first), numbers, dates, versions and rules of
-one repeated character are ordinary.
+by how they are made: hex, base64 and base62 keys, keys of letters of one case and UUIDs are
+random; identifiers, paths and host names joined from the words of at most ``sample_docs``
+distinct texts (the documented bound of the fit, the patterns' matches taken out first),
+numbers, dates, versions, rules of one repeated character, walks over a keyboard or the
+alphabet, and names that mix letters and digits are ordinary.
 
 Scale: one narrow pass without any shuffle of texts; the only exchanges are the sample and
 the models' counts, one row per pair of 68 characters at most. Places are running sums by
@@ -22,6 +23,7 @@ only); texts are read whole; columns other than the two named are ignored.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Callable
 from functools import reduce
 
@@ -42,6 +44,8 @@ _RUN = 64
 _FIRST, _WIDE = ord("+"), ord("z") - ord("+") + 1
 #: How many counts the usual steps between groups of characters stand for where few adjacent pairs are known.
 _PRIOR = 50.0
+#: One row of so many makes a name of letters and digits in turn.
+_RARE = 4
 
 
 def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -128,15 +132,32 @@ def _made(spark, rows: int) -> DataFrame:
     digits, day = number.cast("string"), F.date_add(F.lit("1990-01-01").cast("date"), F.pmod(number, F.lit(16_000)).cast("int"))
     time = F.timestamp_seconds(F.pmod(number, F.lit(2 * 10**9)))
     mark = F.element_at(F.split(F.lit("- = _ . + /"), " "), F.pmod(id_, F.lit(6)).cast("int") + 1)
-    random = [digest, F.upper(digest), base64, F.substring(base62, 1, 20), F.substring(F.upper(base62), 1, 20), F.translate(base64, "+/", "-_")]
+    uuid = F.concat_ws("-", *(F.substring(digest, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
+    letters = F.regexp_replace(F.lower(base62), "[0-9]", "")
+    random = [digest, F.upper(digest), base64, F.substring(base62, 1, 20), F.substring(F.upper(base62), 1, 20), F.translate(base64, "+/", "-_"), letters, F.upper(letters), uuid]
+    walk = lambda row: F.substring(F.repeat(F.lit(row), 2), F.pmod(id_, F.lit(len(row))).cast("int") + 1, 20)
+    letter = lambda bits: F.char(F.pmod(F.shiftright(number, bits), F.lit(26)) + 97)
+    short = lambda bits: F.concat(letter(bits), F.pmod(F.shiftright(number, bits + 5), F.lit(20)).cast("string"), letter(bits + 10))
+    model = F.concat(F.upper(letter(0)), F.upper(letter(5)), F.upper(letter(10)), F.substring(digits, 1, 4))
     ordinary = [
         digits, F.repeat(F.substring(digits, 1, 1), 16), F.lpad(id_.cast("string"), 16, "0"), F.concat(id_.cast("string"), F.lit("."), digits), F.concat(F.lit("0."), digits), F.array_join(F.sequence(F.lit(0), F.lit(9)), ""),
         day.cast("string"), F.date_format(time, "yyyy-MM-dd'T'HH.mm.ss"), F.date_format(time, "yyyyMMdd_HHmmss"), F.date_format(day, "dd.MM.yyyy"), F.date_format(day, "yyyy/MM/dd"),
         F.concat_ws(".", F.pmod(number, F.lit(30)), F.pmod(F.shiftright(number, 8), F.lit(30)), F.pmod(F.shiftright(number, 16), F.lit(300))), F.concat_ws("-", F.substring(digits, 1, 3), F.substring(digits, 4, 4), F.substring(digits, 8, 4)),
-        F.repeat(mark, 40),
+        F.repeat(mark, 40), walk("qwertyuiopasdfghjklzxcvbnm"), F.upper(walk("qwertyuiopasdfghjklzxcvbnm")), walk("qwertzuiopasdfghjklyxcvbnm"), walk("abcdefghijklmnopqrstuvwxyz"), F.upper(walk("abcdefghijklmnopqrstuvwxyz")), F.concat(walk("1234567890qwertyuiop"), walk("1234567890qwertyuiop")),
     ]
+    # rare beside words, but common enough not to look random
+    rare = [F.concat_ws("_", short(0), short(8), short(16)), F.concat_ws("-", short(4), short(12)), F.concat_ws("_", model, F.concat(F.pmod(number, F.lit(512)).cast("string"), F.lit("GB"))), F.concat_ws("-", model, F.upper(short(20)))]
+    ordinary.append(F.when(id_ % _RARE == 0, F.element_at(F.array(*rare), F.pmod(F.shiftright(id_, 4), F.lit(4)).cast("int") + 1)))
     label = lambda tokens, is_random: F.transform(F.array(*tokens), lambda t: F.struct(t.alias("token"), F.lit(is_random).alias("random")))
-    return spark.range(rows).select(F.inline(F.concat(label(random, 1), label(ordinary, 0))))
+    return spark.range(rows).select(F.inline(F.concat(label(random, 1), label(ordinary, 0)))).filter("token is not null")
+
+
+def _names(spark, times: int = 8) -> DataFrame:
+    """(token, random): names as programmers write them, in three spellings: those of Spark's own functions, so that a small corpus has some too."""
+    names = sorted(n for n in dir(F) if re.fullmatch("[a-z][a-z_]+", n))
+    camel = ["".join(x.title() if i else x for i, x in enumerate([*a.split("_"), *b.split("_")])) for a, b in zip(names, names[7:], strict=False)]
+    tokens = F.array(*map(F.lit, [*names, *(n.upper() for n in names), *camel]))
+    return spark.range(times).select(F.explode(tokens).alias("token"), F.lit(0).alias("random"))
 
 
 def _ordinary(docs: DataFrame, text_col: str, sample_docs: int) -> DataFrame:
@@ -166,7 +187,7 @@ def _group(c: str) -> int:
 
 def train(docs: DataFrame, sample_docs: int = 500, made: int = 4000, text_col: str = "text") -> list[int]:
     """Thousandths of the log-likelihood ratio of each pair of characters of ALPHABET, random over ordinary."""
-    tokens = _ordinary(docs, text_col, sample_docs).unionByName(_made(docs.sparkSession, made))
+    tokens = _ordinary(docs, text_col, sample_docs).unionByName(_made(docs.sparkSession, made)).unionByName(_names(docs.sparkSession))
     steps = tokens.filter(F.length("token") > 1).select("random", F.explode(_steps(F.col("token"))).alias("step"))
     got = {(r["random"], r["step"]): r["count"] for r in steps.groupBy("random", "step").count().collect()}  # 2 * 68 * 68 rows at most
     count = lambda k, a, b: got.get((k, _step(a, b)), 0)
@@ -183,7 +204,7 @@ def train(docs: DataFrame, sample_docs: int = 500, made: int = 4000, text_col: s
     return [round(1000 * math.log(chance(1, a, b) / chance(0, a, b))) for a in ALPHABET for b in ALPHABET]
 
 
-def markov_spans(text: Column, weights: list[int], shortest: int = 16, least: int = 2500, rank: int = 3) -> Column:
+def markov_spans(text: Column, weights: list[int], shortest: int = 16, least: int = 1750, rank: int = 3) -> Column:
     """Spans of maximal runs of token characters that look random: a mean of ``least`` thousandths or more a step."""
     pattern = _TOKEN % shortest
     by_step = dict(zip((_step(a, b) for a in ALPHABET for b in ALPHABET), weights, strict=True))

@@ -405,7 +405,7 @@ def trained(spark):
     return secret_scan.train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
 
 
-def _markov(text, weights, least=2500):
+def _markov(text, weights, least=1750):
     """Brute force: maximal runs of 16 or more token characters whose mean weight is high enough."""
     n, spans = len(secret_scan.ALPHABET), []
     for m in re.finditer(r"[A-Za-z0-9+/=_.-]+", text):
@@ -438,6 +438,25 @@ def test_ordinary_tokens_are_no_secrets(spark, trained):
     assert got[0] == [] and len(got[1]) >= 190
 
 
+def test_secrets_by_kind(spark, trained):
+    """Recall by the kind of key, and no hit in names that look odd; README has the figures."""
+    rng = random.Random(12)
+    lower, upper, digits = string.ascii_lowercase, string.ascii_uppercase, string.digits
+    alphabets = {"base62": lower + upper + digits, "base64": lower + upper + digits + "+/", "hex upper": "0123456789ABCDEF", "hex lower": "0123456789abcdef", "lower": lower, "lower digits": lower + digits, "upper": upper, "base32": upper + "234567"}
+    keys = {kind: ["".join(rng.choices(a, k=rng.randint(16, 64))) for _ in range(200)] for kind, a in alphabets.items()}
+    keys["uuid"] = [re.sub("(.{8})(.{4})(.{4})(.{4})(.{12})", r"\1-\2-\3-\4-\5", "".join(rng.choices("0123456789abcdef", k=32))) for _ in range(200)]
+    odd = [
+        "qwertyuiopasdfghjkl", "RTX4090_SUPER_16GB_GDDR6X", "i18n_l10n_a11y_k8s_e2e", "zxcvbnmasdfghjkl", "abcdefghijklmnopqrstuvwxyz", "getUserAccountByIdentifier", "com.example.project.module", "src/main/java/App.java", "internationalization",
+        "AbstractSingletonProxyFactoryBean", "node_modules/lib/index.js", "HTTPSConnectionPool", "utf8_general_ci_ai_ks_ws", "x86_64-unknown-linux-gnu", "libstdc++.so.6.0.29", "Donaudampfschifffahrtsgesellschaft", "ISBN978-3-16-148410-0",
+        "v2.1.0-rc.1+build.5114f85", "MAX_BUFFER_SIZE_IN_BYTES", "intel_core_i7-12700K", "SELECT_COUNT_DISTINCT_X", "cuda11.8-cudnn8-devel-ubuntu22.04",
+    ]
+    rows = [(i, " ".join(k)) for i, k in enumerate(keys.values())] + [(-1, " ".join(odd))]
+    spans = {r["doc_id"]: r["spans"] for r in secret_scan.secret_scan(spark.createDataFrame(rows, "doc_id long, text string"), weights=trained).collect()}
+    recall = {kind: sum(s["kind"] == "markov" or s["kind"] == "hex" for s in spans[i]) / 200 for i, kind in enumerate(keys)}
+    least = {"upper": 0.85, "uuid": 0.8}
+    assert spans[-1] == [] and all(r >= least.get(kind, 0.93) for kind, r in recall.items()), recall
+
+
 def test_simple8b_files(odd, empty):
     files = simple8b.file_rows(odd, MODEL)
     rows = simple8b.read_digests(files).collect()
