@@ -81,6 +81,11 @@ def _fold(word: Column) -> Column:
     return F.translate(word, UPPER, LOWER)
 
 
+def _among(word: Column, words: list[str]) -> Column:
+    """Whether a word is one of some ASCII words but for the case of ASCII letters; the first, wider test is the cheaper one."""
+    return F.lower(word).isin(words) & _fold(word).isin(words)
+
+
 def _with_words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, words: in the case they have; only words that are looked at get folded."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.array_remove(F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), _SEPARATORS), "").alias("words"))
@@ -93,7 +98,7 @@ def _vocabulary(templates, base) -> list[str]:
 def idf_table(docs: DataFrame, templates=TEMPLATES, base=BASE, id_col: str = "doc_id", text_col: str = "text") -> dict[str, float]:
     """IDF of the fixed vocabulary: ln((documents + 1) / (documents with the word + 1))."""
     words = _vocabulary(templates, base)
-    known = F.array_distinct(F.transform(F.filter("words", lambda w: _fold(w).isin(words)), _fold))
+    known = F.array_distinct(F.transform(F.filter("words", lambda w: _among(w, words)), _fold))
     counts = _with_words(docs, id_col, text_col).select(F.explode(F.array_append(known, F.lit(""))).alias("word")).groupBy("word").count()
     got = {r["word"]: r["count"] for r in counts.collect()}  # one row per word of the fixed vocabulary at most
     return {w: math.log((got.get("", 0) + 1) / (got.get(w, 0) + 1)) for w in words}
@@ -169,7 +174,7 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, base=BASE, least: float =
 
     found = _with_words(docs, id_col, text_col).withColumn("n_words", F.size("words").cast("long"))
     at = F.when(F.col("n_words") > 0, F.sequence(F.lit(0), F.size("words") - 1)).otherwise(F.array().cast("array<int>"))
-    found = found.withColumn("hits", F.transform(F.filter(at, lambda i: _fold(F.get("words", i)).isin(sorted(postings))), lambda i: F.struct(i.alias("p"), _fold(F.get("words", i)).alias("w"))))
+    found = found.withColumn("hits", F.transform(F.filter(at, lambda i: _among(F.get("words", i), sorted(postings))), lambda i: F.struct(i.alias("p"), _fold(F.get("words", i)).alias("w"))))
 
     number, place = lambda c: F.shiftright(c, _SHIFT).cast("int"), lambda c: c.bitwiseAND(F.lit((1 << _SHIFT) - 1)).cast("int")
     stands = lambda c, x: F.coalesce(_fold(F.get("words", place(c) + x["o"])) == x["w"], F.lit(False))
