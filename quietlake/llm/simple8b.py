@@ -26,13 +26,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, small_batches, task_id, written
+from .common import partitions_for, small_batches, task_id, written
 from .word_tokens import encode_texts, with_end
 
 #: How many ids a word holds and of how many bits, by selector; 0 is the escape.
 SELECTORS = [(1, 0), (120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60)]
 BLOCK, CHUNK, MAGIC = 256, 1 << 16, b"S8B1"
 
+#: Stored bytes of a table for each task that writes a shard.
+TASK_BYTES = 8 << 20
+
 
 def _bits(ids: np.ndarray) -> np.ndarray:
     return np.searchsorted(np.uint64(1) << np.arange(64, dtype=np.uint64), ids, side="right").astype(np.uint8)
@@ -134,7 +137,8 @@ def file_rows(docs: DataFrame, model: str, end: int = 2, id_col: str = "doc_id",
     """The rows of the file format, shards and blocks in ascending order of ids."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # the vocabulary has a fixed size
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    ordered = rows.repartitionByRange(shuffle_partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id")
+    key = ["doc_id", F.xxhash64("text")]  # rows of an id that many have are dealt to several ranges
+    ordered = rows.repartitionByRange(partitions_for(docs, TASK_BYTES), *key).sortWithinPartitions(*key)
     return ordered.mapInArrow(_rows(shared, end), _FILE)
 
 

@@ -508,3 +508,13 @@ def test_license_words_fold_ascii_letters_only(spark):
     rows = {r["doc_id"]: r for r in got.collect()}
     assert sorted(map(str, (tuple(r) for r in rows.values()))) == sorted(map(str, want.fetchall()))
     assert all(rows[i]["n_base"] == 1 for i in range(len(words))) and rows[-2]["n_base"] == 0 and rows[-1]["base_labels"] == "apache"
+
+
+def test_simple8b_deals_out_a_hot_id(spark):
+    """An id that most rows have stands in several shards, in order with the others."""
+    docs = spark.createDataFrame([(5, f"text number {i} of many") for i in range(300)] + [(i, "x") for i in (1, 9, None)], "doc_id long, text string").repartition(3)
+    files = simple8b.file_rows(docs, MODEL)
+    assert files.filter("array_contains(doc_ids, 5)").select("shard").distinct().count() > 1
+    rows = sorted(simple8b.read_digests(files).collect(), key=lambda r: r["start"])
+    ids = [r["doc_id"] for r in rows]
+    assert ids == [None, 1] + [5] * 300 + [9] and rows[-1]["start"] == sum(r["n_tokens"] for r in rows[:-1])
