@@ -230,10 +230,18 @@ def mask(texts: DataFrame, key_col: str, text_col: str, entries: DataFrame | Non
     return done, vault_rows(new, key, top + 1)
 
 
+def _secret(key: bytes) -> Column:
+    return F.substring(F.sha2(F.lit(b"vault:" + key), 256), 1, 32).cast("binary")
+
+
+def encrypted(value: Column, key: bytes) -> Column:
+    """A value as it lies in the vault."""
+    return F.aes_encrypt(value.cast("binary"), _secret(key))
+
+
 def vault_rows(new: DataFrame, key: bytes, first: int = 0) -> DataFrame:
     """New tokens as rows of the vault: the value's keyed hash, and the value itself encrypted; ``ord`` goes on from ``first``."""
-    secret = F.substring(F.sha2(F.lit(b"vault:" + key), 256), 1, 32).cast("binary")
-    return new.select(_mac(F.col("value"), key).alias("mac"), "token", "kind", F.aes_encrypt(F.col("value").cast("binary"), secret).alias("value_enc"), (F.monotonically_increasing_id() + first).alias("ord"))
+    return new.select(_mac(F.col("value"), key).alias("mac"), "token", "kind", encrypted(F.col("value"), key).alias("value_enc"), (F.monotonically_increasing_id() + first).alias("ord"))
 
 
 def person_rows(entries: DataFrame, key: bytes) -> DataFrame:
@@ -243,8 +251,7 @@ def person_rows(entries: DataFrame, key: bytes) -> DataFrame:
 
 def token_values(vault: DataFrame, key: bytes) -> DataFrame:
     """(token, value): the first spelling that was recorded for each token."""
-    secret = F.substring(F.sha2(F.lit(b"vault:" + key), 256), 1, 32).cast("binary")
-    return vault.groupBy("token").agg(F.min_by("value_enc", "ord").alias("enc")).select("token", F.aes_decrypt("enc", secret).cast("string").alias("value"))
+    return vault.groupBy("token").agg(F.min_by("value_enc", "ord").alias("enc")).select("token", F.aes_decrypt("enc", _secret(key)).cast("string").alias("value"))
 
 
 def unmask(texts: DataFrame, key_col: str, text_col: str, vault: DataFrame, key: bytes, caller: str = "cli", json: bool = False) -> DataFrame:

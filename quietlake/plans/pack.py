@@ -21,7 +21,7 @@ from ..sources import files as source_files
 from ..sources import sinks
 from ..sources.vault import Vault
 from ..storage import shared_dir, spread
-from ..streaming import incremental
+from ..streaming import incremental, keyed
 
 #: A key for tests and benchmarks; real ones come from a key file.
 KEY = b"0123456789abcdef" * 4
@@ -586,6 +586,23 @@ def masked_stream(spark, sf_dir):
 MASKED_STREAM = f"SELECT (SELECT count(*) FROM documents) AS texts, (SELECT count(*) FROM documents) AS same, (SELECT count(DISTINCT value) FROM ({_EMAIL_KEPT})) AS tokens"
 
 
+def keyed_stream(spark, sf_dir):
+    """Documents masked as keyed state in two batches; how many come back as they were, and how many tokens there are."""
+    source, out, vault, mark = (_folder(spark, n) for n in ("arriving", "masked", "vault", "mark"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", text.light(F.col("text")).alias("text"))
+    for half in (0, 1):
+        docs.filter(F.col("doc_id") % 2 == half).write.mode("append").parquet(source)
+        stream = spark.readStream.schema("doc_id bigint, text string").parquet(source)
+        keyed.mask_keyed_stream(stream, "doc_id", "text", out, vault, mark, KEY).awaitTermination()
+    known = keyed.keyed_vault(spark, vault)
+    back = masking.unmask(spark.read.parquet(out), "key", "text", known, KEY).join(docs.withColumnRenamed("text", "raw"), F.col("key") == F.col("doc_id").cast("string"))
+    tokens = known.agg(F.countDistinct("token").alias("tokens"), F.countDistinct("mac").alias("macs"))
+    return back.agg(F.count(F.lit(1)).alias("texts"), F.count_if(F.col("text") == F.col("raw")).alias("same")).crossJoin(tokens)  # one row each
+
+
+KEYED_STREAM = f"SELECT (SELECT count(*) FROM documents) AS texts, (SELECT count(*) FROM documents) AS same, n AS tokens, n AS macs FROM (SELECT count(DISTINCT value) AS n FROM ({_EMAIL_KEPT}))"
+
+
 def weekly_events_stream(spark, sf_dir):
     """Events by week and type as a stream counts them, after its last batch."""
     source, out, mark = (_folder(spark, n) for n in ("events", "weeks", "mark"))
@@ -634,6 +651,7 @@ OWN = {
     "safe_table_read_back": (safe_table_read_back, SAFE_TABLE),
     "transcript_stream": (transcript_stream, TRANSCRIPT_STREAM),
     "masked_stream": (masked_stream, MASKED_STREAM),
+    "keyed_stream": (keyed_stream, KEYED_STREAM),
     "weekly_events_stream": (weekly_events_stream, WEEKLY_EVENTS),
     "encoded_blobs": (encoded_blobs, ENCODED_BLOBS),
     "blob_gate": (blob_gate, BLOB_GATE),
