@@ -643,7 +643,7 @@ OWN = {
     "rule_hits_docs": (rule_hits, RULE_HITS),
     "masked_conversations": (masked_conversations, MASKED_CONVERSATIONS),
     "rule_cases": (rule_cases, RULE_CASES),
-    "vault_runs": (vault_runs, VAULT_RUNS),
+    "vault_cases": (vault_runs, VAULT_RUNS),
     "argument_cases": (argument_cases, ARGUMENT_CASES),
     "dictionary_forms": (dictionary_forms, DICTIONARY_FORMS),
     "tainted_forms": (tainted_forms, TAINTED_FORMS),
