@@ -269,7 +269,7 @@ def unmask(texts: DataFrame, key_col: str, text_col: str, vault: DataFrame, key:
     rows = texts.select(F.col(key_col).alias("key"), F.col(text_col).alias("text")).withColumn("__tokens", F.regexp_extract_all("text", F.lit(token), F.lit(0)))
     # only the texts that hold a token take part: their distinct tokens are looked up, and then come back as one map a text
     held = rows.filter("size(__tokens) > 0")
-    asked = held.select("key", F.explode(F.array_distinct("__tokens")).alias("token"))
+    asked = written(held.select("key", F.explode(F.array_distinct("__tokens")).alias("token")), "asked")  # looked at more than once
     known = lookup(asked, values, "token").groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("token", "value"))).alias("__known"))  # a text's own tokens
     piece = F.zip_with(F.split("text", token, -1), "__tokens", lambda gap, t: F.concat(gap, F.coalesce(F.element_at("__known", t), t, F.lit(""))))
     filled = held.join(known, "key", "left").select("key", F.when(F.col("__known").isNull(), F.col("text")).otherwise(F.array_join(piece, "")).alias("text"))
