@@ -9,7 +9,8 @@ Scale: whole text moves through one shuffle, once, as blocks. Equal blocks of on
 batch travel as one row with a list of references. Where that list is long, the block goes
 to its name alone and the references to a place of their own, under a ticket that both
 carry and by which they take the name, so a text that a third of all rows share reaches its
-task once per batch and nothing of it is expanded there. Later rounds move 16 bytes a pair.
+task once per batch and nothing of it is expanded there. Later rounds move a pair's two names
+and a reference (numbers and the text's digest, about 100 bytes), whatever a block's size.
 
 Edge cases: null text counts as empty; empty texts are equal to each other; rows that
 repeat a doc_id are separate documents, of which one stays; a null doc_id loses to any
