@@ -14,11 +14,9 @@ import re
 from array import array
 
 import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
-MAX_CACHED, STEP = 300_000, 500_000
+MAX_CACHED = 300_000
 #: Letters that composition leaves as they are, in Latin-1 and Latin Extended-A and -B, but for the dotted I, which two characters lower.
 _WORD = re.compile("([a-zß-öø-įı-ɏ]+)([.,]?)")
 _BEYOND = re.compile("[^\x00-įı-ɏ]")
@@ -37,27 +35,26 @@ _WORKER: dict = {}
 class _Pieces(dict):
     """Ids of pieces, as bytes of 32-bit integers; a missing one is encoded."""
 
-    def __init__(self, model: str):
+    def __init__(self, model: str, most: int):
         super().__init__()
+        self.most = most
         self.tokenizer, self.words = Tokenizer.from_str(model), {}
         self.tokenize = self.tokenizer.model.tokenize
 
     def word(self, word: str) -> bytes:
         ids = self.words.get(word)
         if ids is None:
-            spelt = word if word.isascii() else word.lower().encode().decode("latin-1").translate(_SPELLING)
+            low = word.lower()
+            spelt = low if low.isascii() else low.encode().decode("latin-1").translate(_SPELLING)
             ids = self.words[word] = array("I", [t.id for t in self.tokenize(spelt)]).tobytes()
         return ids
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= MAX_CACHED:
+        if len(self) >= self.most:
             self.clear()
             self.words.clear()
-        stop = piece[-1:]
-        word = piece[:-1] if stop in (".", ",") else piece
-        if word.isascii() and word.isalpha() and word.islower():  # what most pieces are
-            ids = self.word(word) if word is piece else self.word(word) + self.word(stop)
-        elif (found := _WORD.fullmatch(piece)) is None:
+        found = _WORD.fullmatch(piece)
+        if found is None:
             ids = array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
         else:
             word, stop = found.groups()
@@ -66,31 +63,18 @@ class _Pieces(dict):
         return ids
 
 
-def encode_texts(model: str, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """All texts' ids (uint32), one after another, and how many each text has. ``model``: the tokenizer file's JSON."""
-    if _WORKER.get("model") != model:
-        _WORKER.update(model=model, pieces=_Pieces(model))
-    ready = []
+def encode_texts(model: str, texts: list[str | None], most: int = MAX_CACHED) -> tuple[np.ndarray, np.ndarray]:
+    """All texts' ids (uint32), one after another, and how many each text has. ``model``: the tokenizer file's JSON; ``most``: pieces that are kept."""
+    if _WORKER.get("model") != (model, most):
+        _WORKER.update(model=(model, most), pieces=_Pieces(model, most))
+    ids = _WORKER["pieces"].__getitem__
+    encoded = []
     for text in texts:
         text = text or ""
         if "<|" not in text and not _BEYOND.search(text):  # else lowering first might change a special token or a composition
             text = text.lower()
-        ready.append(text.replace("\n", " "))
-    # each distinct piece of these texts is looked up once, and its ids are gathered by its number
-    lists = pc.split_pattern(pa.array(ready, pa.large_string()), " ")
-    pieces = lists.flatten().dictionary_encode()
-    known = list(map(_WORKER["pieces"].__getitem__, pieces.dictionary.to_pylist()))
-    flat, size = np.frombuffer(b"".join(known), np.uint32), np.fromiter(map(len, known), np.int64, len(known)) // 4
-    start, number = np.cumsum(size) - size, pieces.indices.to_numpy()
-    parts = [_gathered(flat, start[n], size[n]) for n in (number[i : i + STEP] for i in range(0, len(number), STEP))]
-    ends = np.append(0, np.cumsum(size[number]))[lists.offsets.to_numpy()]
-    return np.concatenate([*parts, flat[:0]]), np.diff(ends)
-
-
-def _gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The slices flat[start : start + size], one after another."""
-    ends = np.cumsum(sizes)
-    return flat[np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1])]
+        encoded.append(b"".join(map(ids, text.replace("\n", " ").split(" "))))
+    return np.frombuffer(b"".join(encoded), np.uint32), np.array([len(e) // 4 for e in encoded], np.int64)
 
 
 def with_end(ids: np.ndarray, counts: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
