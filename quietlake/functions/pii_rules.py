@@ -25,6 +25,8 @@ MYNUMBER_CONTEXT = r"マイナンバー|個人番号|my\s*number"
 DOB_CONTEXT = r"生年月日|生まれ|誕生日|DOB|birth"
 CODE_CONTEXT = r"arn:|://|[0-9a-f]{20,}|aws|account"
 WINDOW, CODE_BEFORE, CODE_AFTER = 40, 12, 2
+#: Keys and hashes: digits in the midst of them are no telephone number, which takes 12 digits at most.
+CODE_RUN, LONGEST_RUN = re.compile(r"[0-9a-f]{16,}|[0-9A-F]{16,}|AKIA[0-9A-Z]{16}"), 16
 
 #: What a text must hold for a rule to match at all, and a superset of it that Spark can look for.
 NEEDLES = {
@@ -50,6 +52,11 @@ def _real_address(allowed: frozenset[str]):
     return test
 
 
+def _in_code_run(text, m) -> bool:
+    """Whether a match lies inside of a run that is a key or a hash; so much of the run as tells that is looked at."""
+    return any(r.start() <= m.start() and m.end() <= r.end() for r in CODE_RUN.finditer(text, max(0, m.start() - LONGEST_RUN), m.end() + LONGEST_RUN))
+
+
 def rules(patient_id: str | None = None, allow_emails=()) -> list[tuple]:
     """(kind, pattern, test of a match) in ranking order."""
     birth, near_zip, near_number = _within(DOB_CONTEXT, WINDOW, WINDOW), _within(ZIP_CONTEXT, WINDOW, WINDOW), _within(MYNUMBER_CONTEXT, WINDOW, WINDOW)
@@ -57,7 +64,7 @@ def rules(patient_id: str | None = None, allow_emails=()) -> list[tuple]:
     always = lambda text, m: True
     table = [
         ("EMAIL", EMAIL, _real_address(frozenset(a.lower() for a in allow_emails))),
-        ("PHONE", PHONE, lambda text, m: 10 <= sum(c.isdigit() for c in m[0]) <= 12),
+        ("PHONE", PHONE, lambda text, m: 10 <= sum(c.isdigit() for c in m[0]) <= 12 and not _in_code_run(text, m)),
         ("ZIP", ZIP, lambda text, m: m[0][0] == "〒" or near_zip(text, m)),
         ("MYNUMBER", MYNUMBER, lambda text, m: near_number(text, m) and not code(text, m)),
         ("DOB", DOB_WESTERN, birth),
