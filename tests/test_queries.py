@@ -67,3 +67,7 @@ def _same(spark, coded, name):
 
 def test_keyed_stream_with_digits_in_keys(spark, coded):
     _same(spark, coded, "keyed_stream")
+
+
+def test_rule_hits_with_digits_in_keys(spark, coded):
+    _same(spark, coded, "rule_hits_docs")
