@@ -71,3 +71,7 @@ def test_keyed_stream_with_digits_in_keys(spark, coded):
 
 def test_rule_hits_with_digits_in_keys(spark, coded):
     _same(spark, coded, "rule_hits_docs")
+
+
+def test_scan_findings_with_digits_in_keys(spark, coded):
+    _same(spark, coded, "text_scan_findings")
