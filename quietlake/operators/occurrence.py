@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import lookup, written
+from ..storage import cut, lookup, written
 
 #: Lengths whose windows are looked at everywhere: of a form as many characters as the largest of these that it has.
 ANCHORS = (1, 2, 3, 4, 5, 6, 7, 8, 16, 32)
@@ -72,7 +72,7 @@ def _form_slots(bits: int):
     """(filter, slot) of forms: their anchors' slots in filter 0, their own in filter 1."""
 
     def run(batches):
-        for batch in batches:
+        for batch in cut(batches):
             forms = batch.column(0).to_pylist()
             sizes = np.array([len(f) for f in forms], np.int64)
             hashed, starts = Rolling("".join(forms)), np.cumsum(sizes) - sizes
@@ -115,7 +115,7 @@ def _candidates(shared):
     def run(batches):
         anchors, whole, lengths = shared.value
         by_anchor = {int(a): [n for n in lengths if int(_anchor(np.array([n]))[0]) == a] for a in np.unique(_anchor(np.array(lengths)))}
-        for batch in batches:
+        for batch in cut(batches):
             keys = batch.column(0).to_pylist()
             found: list[set[str]] = [set() for _ in keys]
             for text, starts, owners in _pieces(enumerate(batch.column(1).to_pylist()), max(lengths)):

@@ -7,6 +7,7 @@ import tempfile
 import threading
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,6 +69,19 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if size <= cores * SPREAD_BYTES and len(df.inputFiles()) < cores else df
 
 
+def cut(batches, most: int = 1 << 20):
+    """Arrow arrays or batches in parts of about ``most`` bytes, so a worker holds what it makes of one part only; a longer row stays whole.
+
+    At the end the worker, which lives on, hands its free memory back.
+    """
+    for batch in batches:
+        rows = max(1, len(batch) * most // max(1, batch.nbytes))
+        for start in range(0, len(batch), rows):
+            yield batch.slice(start, rows)
+        del batch
+    pa.default_memory_pool().release_unused()
+
+
 def lookup(rows: DataFrame, values: DataFrame, key: str, hot: int = 2000, least: int = 1000) -> DataFrame:
     """``rows`` inner-joined with the value of their ``key``, which stands once in ``values``.
 
