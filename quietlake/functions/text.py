@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..storage import cut
+
 # Variant kanji and their common forms, in the same order.
 VARIANTS = "髙﨑嵜齋齊斉邊邉澁國廣嶋櫻眞濵濱萬冨德瀨龍惠條彌禮舘藏壽實澤黑繫靜鐵榮與會學縣關靑淸"
 STANDARD = "高崎崎斎斎斎辺辺渋国広島桜真浜浜万富徳瀬竜恵条弥礼館蔵寿実沢黒繋静鉄栄与会学県関青清"
@@ -26,10 +29,28 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(WHITE_SPACE))
 
 
-@F.pandas_udf(T.StringType())
-def nfkc(texts: pd.Series) -> pd.Series:
-    """Unicode compatibility composition, which Spark has no function for."""
-    return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
+def _stable() -> str:
+    """Ranges, for a pattern, of characters of common scripts that NFKC leaves alone in any order: none combines with one before it."""
+    blocks = [(0, 0x2FF), (0x370, 0x52F), (0x2010, 0x206F), (0x3000, 0x30FF), (0x4E00, 0x9FFF)]
+    kept = [c for low, high in blocks for c in range(low, high + 1) if unicodedata.normalize("NFKC", chr(c)) == chr(c) and not unicodedata.combining(chr(c))]
+    starts = [c for c, before in zip(kept, [-2, *kept], strict=False) if c != before + 1]
+    ends = [c for c, after in zip(kept, [*kept[1:], -2], strict=True) if c + 1 != after]
+    return "".join(f"\\x{{{low:x}}}-\\x{{{high:x}}}" for low, high in zip(starts, ends, strict=True))
+
+
+#: A character that may change under NFKC.
+UNSTABLE = f"[^{_stable()}]"
+
+
+@F.arrow_udf(T.StringType())
+def _composed(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for part in cut(texts):
+        yield pa.array([None if t is None else unicodedata.normalize("NFKC", t) for t in part.to_pylist()], pa.string())
+
+
+def nfkc(text: Column) -> Column:
+    """Unicode compatibility composition, which Spark has no function for; only texts that may change go to Python."""
+    return F.coalesce(_composed(F.when(F.rlike(text, F.lit(UNSTABLE)), text)), text)
 
 
 def fold_variants(text: Column) -> Column:

@@ -11,6 +11,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,7 +20,7 @@ from ..functions.pii_rules import find_spans, replace, resolve
 from ..functions.pseudonyms import hmac_sha256
 from ..functions.text import light, strip, value_forms
 from ..sources.vault import VAULT_SCHEMA
-from ..storage import lookup, written
+from ..storage import cut, lookup, written
 from .numbering import numbered
 from .occurrence import occurring
 
@@ -126,11 +127,12 @@ def apply_dictionary(texts: DataFrame, entries: DataFrame, vault: DataFrame | No
 
 
 def _replacer(shared) -> Callable[[Column], Column]:
-    @F.pandas_udf("text string, hits array<string>")
-    def replaced(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("text string, hits array<string>")
+    def replaced(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         run = _dictionary_replace(shared.value)  # once a task
-        for texts in batches:
-            yield pd.DataFrame([run(t) if t else (t, []) for t in texts], columns=["text", "hits"])
+        for part in cut(texts):
+            done = [run(t) if t else (t, []) for t in part.to_pylist()]
+            yield pa.StructArray.from_arrays([pa.array([t for t, _ in done], pa.string()), pa.array([h for _, h in done], pa.list_(pa.string()))], names=["text", "hits"])
 
     return replaced
 
