@@ -202,7 +202,7 @@ def number_tokens(values: DataFrame, vault: DataFrame | None) -> DataFrame:
 
 
 def mask(texts: DataFrame, key_col: str, text_col: str, entries: DataFrame | None = None, site: str = "data", vault: DataFrame | None = None, key: bytes = b"", patient_id: str | None = None, allow_emails=()) -> tuple[DataFrame, DataFrame]:
-    """((key, text, hits, tainted), new vault rows (mac, token, kind, value_enc, ord)); ``key_col`` is unique and gives the order."""
+    """((key, text, hits, tainted), new vault rows (mac, token, kind, value_enc, ord)); ``key_col`` gives the order, and may be null or the same in several rows."""
     rows = texts.select(F.col(key_col).alias("key"), F.col(text_col).cast("string").alias("text"))
     if site in SKIPPED_SITES:
         none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<bigint>"))
@@ -210,10 +210,11 @@ def mask(texts: DataFrame, key_col: str, text_col: str, entries: DataFrame | Non
     work = rows if site == "code" else rows.withColumn("text", light(F.col("text")))
     work = apply_dictionary(work, entries, vault, key) if entries is not None else work.withColumn("hits", F.array().cast("array<string>"))
     found = find_spans(F.col("text"), patient_id, allow_emails, CODE_KINDS if site == "code" else None)
-    # texts, tokens and the vault are three uses of the same work, so it is done once
-    work = written(work.withColumn("spans", resolve(F.col("text"), found)), "spans")
-    one = work.select("key", F.posexplode("spans").alias("nth", "span")).select("key", "nth", F.col("span.value").alias("value"), F.col("span.kind").alias("kind"), F.col("span.start").alias("start"), F.col("span.end").alias("end"))
-    firsts = one.groupBy("value").agg(F.min_by("kind", F.struct("key", "start")).alias("kind"), F.min(F.struct("key", "start")).alias("ord"))
+    # texts, tokens and the vault are three uses of the same work, so it is done once; spans come back to their row by its number, as keys may repeat
+    work = written(work.withColumn("spans", resolve(F.col("text"), found)).withColumn("row", F.monotonically_increasing_id()), "spans")
+    one = work.select("key", "row", F.posexplode("spans").alias("nth", "span")).select("key", "row", "nth", F.col("span.value").alias("value"), F.col("span.kind").alias("kind"), F.col("span.start").alias("start"), F.col("span.end").alias("end"))
+    place = F.struct("key", "row", "start")
+    firsts = one.groupBy("value").agg(F.min_by("kind", place).alias("kind"), F.min(place).alias("ord"))
     if vault is not None:
         macs = firsts.withColumn("mac", _mac(F.col("value"), key))
         stored = macs.join(vault.select("mac", "token"), "mac").select("value", "token")
@@ -222,9 +223,9 @@ def mask(texts: DataFrame, key_col: str, text_col: str, entries: DataFrame | Non
         stored, fresh = None, firsts
     new = written(number_tokens(fresh, vault), "tokens")
     tokens = new.select("value", "token") if stored is None else new.select("value", "token").union(stored)
-    placed = lookup(one, tokens, "value").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "end", "token", "kind"))).alias("placed"))  # a text's own spans
+    placed = lookup(one, tokens, "value").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end", "token", "kind"))).alias("placed"))  # a text's own spans
     plain = work.filter("size(spans) = 0").withColumn("placed", F.lit(None).cast(placed.schema["placed"].dataType))
-    out = work.filter("size(spans) > 0").join(placed, "key", "left").unionByName(plain)
+    out = work.filter("size(spans) > 0").join(placed, "row", "left").unionByName(plain)
     kinds = F.concat("hits", F.coalesce(F.transform("placed", lambda s: s["kind"]), F.array().cast("array<string>")))
     counted = F.map_from_entries(F.transform(F.array_distinct(kinds), lambda k: F.struct(k, F.size(F.filter(kinds, lambda x: x == k)).cast("bigint"))))
     done = out.select("key", F.when(F.col("placed").isNull(), F.col("text")).otherwise(replace(F.col("text"), F.col("placed"))).alias("text"), counted.alias("hits"), F.lit(False).alias("tainted"))

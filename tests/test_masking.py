@@ -185,3 +185,10 @@ def test_digits_of_keys_are_no_telephone_numbers(spark):
     assert run(spark, None, *keys)[0] == keys
     real = ["tel0312345678fax", "telephone0312345678", "abc 0312345678 abcdef0123456789", "AKIA 03-1234-5678", "c0ffee03-1234-5678"]
     assert all("[PHONE_" in t for t in run(spark, None, *real)[0])
+
+
+def test_keys_that_repeat_or_are_null(spark):
+    given = [(1, "a@corp.co.jp and b@corp.co.jp"), (1, "to b@corp.co.jp"), (None, "c@corp.co.jp"), (None, "from c@corp.co.jp")]
+    done, _ = mask(spark.createDataFrame(given, "k int, t string").coalesce(1), "k", "t", key=KEY)
+    rows = {(r["key"], r["text"], r["hits"]["EMAIL"]) for r in done.collect()}
+    assert rows == {(1, "[EMAIL_2] and [EMAIL_3]", 2), (1, "to [EMAIL_3]", 1), (None, "[EMAIL_1]", 1), (None, "from [EMAIL_1]", 1)}
