@@ -133,7 +133,8 @@ def block_identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 4096, row_col: str | None = None) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256, and the row's number (that of ``row_col``, if given)."""
-    rows = block_identities(docs, id_col, text_col, block_bytes, row_col).withColumn("rank", F.struct(F.col("doc_id").isNotNull().alias("has"), "doc_id", "uid"))
+    # stored, as every later step would join all rounds' names again
+    rows = written(block_identities(docs, id_col, text_col, block_bytes, row_col), "identities").withColumn("rank", F.struct(F.col("doc_id").isNotNull().alias("has"), "doc_id", "uid"))
     groups = written(rows.groupBy("round", "name").agg(F.max("rank").alias("best"), F.count(F.lit(1)).alias("group_size")), "groups")
     found = lookup_groups(rows, groups, ["round", "name"], "group_size", rows.count())
     return found.select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("uid") == F.col("best.uid")).alias("kept"), F.col("sha").alias("text_sha256"), F.col("uid").alias("row"))

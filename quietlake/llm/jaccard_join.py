@@ -12,7 +12,8 @@ Groups of copies stay linear. Equal sets are one class from the start. Of the cl
 share a prefix n-gram, all are first compared with the most central one only (the fewest
 n-grams of its own); what that links is one component. Then only those outside of that
 component look for partners that sizes and positions still allow, in the whole group, so no
-link between components is lost, and pairs inside a component are never made.
+link between components is lost, and pairs inside a component are never made. What they find
+joins whole components, whose names alone are followed to the end.
 
 Scale: sets travel as packed arrays, once; later steps hold shared n-grams only. Hot keys
 are looked up by a bounded broadcast (see lookup_groups) or in joins that Spark can split.
@@ -223,18 +224,23 @@ def _vertex(a: str, b: str):
 
 
 def linked(pairs: DataFrame, candidates: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (x, y) those that link: overlaps are counted per segment and summed per pair."""
+    """Of distinct pairs (x, y, and what else they carry) those that link: overlaps are counted per segment and summed per pair.
+
+    The pairs are stored first, so where they are few no exchange of the first side's segments is planned.
+    """
+    carried = [c for c in pairs.columns if c not in ("x", "y")]
     parts = candidates.select("v", "n", F.posexplode("segments").alias("segment", "grams"))
     left = parts.select(F.col("v").alias("x"), F.col("n").alias("nx"), "segment", F.col("grams").alias("gx"))
     right = parts.select(F.col("v").alias("y"), F.col("n").alias("ny"), "segment", F.col("grams").alias("gy"))
-    both = pairs.join(left, "x").join(right, ["y", "segment"])
-    summed = both.groupBy("x", "y", "nx", "ny").agg(F.sum(F.size(F.array_intersect("gx", "gy"))).alias("common"))
-    return summed.filter(100 * F.col("common") >= percent * (F.col("nx") + F.col("ny") - F.col("common"))).select("x", "y")
+    both = written(pairs.distinct(), "pairs").join(left, "x").join(right, ["y", "segment"])
+    summed = both.groupBy("x", "y", "nx", "ny", *carried).agg(F.sum(F.size(F.array_intersect("gx", "gy"))).alias("common"))
+    return summed.filter(100 * F.col("common") >= percent * (F.col("nx") + F.col("ny") - F.col("common"))).select("x", "y", *carried)
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(v, component) of every vertex of an edge (x, y): the least vertex reached, by minima of neighbours and pointer jumps."""
-    both = written(edges.select("x", "y").union(edges.select("y", "x")).distinct(), "edges")
+    ways = F.array(F.struct("x", "y"), F.struct(F.col("y").alias("x"), F.col("x").alias("y")))
+    both = written(edges.select(F.inline(ways)).distinct(), "edges")
     labels = written(both.groupBy(F.col("x").alias("v")).agg(F.min("y").alias("y")).select("v", F.least("v", "y").alias("component"), F.lit(True).alias("moved")), "labels")
     while not labels.filter("moved").isEmpty():
         near = both.join(labels.select(F.col("v").alias("y"), F.col("component").alias("c")), "y").groupBy(F.col("x").alias("v")).agg(F.min("c").alias("near"))
@@ -248,8 +254,8 @@ def _size_class(n):
     return F.floor(F.log(n) / F.log(F.lit(1.1))).cast("int")
 
 
-def links(candidates: DataFrame, percent: int) -> DataFrame:
-    """Edges (x, y) that connect exactly the classes which links connect."""
+def classes_linked(candidates: DataFrame, percent: int) -> DataFrame:
+    """(v, component) of the classes that links connect."""
     ratio = percent / (100.0 + percent)
     spread = candidates.select("v", "n", "own", F.posexplode("prefix").alias("at", "gram")).withColumn("at", F.col("at") + F.col("own"))
     rank = F.struct((F.col("own") / F.col("n")).alias("own"), F.col("v").alias("v"), F.col("n").alias("n"))
@@ -257,12 +263,12 @@ def links(candidates: DataFrame, percent: int) -> DataFrame:
     total = centres.agg(F.sum("members")).first()[0] or 0
     near = lookup_groups(spread, centres, ["gram"], "members", total, least=64).filter("v != centre.v")
     alike = (percent * F.col("n") <= 100 * F.col("centre.n")) & (percent * F.col("centre.n") <= 100 * F.col("n"))
-    ordered = lambda x, y: (F.least(x, y).alias("x"), F.greatest(x, y).alias("y"))
-    stars = written(linked(near.filter(alike).select(*ordered(F.col("v"), F.col("centre.v"))).distinct(), candidates, percent), "stars")
+    stars = linked(near.filter(alike).select(F.least("v", "centre.v").alias("x"), F.greatest("v", "centre.v").alias("y")), candidates, percent)
 
     # the rest: whoever isn't in the component of its n-gram's centre looks through the whole group
     of = components(stars)
-    named = candidates.join(of, "v", "left").select("v", "n", "own", "prefix", F.coalesce("component", "v").alias("component"))
+    starred = F.col("component").isNotNull().alias("starred")
+    named = written(candidates.join(of, "v", "left").select("v", "n", "own", "prefix", F.coalesce("component", "v").alias("component"), starred), "starred")
     spread = named.select("v", "n", "component", "own", F.posexplode("prefix").alias("at", "gram")).withColumn("at", F.col("at") + F.col("own"))
     home = written(centres.select("gram", "members", F.col("centre.v").alias("v")).join(named.select("v", F.col("component").alias("home")), "v").select("gram", "members", "home"), "homes")
     outside = lookup_groups(spread, home, ["gram"], "members", total, least=64).filter("home is not null and component != home")
@@ -272,8 +278,12 @@ def links(candidates: DataFrame, percent: int) -> DataFrame:
     probes = outside.withColumn("low", low).withColumn("high", high).filter("low <= high").select("gram", F.col("v").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"), "low", "high", F.explode(F.sequence(_size_class(F.col("low")), _size_class(F.col("high")))).alias("class"))
     members = spread.select("gram", F.col("v").alias("y"), F.col("component").alias("cy"), F.col("n").alias("ny"), (most + 1e-6).alias("reach"), _size_class(F.col("n")).alias("class"))
     met = probes.join(members, ["gram", "class"]).filter("cx != cy and ny between low and high and nx <= reach")
-    rest = linked(met.select(*ordered(F.col("x"), F.col("y"))).distinct(), candidates, percent)
-    return stars.union(rest)
+    x, y = F.struct(F.col("x").alias("v"), F.col("cx").alias("c")), F.struct(F.col("y").alias("v"), F.col("cy").alias("c"))
+    pairs = met.select(F.least(x, y).alias("x"), F.greatest(x, y).alias("y")).select(F.col("x.v").alias("x"), F.col("y.v").alias("y"), F.col("x.c").alias("cx"), F.col("y.c").alias("cy"))
+    # those links join whole components, so only components are followed any further
+    joined = components(linked(pairs, candidates, percent).select(F.col("cx").alias("x"), F.col("cy").alias("y")))
+    found = named.select("v", "component", "starred").join(joined.select(F.col("v").alias("component"), F.col("component").alias("least")), "component", "left")
+    return found.filter("starred or least is not null").select("v", F.coalesce("least", "component").alias("component"))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, row_col: str | None = None) -> DataFrame:
@@ -281,7 +291,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     row = F.col(row_col) if row_col else F.monotonically_increasing_id()
     sets = written(docs.select(row.cast("long").alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(_sets(k), "row long, doc_id long, n long, a long, b long"), "sets")
     candidates = candidate_sets(docs, text_col, k, percent)
-    groups = components(links(candidates, percent))
+    groups = classes_linked(candidates, percent)
     # a null id ranks last
     rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("row"))
     classes = sets.filter("n > 0").groupBy("a", "b").agg(F.min(rank).alias("best"), F.count(F.lit(1)).alias("members")).withColumn("v", _vertex("a", "b"))

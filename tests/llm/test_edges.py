@@ -318,6 +318,21 @@ def test_jaccard_chains_and_stars(spark):
     assert 1 < len(set(got.values())) < len(rows)
 
 
+def test_steps_that_the_driver_would_plan_again_are_stored(spark, odd, monkeypatch):  # round 3, pipeline: the driver's memory
+    plan = exact_dedup.exact_dedup(odd, block_bytes=16)._jdf.queryExecution().optimizedPlan().toString()
+    assert "ticket" not in plan, plan
+
+    words = [f"w{i}" for i in range(100)]
+    texts = [" ".join(words)] + [" ".join([*words[: 6 * i], f"other{i}", *words[6 * i + 1 :]]) for i in range(1, 12)]
+    docs = spark.createDataFrame(list(enumerate([*texts, "one two three four five six", "far from all others, this one"])), "doc_id long, text string")
+    followed, real = [], jaccard_join.components
+    monkeypatch.setattr(jaccard_join, "components", lambda edges: followed.append(edges.count()) or real(edges))
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_components(docs).collect()}
+    assert got == dict.fromkeys(range(12), 0) | {12: 12, 13: 13}
+    # links with the centre are followed once, and what is left joins components only
+    assert followed[0] == 11 and followed[1:] == [0]
+
+
 def test_packing(odd, empty):
     rows = packing.pack_documents(odd, MODEL, capacity=64, keep_ids=True).collect()
     whole = {(r["doc_id"], r["piece"]) for r in rows}
