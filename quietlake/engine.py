@@ -18,6 +18,7 @@ from .operators.admission import admit, bare, error_class, sandbox
 from .operators.egress import cap_output, plain, taint, text_hits
 from .operators.masking import dictionary_entries, mask
 from .operators.profile import profile, row_estimate
+from .operators.sums import with_exact_sums
 from .operators.suppress import suppress_small_cells
 from .operators.synth import synth_rows
 from .session import ship
@@ -84,7 +85,7 @@ class Engine:
         """The admitted query as a table, with small counts suppressed outermost."""
         if reason := admit(self.inner, sql, set(self.views)):
             raise ValueError(f"rejected: {reason}")
-        df = self.inner.sql(bare(sql))
+        df = with_exact_sums(self.inner.sql(bare(sql)))
         return suppress_small_cells(df if limit is None else df.limit(limit), self.settings.small_cell, observation)
 
     @_tool
@@ -98,7 +99,7 @@ class Engine:
         self.inner.addTag(tag)
         timer.start()
         try:
-            df = self.inner.sql(bare(sql))
+            df = with_exact_sums(self.inner.sql(bare(sql)))
             rows = df.limit(n + 1).collect()
             kept = suppress_small_cells(self.inner.createDataFrame(rows[:n], df.schema), self.settings.small_cell).collect()
         except Exception as e:  # noqa: BLE001
