@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -29,9 +30,12 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(WHITE_SPACE))
 
 
-def _stable() -> str:
+#: Blocks of common scripts. Greek has a letter whose lower case depends on its place.
+_BLOCKS = [(0, 0x2FF), (0x370, 0x52F), (0x2010, 0x206F), (0x3000, 0x30FF), (0x4E00, 0x9FFF)]
+
+
+def _stable(blocks=tuple(_BLOCKS)) -> str:
     """Ranges, for a pattern, of characters of common scripts that NFKC leaves alone in any order: none combines with one before it."""
-    blocks = [(0, 0x2FF), (0x370, 0x52F), (0x2010, 0x206F), (0x3000, 0x30FF), (0x4E00, 0x9FFF)]
     kept = [c for low, high in blocks for c in range(low, high + 1) if unicodedata.normalize("NFKC", chr(c)) == chr(c) and not unicodedata.combining(chr(c))]
     starts = [c for c, before in zip(kept, [-2, *kept], strict=False) if c != before + 1]
     ends = [c for c, after in zip(kept, [*kept[1:], -2], strict=True) if c + 1 != after]
@@ -40,6 +44,10 @@ def _stable() -> str:
 
 #: A character that may change under NFKC; ASCII, which never does, is told by one range before the others are looked at.
 UNSTABLE = rf"[\x{{80}}-\x{{10ffff}}&&[^{_stable()}]]"
+#: A character whose views only Spark makes; all others have the same ones in Python, whatever Unicode's version.
+ODD = rf"[\x{{80}}-\x{{10ffff}}&&[^{_stable([(0, 0x2FF), (0x400, 0x52F), *_BLOCKS[2:]])}]]"
+_HIRAGANA_FOLD, _ANY_HIRAGANA = str.maketrans(HIRAGANA, KATAKANA), re.compile(f"[{HIRAGANA[0]}-{HIRAGANA[-1]}]")
+_NO_DIGITS = bytes(c for c in range(256) if not 0x30 <= c <= 0x39)
 
 
 @F.arrow_udf(T.StringType())
@@ -108,3 +116,17 @@ def haystacks(text: Column) -> Column:
     base = nfkc(text)
     kana = fold_kana(base)
     return F.array(text, base, F.lower(base), squeeze(base), kana, F.lower(kana), squeeze(kana), F.regexp_replace(base, r"(?U)\D", ""))
+
+
+def odd(text: Column) -> Column:
+    """The text if it has an odd character, else null."""
+    return F.when((F.length(text) != F.octet_length(text)) & F.rlike(text, F.lit(ODD)), text)
+
+
+def plain_views(text: str) -> list[str]:
+    """The distinct haystacks of a text without odd characters, which is its own NFKC and has no digits but ASCII's."""
+    views = [text, text.lower(), "".join(text.split()), text.encode("ascii", "ignore").translate(None, _NO_DIGITS).decode("ascii")]
+    if not text.isascii() and _ANY_HIRAGANA.search(text):
+        kana = text.translate(_HIRAGANA_FOLD)
+        views += [kana, kana.lower(), "".join(kana.split())]
+    return list(dict.fromkeys(views))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import is_pii_column
-from ..functions.text import admitted, egress_forms, haystacks
+from ..functions.text import admitted, egress_forms, haystacks, odd
 from ..storage import written
 from .occurrence import occurring
 
@@ -36,7 +36,8 @@ def contained(texts: DataFrame, forms: DataFrame, key: str, text: str, bits: int
 
     One pass over the texts, however many forms there are; see ``occurring``.
     """
-    views = texts.select(F.col(key).cast("string").alias("key"), F.array_distinct(haystacks(F.col(text))).alias("views"))
+    told = texts.select(F.col(key).cast("string").alias("key"), F.col(text).alias("plain"), odd(F.col(text)).alias("odd"))
+    views = told.select("key", F.when(F.col("odd").isNotNull(), F.array_distinct(haystacks(F.col("odd")))).alias("views"), F.when(F.col("odd").isNull(), F.col("plain")).alias("plain"))
     forms = written(forms.select("form").distinct(), "forms")
     return occurring(views, forms, bits).groupBy("key").agg(F.count(F.lit(1)).alias("hits"))
 

@@ -1,14 +1,16 @@
 """Which of many forms occur in which texts, without the forms being anywhere as a whole.
 
-Two filters of a fixed number of bits know the fingerprints of all forms: one of the forms'
-beginnings (their first 1 to 8, 16 or 32 characters), one of the forms themselves. A pass over
-the texts looks at every window of the beginnings' lengths, and, where one is known, at the
-windows of the lengths that forms with such beginnings have. What passes both filters is a
-substring that is joined with the forms by a shuffle, so a false pass costs a row and no more.
-
-Scale: the filters have ``BITS_A_FORM`` bits a form up to ``MOST_BITS`` (32 MB each), are put
-together by the driver from parts that tasks build, and are broadcast; more forms only make
-more false passes. A form that a third of all texts contain is looked up by broadcast.
+A small table, the gate, knows the forms' first eight characters (all of shorter ones), and two
+filters of a fixed number of bits know fingerprints: one of the forms' first 8, 16, 32, 64
+and 128 characters, one of the forms themselves. A pass over the texts looks windows of eight characters,
+and of the lengths of shorter forms, up in the gate; only where that knows them, fingerprints are
+made, of longer beginnings each where the one before is known, and of the lengths that forms with
+such beginnings have. What passes is a substring that is joined with the forms by a shuffle, so a
+false pass costs a row and no more.
+
+Scale: the filters have ``BITS_A_FORM`` bits a form, at least ``LEAST_BITS`` and up to ``MOST_BITS``
+(32 MB each), are put together by the driver from parts that tasks build, and are broadcast; more
+forms only make more false passes. A form that a third of all texts contain is looked up by broadcast.
 """
 
 from __future__ import annotations
@@ -20,12 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import plain_views
 from ..storage import cut, lookup, written
 
-#: Lengths whose windows are looked at everywhere: of a form as many characters as the largest of these that it has.
-ANCHORS = (1, 2, 3, 4, 5, 6, 7, 8, 16, 32)
-#: Characters that one step hashes; bits of a filter for each form, and at most.
-STEP, BITS_A_FORM, MOST_BITS = 1 << 19, 16, 1 << 28
+#: Beginnings of forms that are told by their fingerprints, one after another: a form is in the filter with all that it is long enough for.
+ANCHORS = (8, 16, 32, 64, 128)
+#: The beginning that every place is told by first, slots of the table of these (a power of two), and places that one look at it takes.
+GATE, GATE_SLOTS, BLOCK = ANCHORS[0], 18, 1 << 15
+#: Characters that one step hashes; bits of a filter for each form, at least and at most.
+STEP, BITS_A_FORM, LEAST_BITS, MOST_BITS = 1 << 19, 16, 1 << 22, 1 << 28
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -40,10 +45,13 @@ class Rolling:
     """Fingerprints of any window of a text, from running sums of its characters' codes times powers of an odd base, modulo 2 to the 64."""
 
     def __init__(self, text: str):
-        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-        size = 1 << max(10, len(codes).bit_length())
+        self.codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        size = 1 << max(10, len(self.codes).bit_length())
         powers, self.inverse = _powers(size)
-        self.sums = np.append(np.uint64(0), np.cumsum((codes + np.uint64(1)) * powers[: len(codes)], dtype=np.uint64))
+        self.sums = np.zeros(len(self.codes) + 1, np.uint64)
+        np.add(self.codes, np.uint64(1), out=self.sums[1:])
+        self.sums[1:] *= powers[: len(self.codes)]
+        np.cumsum(self.sums[1:], out=self.sums[1:])
 
     def at(self, places: np.ndarray, lengths) -> np.ndarray:
         h = (self.sums[places + lengths] - self.sums[places]) * self.inverse[places] + np.asarray(lengths).astype(np.uint64)
@@ -64,32 +72,54 @@ def _passes(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return found[np.flatnonzero(bitmap[two >> 3] >> (two & 7).astype(np.uint8) & 1)]
 
 
-def _anchor(lengths: np.ndarray) -> np.ndarray:
-    return np.array(ANCHORS)[np.searchsorted(ANCHORS, lengths, "right") - 1]
+def _gate(codes: np.ndarray, n: int) -> np.ndarray:
+    """The gate's slot of every window of n characters."""
+    last = len(codes) - n + 1
+    h = codes[:last] + np.uint32(n)
+    for i in range(1, n):
+        h *= np.uint32(0x9E3779B1)
+        h += codes[i : last + i]
+    h *= np.uint32(0x85EBCA6B)
+    h >>= np.uint32(32 - GATE_SLOTS)
+    return h
 
 
-def _form_slots(bits: int):
-    """(filter, slot) of forms: their anchors' slots in filter 0, their own in filter 1."""
+def _known(codes: np.ndarray, n: int, gate: np.ndarray | None) -> np.ndarray:
+    """Places where windows of n characters begin that the gate knows; without a gate all places."""
+    if gate is None:
+        return np.arange(max(0, len(codes) - n + 1))
+    found = [np.flatnonzero(gate.take(_gate(codes[at : at + BLOCK + n - 1], n), mode="clip")) + at for at in range(0, len(codes) - n + 1, BLOCK)]
+    return np.concatenate(found) if found else np.zeros(0, np.int64)
+
+
+def _form_slots(bits: int, gated: bool = False):
+    """(filter, slot) of forms: their anchors' slots in filter 0, their own in filter 1, the gate's in 2."""
 
     def run(batches):
         for batch in cut(batches):
             forms = batch.column(0).to_pylist()
             sizes = np.array([len(f) for f in forms], np.int64)
             hashed, starts = Rolling("".join(forms)), np.cumsum(sizes) - sizes
-            slots = [np.unique(np.concatenate(_slots(hashed.at(starts, of), bits))) for of in (_anchor(sizes), sizes)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat([0, 1], [len(x) for x in slots]).astype(np.int32)), pa.array(np.concatenate(slots))], names=["filter", "slot"])
+            begun = [hashed.at(starts[sizes >= a], a) for a in ANCHORS]
+            slots = [np.concatenate(_slots(np.concatenate(begun), bits)), np.concatenate(_slots(hashed.at(starts, sizes), bits))]
+            if gated:
+                first = [(n, starts[np.minimum(sizes, GATE) == n]) for n in range(1, GATE + 1)]
+                slots.append(np.concatenate([_gate(hashed.codes, n)[at].astype(np.int64) for n, at in first if len(at)] or [np.zeros(0, np.int64)]))
+            slots = [np.unique(x) for x in slots]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(slots)), [len(x) for x in slots]).astype(np.int32)), pa.array(np.concatenate(slots))], names=["filter", "slot"])
 
     return run
 
 
-def _filters(forms: DataFrame, bits: int) -> list[np.ndarray]:
-    """Two bitmaps of a fixed number of bits, each built by tasks and put together here."""
-    slots = forms.mapInArrow(_form_slots(bits), "filter int, slot long")
+def _filters(forms: DataFrame, bits: int, gated: bool = False) -> list[np.ndarray]:
+    """Two bitmaps of a fixed number of bits, and the gate's, each built by tasks and put together here."""
+    slots = forms.mapInArrow(_form_slots(bits, gated), "filter int, slot long")
     parts = slots.groupBy("filter", F.expr("bitmap_bucket_number(slot + 1)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(slot + 1))").alias("set"))
-    out = [np.zeros(max(bits // 8, 4096), np.uint8) for _ in range(2)]
+    sizes = [bits // 8, bits // 8, *([1 << GATE_SLOTS - 3] if gated else [])]
+    out = [np.zeros(max(n, 4096), np.uint8) for n in sizes]
     for which, bucket, found in parts.toLocalIterator():
         out[which][(bucket - 1) * 4096 : bucket * 4096] = np.frombuffer(found, np.uint8)
-    return [x[: bits // 8] for x in out]
+    return [x[:n] for x, n in zip(out, sizes, strict=True)]
 
 
 def _pieces(rows, longest: int):
@@ -109,39 +139,82 @@ def _pieces(rows, longest: int):
         yield "".join(texts), np.cumsum([0, *map(len, texts)]), owners
 
 
+class _Matcher:
+    """Finds substrings that pass the gate, where beginnings have one, and both filters."""
+
+    def __init__(self, beginnings, whole: np.ndarray, lengths: list[int]):
+        self.anchors, gate = beginnings if isinstance(beginnings, tuple) else (beginnings, None)
+        self.whole, self.longest = whole, max(lengths)
+        self.gate = None if gate is None else np.unpackbits(gate, bitorder="little").view(bool)
+        self.short = [n for n in lengths if n < GATE]
+        ends = [*ANCHORS, self.longest + 1]
+        self.steps = [(a, [n for n in lengths if a <= n < end]) for a, end in zip(ANCHORS, ends[1:], strict=True) if a <= self.longest]
+
+    def matches(self, text: str, ends: np.ndarray):
+        """(places, lengths) of windows within one view that pass; ``ends`` has the end of every place's view."""
+        hashed, found = Rolling(text), [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+
+        def look(places, sizes):
+            together = max(1, BLOCK // max(1, len(places)))  # few places are looked at with many lengths at once
+            for i in range(0, len(sizes), together):
+                some, n = np.repeat(places, len(sizes[i : i + together])), np.tile(np.array(sizes[i : i + together]), len(places))
+                fits = np.flatnonzero(some + n <= ends[some])
+                some, n = some[fits], n[fits]
+                passed = _passes(self.whole, hashed.at(some, n))
+                found.append((some[passed], n[passed]))
+
+        for n in self.short:
+            look(_known(hashed.codes, n, self.gate), [n])
+        if self.steps:
+            places = _known(hashed.codes, GATE, self.gate)
+        for a, sizes in self.steps:
+            places = places[places + a <= ends[places]]
+            places = places[_passes(self.anchors, hashed.at(places, a))]
+            if len(places):
+                look(places, sizes)
+        return map(np.concatenate, zip(*found, strict=True))
+
+
+def _viewed(batch):
+    """(row, views) of a batch of views, or of texts whose views are made here."""
+    plain = batch.column(2).to_pylist() if batch.num_columns > 2 else [None] * len(batch)
+    for row, (views, text) in enumerate(zip(batch.column(1).to_pylist(), plain, strict=True)):
+        yield row, views if text is None else plain_views(text)
+
+
 def _candidates(shared):
     """(key, form): substrings of a text's views that pass both filters."""
 
     def run(batches):
-        anchors, whole, lengths = shared.value
-        by_anchor = {int(a): [n for n in lengths if int(_anchor(np.array([n]))[0]) == a] for a in np.unique(_anchor(np.array(lengths)))}
+        matcher = _Matcher(*shared.value)
         for batch in cut(batches):
             keys = batch.column(0).to_pylist()
             found: list[set[str]] = [set() for _ in keys]
-            for text, starts, owners in _pieces(enumerate(batch.column(1).to_pylist()), max(lengths)):
-                hashed, ends = Rolling(text), np.repeat(starts[1:], np.diff(starts))
-                for a, sizes in by_anchor.items():
-                    places = np.flatnonzero(np.arange(len(text)) + a <= ends)
-                    places = places[_passes(anchors, hashed.at(places, a))]
-                    for n in sizes:
-                        some = places[places + n <= ends[places]]
-                        some = some[_passes(whole, hashed.at(some, n))]
-                        for at, part in zip(some.tolist(), np.searchsorted(starts, some, "right").tolist(), strict=True):
-                            found[owners[part - 1]].add(text[at : at + n])
+            for text, starts, owners in _pieces(_viewed(batch), matcher.longest):
+                places, lengths = matcher.matches(text, np.repeat(starts[1:], np.diff(starts)))
+                rows = np.array(owners)[np.searchsorted(starts, places, "right") - 1]
+                for at, n, row in zip(places.tolist(), lengths.tolist(), rows.tolist(), strict=True):
+                    found[row].add(text[at : at + n])
             columns = [k for k, x in zip(keys, found, strict=True) for _ in x], [f for x in found for f in x]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=["key", "form"])
 
     return run
 
 
+def _shared(forms: DataFrame, bits: int, lengths: list[int]) -> tuple:
+    """((filter, gate) of beginnings, filter of forms, lengths)"""
+    anchors, whole, gate = _filters(forms, bits, gated=True)
+    return (anchors, gate), whole, lengths
+
+
 def occurring(texts: DataFrame, forms: DataFrame, bits: int | None = None) -> DataFrame:
-    """(key, form), each once: which of the distinct ``forms`` (form) are substrings of any of a text's views; ``texts``: (key string, views array<string>)."""
+    """(key, form), each once: which of the distinct ``forms`` (form) are substrings of any of a text's views; ``texts``: (key string, views array<string>), and where there is a column ``plain`` with a text, its views are made from that."""
     spark = texts.sparkSession
     forms = forms.select("form").filter(F.length("form") > 0)
     lengths = [r["n"] for r in forms.select(F.length("form").alias("n")).distinct().collect()]  # whole numbers, as many as there are lengths
     if not lengths:
         return spark.createDataFrame([], "key string, form string")
-    bits = bits or min(MOST_BITS, max(1 << 15, 1 << (BITS_A_FORM * forms.count()).bit_length()))
-    shared = spark.sparkContext.broadcast((*_filters(forms, bits), sorted(lengths)))
-    passed = written(texts.select("key", "views").mapInArrow(_candidates(shared), "key string, form string"), "passed")
+    bits = bits or min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_A_FORM * forms.count()).bit_length()))
+    shared = spark.sparkContext.broadcast(_shared(forms, bits, sorted(lengths)))
+    passed = written(texts.select("key", "views", *(c for c in texts.columns if c == "plain")).mapInArrow(_candidates(shared), "key string, form string"), "passed")
     return lookup(passed, forms.withColumn("known", F.lit(True)), "form").select("key", "form")
