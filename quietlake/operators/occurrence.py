@@ -72,24 +72,29 @@ def _passes(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return found[np.flatnonzero(bitmap[two >> 3] >> (two & 7).astype(np.uint8) & 1)]
 
 
-def _gate(codes: np.ndarray, n: int) -> np.ndarray:
-    """The gate's slot of every window of n characters."""
-    last = len(codes) - n + 1
-    h = codes[:last] + np.uint32(n)
-    for i in range(1, n):
-        h *= np.uint32(0x9E3779B1)
-        h += codes[i : last + i]
-    h *= np.uint32(0x85EBCA6B)
-    h >>= np.uint32(32 - GATE_SLOTS)
-    return h
-
-
-def _known(codes: np.ndarray, n: int, gate: np.ndarray | None) -> np.ndarray:
-    """Places where windows of n characters begin that the gate knows; without a gate all places."""
+def _gate(codes: np.ndarray, lengths):
+    """(n, the gate's slot of every window of n characters) for each of these lengths, shortest first; lengths that no window has are left out."""
+    h = codes.copy()
+    for n in range(1, max(lengths, default=0) + 1):
+        if n > len(codes):
+            return
+        if n > 1:
+            h = h[:-1]
+            h *= np.uint32(0x9E3779B1)
+            h += codes[n - 1 :]
+        if n in lengths:
+            yield n, (h + np.uint32(n)) * np.uint32(0x85EBCA6B) >> np.uint32(32 - GATE_SLOTS)
+
+
+def _known(codes: np.ndarray, lengths, gate: np.ndarray | None) -> dict[int, np.ndarray]:
+    """By length, places where windows begin that the gate knows; without a gate all places."""
     if gate is None:
-        return np.arange(max(0, len(codes) - n + 1))
-    found = [np.flatnonzero(gate.take(_gate(codes[at : at + BLOCK + n - 1], n), mode="clip")) + at for at in range(0, len(codes) - n + 1, BLOCK)]
-    return np.concatenate(found) if found else np.zeros(0, np.int64)
+        return {n: np.arange(max(0, len(codes) - n + 1)) for n in lengths}
+    found: dict[int, list] = {n: [np.zeros(0, np.int64)] for n in lengths}
+    for at in range(0, len(codes), BLOCK):
+        for n, slots in _gate(codes[at : at + BLOCK + max(lengths, default=1) - 1], lengths):
+            found[n].append(np.flatnonzero(gate.take(slots[:BLOCK], mode="clip")) + at)
+    return {n: np.concatenate(x) for n, x in found.items()}
 
 
 def _form_slots(bits: int, gated: bool = False):
@@ -103,8 +108,8 @@ def _form_slots(bits: int, gated: bool = False):
             begun = [hashed.at(starts[sizes >= a], a) for a in ANCHORS]
             slots = [np.concatenate(_slots(np.concatenate(begun), bits)), np.concatenate(_slots(hashed.at(starts, sizes), bits))]
             if gated:
-                first = [(n, starts[np.minimum(sizes, GATE) == n]) for n in range(1, GATE + 1)]
-                slots.append(np.concatenate([_gate(hashed.codes, n)[at].astype(np.int64) for n, at in first if len(at)] or [np.zeros(0, np.int64)]))
+                known = [of[starts[np.minimum(sizes, GATE) == n]].astype(np.int64) for n, of in _gate(hashed.codes, set(np.minimum(sizes, GATE).tolist()))]
+                slots.append(np.concatenate([np.zeros(0, np.int64), *known]))
             slots = [np.unique(x) for x in slots]
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(slots)), [len(x) for x in slots]).astype(np.int32)), pa.array(np.concatenate(slots))], names=["filter", "slot"])
 
@@ -150,9 +155,9 @@ class _Matcher:
         ends = [*ANCHORS, self.longest + 1]
         self.steps = [(a, [n for n in lengths if a <= n < end]) for a, end in zip(ANCHORS, ends[1:], strict=True) if a <= self.longest]
 
-    def matches(self, text: str, ends: np.ndarray):
+    def matches(self, hashed: Rolling, ends: np.ndarray):
         """(places, lengths) of windows within one view that pass; ``ends`` has the end of every place's view."""
-        hashed, found = Rolling(text), [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
 
         def look(places, sizes):
             together = max(1, BLOCK // max(1, len(places)))  # few places are looked at with many lengths at once
@@ -163,10 +168,10 @@ class _Matcher:
                 passed = _passes(self.whole, hashed.at(some, n))
                 found.append((some[passed], n[passed]))
 
+        known = _known(hashed.codes, {*self.short, *([GATE] if self.steps else [])}, self.gate)
         for n in self.short:
-            look(_known(hashed.codes, n, self.gate), [n])
-        if self.steps:
-            places = _known(hashed.codes, GATE, self.gate)
+            look(known[n], [n])
+        places = known.get(GATE)
         for a, sizes in self.steps:
             places = places[places + a <= ends[places]]
             places = places[_passes(self.anchors, hashed.at(places, a))]
@@ -175,6 +180,20 @@ class _Matcher:
         return map(np.concatenate, zip(*found, strict=True))
 
 
+def _once(codes: np.ndarray, places: np.ndarray, lengths: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Which matches to keep so that short windows, often found again, stay once a row: those whose characters and row fit into one number."""
+    width, room = int(codes.max(initial=1)).bit_length(), 63 - int(rows.max(initial=1)).bit_length()
+    most = min(GATE - 1, room // width)
+    kept = [np.flatnonzero(lengths > most)]
+    for n in range(1, most + 1):
+        some = np.flatnonzero(lengths == n)
+        window = rows[some].astype(np.int64)
+        for i in range(n):
+            window = window << width | codes[places[some] + i]
+        kept.append(some[np.unique(window, return_index=True)[1]])
+    return np.concatenate(kept)
+
+
 def _viewed(batch):
     """(row, views) of a batch of views, or of texts whose views are made here."""
     plain = batch.column(2).to_pylist() if batch.num_columns > 2 else [None] * len(batch)
@@ -191,9 +210,10 @@ def _candidates(shared):
             keys = batch.column(0).to_pylist()
             found: list[set[str]] = [set() for _ in keys]
             for text, starts, owners in _pieces(_viewed(batch), matcher.longest):
-                places, lengths = matcher.matches(text, np.repeat(starts[1:], np.diff(starts)))
+                places, lengths = matcher.matches(hashed := Rolling(text), np.repeat(starts[1:], np.diff(starts)))
                 rows = np.array(owners)[np.searchsorted(starts, places, "right") - 1]
-                for at, n, row in zip(places.tolist(), lengths.tolist(), rows.tolist(), strict=True):
+                once = _once(hashed.codes, places, lengths, rows)
+                for at, n, row in zip(places[once].tolist(), lengths[once].tolist(), rows[once].tolist(), strict=True):
                     found[row].add(text[at : at + n])
             columns = [k for k, x in zip(keys, found, strict=True) for _ in x], [f for x in found for f in x]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=["key", "form"])

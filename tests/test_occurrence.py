@@ -74,7 +74,20 @@ def test_a_window_at_the_edge_of_a_look(monkeypatch):
     codes = rng.integers(97, 99, 300).astype(np.uint32)
     for n in (1, 3, 8):
         gate = np.zeros(1 << occurrence.GATE_SLOTS, bool)
-        gate[occurrence._gate(codes[40 : 40 + n], n)] = True
+        gate[dict(occurrence._gate(codes[40 : 40 + n], {n}))[n]] = True
         want = [i for i in range(300 - n + 1) if (codes[i : i + n] == codes[40 : 40 + n]).all()]
-        assert occurrence._known(codes, n, gate).tolist() == want
-    assert occurrence._known(codes[:2], 8, gate).tolist() == []
+        found = occurrence._known(codes, {1, 3, 8}, gate)
+        assert found[n].tolist() == want and sorted(found) == [1, 3, 8]
+    assert occurrence._known(codes[:2], {8}, gate)[8].tolist() == [] and occurrence._known(codes, set(), gate) == {}
+
+
+@pytest.mark.parametrize("letters", ["ab", "aé日", "a\U0001f600\U0010ffff"])
+def test_matches_are_kept_once_a_row(letters):
+    rng = random.Random(5)
+    given = "".join(rng.choices(letters, k=400))
+    matches = [(at, n, at // 100) for at in range(380) for n in (1, 2, 3, 7, 8, 12)]
+    places, lengths, rows = map(np.array, zip(*matches, strict=True))
+    kept = [(given[a : a + n], r) for a, n, r in (matches[i] for i in occurrence._once(occurrence.Rolling(given).codes, places, lengths, rows))]
+    assert set(kept) == {(given[a : a + n], r) for a, n, r in matches}
+    short = [k for k in kept if len(k[0]) <= 2]
+    assert len(short) == len(set(short))
