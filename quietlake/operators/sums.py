@@ -44,6 +44,8 @@ def exact_avg(value: Column) -> Column:
 
 
 _EXACT = {"Sum": exact_sum, "Average": exact_avg}
+#: Expressions that hold a query of their own.
+_QUERIES = {"ScalarSubquery", "Exists", "ListQuery", "LateralSubquery"}
 
 
 def _single(package, name: str):
@@ -75,7 +77,7 @@ class _Rewriter:
         children, changed = self._all(e.children(), self.expression)
         if changed:
             e = e.withNewChildren(children)
-        if any(m.getName() == "withNewPlan" for m in e.getClass().getMethods()):
+        if kind in _QUERIES:
             plan = self.plan(inner := e.plan())
             return e if plan is inner else e.withNewPlan(plan)
         return e

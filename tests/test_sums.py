@@ -50,4 +50,5 @@ def test_sums_inside_of_other_queries(spark):
     rows = [(1, 1e14), *[(1, 0.001)] * 1000, (1, -1e14)]
     inner = "select k, sum(x) as s from t group by k"
     assert _guarded(spark, f"with q as ({inner}) select a.s as s from q a join q b on a.k = b.k where a.s = (select max(s) from q)", rows).first()["s"] == 1.0
+    assert _guarded(spark, "select k from t where k in (select cast(sum(x) as int) from t) and exists (select 1 from t having sum(x) = 1)", rows).count() == 1002
     assert _guarded(spark, "select sum(distinct x) as s, sum(k) as n from t", rows).first()["n"] == 1002
